@@ -60,10 +60,14 @@ def range_minima(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 def prior_min(level_minima: DataFrame, columns: list[str], by: str, order: str, ranges: int = RANGES) -> DataFrame:
     """Minimum of every column over the levels strictly above the current one, as ``prior_<column>``.
 
-    A prefix scan in two steps: levels are cut into value ranges, the minima of the
+    With ``ranges=1`` this is one running minimum per group, for groups of a checked
+    size.  Otherwise it is a prefix scan in two steps: levels are cut into value ranges, the minima of the
     at most ``ranges`` ranges above are taken per group, and a running minimum is
     kept only inside a range, so no task orders all levels of a group.
     """
+    if ranges == 1:
+        above = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return level_minima.withColumns({f"prior_{c}": F.min(c).over(above) for c in columns})
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = level_minima.groupBy(by).agg(F.percentile_approx(order, cuts, 10_000).alias("#cuts"))
     ranged = level_minima.join(bounds, by).withColumn(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.functions.distances import Measure, measures_for
-from softdeps.session import ceil_div, slots, stage
+from softdeps.session import ceil_div, slots, stage_counted
 
 MAX_TILE_ROWS = 16_384
 MIN_TILE_ROWS = 192
@@ -124,8 +124,7 @@ def staged_profiles(df: DataFrame, measures: list[Measure], attach=None) -> tupl
     rows = distinct_profiles(df, measures)
     if attach is not None:
         rows = attach(rows)
-    rows = stage(rows.withColumn("#id", F.monotonically_increasing_id()), "profiles")
-    return rows, rows.count()
+    return stage_counted(rows.withColumn("#id", F.monotonically_increasing_id()), "profiles")
 
 
 def distance_vectors(

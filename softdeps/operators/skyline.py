@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from softdeps.session import ceil_div, stage
+from softdeps.session import ceil_div, stage_counted
 
 FRONT_TILE_ROWS = 4_096
 BLOCK = 8_192
@@ -117,36 +117,35 @@ def local_fronts(vectors: DataFrame, combos: list[tuple[str, list[str]]], integr
     return vectors.mapInArrow(reduce, front_schema(width))
 
 
-def merge_fronts(candidates: DataFrame, width: int, tile_rows: int = FRONT_TILE_ROWS) -> DataFrame:
-    """The front of all candidates per ``rhs_name``; staged.
+def merge_fronts(candidates: DataFrame, width: int, tile_rows: int = FRONT_TILE_ROWS) -> tuple[DataFrame, int]:
+    """The front of all candidates per ``rhs_name``, staged, and its size.
 
     With more candidates than one tile holds, every pair of tiles is reduced on its
     own and a row is kept when it survives against all tiles.
     """
     lows = front_columns(width)
     every = ["rhs_name", "rhs"] + lows
-    staged = stage(candidates.select(*every).dropDuplicates(), "candidates")
-    hottest = staged.groupBy("rhs_name").count().agg(F.max("count")).first()[0] or 0
-    tiles = ceil_div(hottest, tile_rows)
+    staged, n = stage_counted(candidates.select(*every), "candidates")
+    tiles = ceil_div(n, tile_rows)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[front_rows(pdf[lows].to_numpy(), pdf["rhs"].to_numpy())][every]
 
     schema = front_schema(width)
     if tiles == 1:
-        return stage(staged.groupBy("rhs_name").applyInPandas(reduce, schema), "front")
-    tiled = staged.withColumn("tile", F.pmod(F.xxhash64(*every), F.lit(tiles)).cast("int"))
+        return stage_counted(staged.groupBy("rhs_name").applyInPandas(reduce, schema), "front")
+    tiled = staged.dropDuplicates().withColumn("tile", F.pmod(F.xxhash64(*every), F.lit(tiles)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(tiles - 1))
     cells = F.transform(others, lambda t: F.least(t, F.col("tile")) * F.lit(tiles) + F.greatest(t, F.col("tile")))
     survivors = tiled.withColumn("cell", F.explode(cells)).groupBy("rhs_name", "cell").applyInPandas(reduce, schema)
     kept = survivors.groupBy(*every).agg(F.count(F.lit(1)).alias("#met")).where(F.col("#met") == tiles)
-    return stage(kept.select(*every), "front")
+    return stage_counted(kept.select(*every), "front")
 
 
 def skyline(df: DataFrame, min_cols: list[str], max_col: str, tile_rows: int = FRONT_TILE_ROWS) -> DataFrame:
     """Rows of ``df`` (projected, distinct) that no other row beats: low on ``min_cols``, high on ``max_col``."""
     vectors = df.select(*[F.col(c).cast("double").alias(c) for c in [max_col] + min_cols])
-    front = merge_fronts(local_fronts(vectors, [(max_col, min_cols)]), len(min_cols), tile_rows)
+    front, _ = merge_fronts(local_fronts(vectors, [(max_col, min_cols)]), len(min_cols), tile_rows)
     return front.select(
         *[F.col(f"l{j}").alias(c) for j, c in enumerate(min_cols)], F.col("rhs").alias(max_col)
     )

@@ -20,18 +20,17 @@ def medians(vectors: DataFrame) -> DataFrame:
     return vectors.agg(*[F.median(q(c)).alias(c) for c in vectors.columns])
 
 
-def median_values(vectors: DataFrame, limit: int = MEDIAN_IN_ONE_PASS) -> dict[str, float]:
-    """Exact medians of a staged frame as numbers.
+def median_values(vectors: DataFrame, size: int | None = None, limit: int = MEDIAN_IN_ONE_PASS) -> dict[str, float]:
+    """Exact medians of a staged frame as numbers; ``size`` is its approximate number of rows.
 
     Large frames are narrowed: a quantile sketch brackets the middle, one pass
     counts what lies below the bracket, and this repeats inside the bracket until
     it holds at most ``limit`` values; only those are ranked exactly.
     """
+    if (vectors.count() if size is None else size) <= limit:
+        row = medians(vectors).first().asDict()
+        return {} if None in row.values() else row
     n = vectors.count()
-    if n == 0:
-        return {}
-    if n <= limit:
-        return medians(vectors).first().asDict()
     return {c: _narrowed_median(vectors.select(q(c).alias("v")), n, limit) for c in vectors.columns}
 
 

@@ -9,7 +9,7 @@ from softdeps.functions.distances import Measure, measures_for
 from softdeps.operators.levels import all_of
 from softdeps.operators.pairs import encode, pair_distances, q, staged_profiles
 from softdeps.operators.zones import ZONE_ROWS, join_cells, tile_pairs, zone_bounds, zone_tiles
-from softdeps.session import stage
+from softdeps.session import stage, stage_counted
 
 
 def _measures(df: DataFrame, lhs: dict[str, float], rhs: str, distances, options: dict) -> list[Measure]:
@@ -51,8 +51,8 @@ def rfd_violations(
     """Row pairs within all lhs thresholds whose rhs distance exceeds ``rhs_threshold``: both keys and the distances."""
     measures = _measures(df, lhs_thresholds, rhs, distances, options)
     names = [m.name for m in measures]
-    rows = stage(encode(df, measures, [] if key in names else [key]).withColumn("#id", q(key)), "rows")
-    tiled = zone_tiles(rows, rows.count(), _sort(measures, lhs_thresholds, rhs), zone_rows)
+    rows, n = stage_counted(encode(df, measures, [] if key in names else [key]).withColumn("#id", q(key)), "rows")
+    tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
     cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold)
     cells = stage(cells.select(F.col("a.`#tile`").alias("ta"), F.col("b.`#tile`").alias("tb")), "violations")
     ids = [F.least("a.`#id`", "b.`#id`").alias(f"{key}_a"), F.greatest("a.`#id`", "b.`#id`").alias(f"{key}_b")]

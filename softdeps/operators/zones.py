@@ -92,7 +92,7 @@ def pruned_front(
     combos: list[tuple[str, list[str]]],
     integral_below: dict | None = None,
     zone_rows: int = ZONE_ROWS,
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
     """The front of all pair distances without producing all pairs.
 
     Pairs inside a tile give a first front.  A pair of tiles is skipped when, for
@@ -108,7 +108,7 @@ def pruned_front(
     own = stage(bounds.select(q("#tile").alias("ta"), q("#tile").alias("tb")), "own")
     fixed = rows.agg(F.max("#copies").alias("most")).where("most > 1").select(*[F.lit(0.0).alias(c) for c in names])
     near = pair_distances(join_cells(tiled, own, names), measures).unionByName(fixed)
-    first = merge_fronts(local_fronts(near, combos, integral_below), width)
+    first, _ = merge_fronts(local_fronts(near, combos, integral_below), width)
 
     seeds = _seeds(first, combos, width)
     limits = {m.name: m.bounds() for m in measures}

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.functions.distances import measures_for
-from softdeps.operators.levels import all_of, cap_at_median, pool_intervals, prior_min, range_minima
+from softdeps.operators.levels import RANGES, all_of, pool_intervals, prior_min
 from softdeps.operators.pairs import cross_cells, profile_vectors, q, staged_profiles
 from softdeps.operators.skyline import FRONT_TILE_ROWS, front_columns, local_fronts, merge_fronts
 from softdeps.operators.stats import median_values
 from softdeps.operators.taxonomy import attach_paths, taxonomy_measures
-from softdeps.session import ceil_div, stage
+from softdeps.session import ceil_div, stage, stage_counted
 
 Combo = tuple[str, list[str]]
+SMALL_WIDTH = 6
 
 
 def combinations(columns: list[str], rhs=None, lhs=None) -> list[Combo]:
@@ -75,10 +76,10 @@ def discover_rfds(
         from softdeps.operators.zones import pruned_front
 
         limits = {r: medians[r] for r, _ in combos} if integral_levels else None
-        front = pruned_front(rows, n, measures, combos, limits)
-        return dependencies(front, combos, medians, names)
-    vectors = stage(profile_vectors(rows, n, measures, tiles), "vectors")
-    return discover_from_vectors(vectors, combos, integral_levels)
+        front, size = pruned_front(rows, n, measures, combos, limits)
+        return dependencies(front, size, combos, medians, names)
+    vectors, size = stage_counted(profile_vectors(rows, n, measures, tiles), "vectors")
+    return discover_from_vectors(vectors, combos, integral_levels, size)
 
 
 def discover_all(df: DataFrame, **options) -> DataFrame:
@@ -96,27 +97,23 @@ def with_combination(rfds: DataFrame, combos: list[Combo]) -> DataFrame:
     return rfds.withColumn("combination", label)
 
 
-def discover_from_vectors(vectors: DataFrame, combos: list[Combo], integral_levels: bool = False) -> DataFrame:
-    """Dependencies from a staged frame of distinct distance vectors."""
-    medians = median_values(vectors)
-    if not medians:
-        medians = {c: float("inf") for c in vectors.columns}
-    front = vector_front(vectors, combos, medians, integral_levels)
-    return dependencies(front, combos, medians, vectors.columns)
+def discover_from_vectors(
+    vectors: DataFrame, combos: list[Combo], integral_levels: bool = False, size: int | None = None
+) -> DataFrame:
+    """Dependencies from a staged frame of distinct distance vectors (about ``size`` rows)."""
+    medians = median_values(vectors, size) or {c: float("inf") for c in vectors.columns}
+    front, n = vector_front(vectors, combos, medians, integral_levels)
+    return dependencies(front, n, combos, medians, vectors.columns)
 
 
 def vector_front(
     vectors: DataFrame, combos: list[Combo], medians: dict[str, float] | None = None, integral_levels: bool = False
-) -> DataFrame:
+) -> tuple[DataFrame, int]:
+    """The staged front of every combination and its size."""
     limits = {r: medians[r] for r, _ in combos} if integral_levels else None
     return merge_fronts(local_fronts(vectors, combos, limits), len(combos[0][1]))
 
 
-def front_size(front: DataFrame) -> int:
-    """Rows of the largest front."""
-    return front.groupBy("rhs_name").count().agg(F.max("count")).first()[0] or 0
-
-
 def _by_combo(combos: list[Combo], value) -> Column:
     """``value(combo)`` as a column, chosen by ``rhs_name``."""
     out = F.lit(None).cast("double")
@@ -125,7 +122,7 @@ def _by_combo(combos: list[Combo], value) -> Column:
     return out
 
 
-def candidate_levels(front: DataFrame, combos: list[Combo], medians: dict[str, float]) -> DataFrame:
+def candidate_levels(front: DataFrame, size: int, combos: list[Combo], medians: dict[str, float]) -> DataFrame:
     """Front rows with their level's capped minima (``min_``), the minima above it (``prior_``) and ``capped_`` values.
 
     Only levels up to the rhs median with at least one row above them remain.
@@ -137,7 +134,8 @@ def candidate_levels(front: DataFrame, combos: list[Combo], medians: dict[str, f
     minima = rows.groupBy("rhs_name", "rhs").agg(
         *[F.min(c).alias(c) for c in lows], *[F.min(f"capped_{c}").alias(f"min_{c}") for c in lows]
     )
-    above = prior_min(minima, lows, "rhs_name", "rhs").drop(*lows)
+    ranges = 1 if size <= FRONT_TILE_ROWS else RANGES
+    above = prior_min(minima, lows, "rhs_name", "rhs", ranges).drop(*lows)
     in_scope = (F.col("rhs") <= _by_combo(combos, lambda x: medians[x[0]])) & F.col(f"prior_{lows[0]}").isNotNull()
     return rows.join(above.where(in_scope), ["rhs_name", "rhs"])
 
@@ -190,29 +188,55 @@ def composite_rfds(levels: DataFrame, intervals: DataFrame, width: int, tiles: i
         .groupBy(*row_key, "under", "over")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    masks = stage(masks, "masks")
+    slices = _sound_slices(masks, row_key, width) if width <= SMALL_WIDTH else _sound_slices_joined(masks, row_key, width)
+    keep = lambda j, c: F.when(F.col("kept").bitwiseAND(F.lit(1 << j)) != 0, F.col(c)).alias(c)
+    return slices.select("rhs_name", "rhs", *[keep(j, c) for j, c in enumerate(lows)])
 
-    full = (1 << width) - 1
-    blocked_rows = masks.where((F.col("over") == F.col("open")) & (F.col("open") != full)).select(*row_key).distinct()
-    usable = masks.join(blocked_rows, row_key, "left_anti")
-    covers = usable.groupBy(*row_key, "over").agg(F.sum("n").alias("n"))
-    s, o = usable.select(*row_key, "under", "over").alias("s"), covers.alias("o")
-    same = all_of([F.col(f"s.{c}") == F.col(f"o.{c}") for c in row_key])
-    covered = F.col("s.under").bitwiseAND(F.col("o.over")) == F.col("s.under")
-    other = (F.col("s.over") != F.col("o.over")) | (F.col("o.n") >= 2)
-    slices = s.join(o, same & covered & other, "left_anti").select(*row_key, F.col("under").alias("kept"))
 
+def _sound_slices(masks: DataFrame, row_key: list[str], width: int) -> DataFrame:
+    """Sound slices per row, or the row's open attributes when it has none.
+
+    A row has at most ``3 ** width`` distinct mask pairs, so they fit in one array.
+    """
+    entry = F.struct("under", "over", "n")
+    rows = masks.groupBy(*row_key).agg(F.collect_list(entry).alias("met"))
+    full = F.lit((1 << width) - 1)
+    beaten = F.exists("met", lambda z: z["over"] == F.col("open")) & (F.col("open") != full)
+
+    def unsound(s: Column) -> Column:
+        another = lambda z: (z["over"] != s["over"]) | (z["under"] != s["under"]) | (z["n"] >= 2)
+        return F.exists("met", lambda z: (s["under"].bitwiseAND(z["over"]) == s["under"]) & another(z))
+
+    sound = F.array_distinct(F.transform(F.filter("met", lambda s: ~unsound(s)), lambda s: s["under"]))
+    rows = rows.where(~beaten).withColumn("sound", sound)
+    kept = F.when(F.size("sound") > 0, F.col("sound")).otherwise(F.array("open"))
+    return rows.select(*row_key, F.explode(kept).alias("kept"))
+
+
+def _sound_slices_joined(masks: DataFrame, row_key: list[str], width: int) -> DataFrame:
+    """The same as ``_sound_slices`` by joins, for wide tables whose mask pairs may not fit in one array."""
+    masks = stage(masks, "masks")
+    full = (1 << width) - 1
+    beaten = masks.where((F.col("over") == F.col("open")) & (F.col("open") != full)).select(*row_key).distinct()
+    usable = masks.join(beaten, row_key, "left_anti")
+    s, z = usable.alias("s"), usable.alias("z")
+    same = all_of([F.col(f"s.{c}") == F.col(f"z.{c}") for c in row_key])
+    covered = F.col("s.under").bitwiseAND(F.col("z.over")) == F.col("s.under")
+    another = (F.col("s.over") != F.col("z.over")) | (F.col("s.under") != F.col("z.under")) | (F.col("z.n") >= 2)
+    slices = s.join(z, same & covered & another, "left_anti").select(*row_key, F.col("under").alias("kept"))
     whole = usable.select(*row_key).distinct().join(slices.select(*row_key).distinct(), row_key, "left_anti")
-    chosen = slices.unionByName(whole.withColumn("kept", F.col("open")))
-    keep = lambda j, c: F.when(F.col("kept").bitwiseAND(F.lit(1 << j)) != 0, F.col(c)).alias(c)
-    return chosen.select("rhs_name", "rhs", *[keep(j, c) for j, c in enumerate(lows)])
+    return slices.unionByName(whole.withColumn("kept", F.col("open")))
 
 
-def dependencies(front: DataFrame, combos: list[Combo], medians: dict[str, float], names: list[str]) -> DataFrame:
+def dependencies(
+    front: DataFrame, size: int, combos: list[Combo], medians: dict[str, float], names: list[str]
+) -> DataFrame:
     """Single and composite dependencies of every combination, wide, without duplicates."""
     width = len(combos[0][1])
-    tiles = ceil_div(front_size(front), FRONT_TILE_ROWS)
-    levels = stage(candidate_levels(front, combos, medians), "levels")
+    tiles = ceil_div(size, FRONT_TILE_ROWS)
+    levels = candidate_levels(front, size, combos, medians)
+    if tiles > 1:
+        levels = stage(levels, "levels")
     found = single_rfds(levels, width)
     if width >= 2:
         found = found.unionByName(composite_rfds(levels, pool_intervals(front, width, tiles), width, tiles))

@@ -11,7 +11,8 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
 _staged: dict[str, list[str]] = {}
@@ -61,6 +62,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``stage`` plus the number of rows written, observed during the write; meant for sizing."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return staged, seen.get["n"]
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete every table this application staged; frames built on them become unusable."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])

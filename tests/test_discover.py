@@ -7,7 +7,7 @@ import model
 from softdeps.operators.pairs import distance_vectors
 from softdeps.plans.discover import combinations, discover_all, discover_rfds
 
-BODY = [(175, 70, 40, 10), (175, 75, 39, 20), (175, 69, 40, 13), (176, 71, 40, 17), (178, 81, 41, 25), (169, 73, 37, 20), (170, 62, 39, 18)]
+BODY = [(175, 70, 40, 30), (175, 75, 39, 41), (175, 69, 40, 33), (176, 71, 40, 35), (178, 81, 41, 27), (169, 73, 38, 49), (170, 65, 39, 30)]
 
 
 def frame(spark, rows, names, types=None):
