@@ -96,23 +96,22 @@ def rfd_counts(rfds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rfds.groupBy(*(by or ["rhs"])).agg(F.count(F.lit(1)).alias("rfd_count"))
 
 
-def table_profile(df: DataFrame, name: str, columns: int | None = None) -> DataFrame:
-    """One row: name, rows, columns, candidate pairs."""
-    n = F.count(F.lit(1))
-    return df.agg(
+def table_profile(df: DataFrame, name: str, columns: int | None = None, with_bytes: bool = False) -> DataFrame:
+    """Rows, columns, candidate pairs and (for file scans) bytes of one table, in one pass."""
+    if with_bytes:
+        files = df.groupBy(F.col("_metadata.file_path"), F.col("_metadata.file_size")).agg(F.count(F.lit(1)).alias("n"))
+        n, size = F.coalesce(F.sum("n"), F.lit(0)), F.sum("file_size")
+    else:
+        files, n, size = df, F.count(F.lit(1)), F.lit(None).cast("bigint")
+    return files.agg(
         F.lit(name).alias("ds_name"),
         n.alias("ds_len"),
-        F.lit(columns if columns is not None else len(df.columns)).cast("bigint").alias("ds_attr_size"),
+        F.lit(len(df.columns) if columns is None else columns).cast("bigint").alias("ds_attr_size"),
+        size.cast("bigint").alias("ds_file_size_B"),
         F.floor(n * (n - 1) / 2).cast("bigint").alias("pairs"),
     )
 
 
-def file_bytes(df: DataFrame) -> DataFrame:
-    """One row: total bytes of the files behind a file scan."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.sum("file_size").alias("ds_file_size_B"))
-
-
 def metrics_summary(metrics: DataFrame, values: list[str], by: list[str], sort_by: str | None = None) -> DataFrame:
     """Means of run metrics per group, optionally sorted by one of them, largest first."""
     out = metrics.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values])
