@@ -34,49 +34,46 @@ def stream_top_k(
     up = [c in ascending for c in order]
     fields = df.schema.fields
     names = [f.name for f in fields]
-    windowed = df.withColumn("#start", F.window(F.col(ts).cast("timestamp"), width)["start"]).withColumn(
-        "#end", F.window(F.col(ts).cast("timestamp"), width)["end"]
+    windowed = df.withColumn("window_start", F.window(F.col(ts).cast("timestamp"), width)["start"]).withColumn(
+        "window_end", F.window(F.col(ts).cast("timestamp"), width)["end"]
     )
     trimmed_type = T.StructType(
         fields
-        + [T.StructField("#start", T.TimestampType()), T.StructField("#end", T.TimestampType()), T.StructField("#seen", T.TimestampType())]
+        + [T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()), T.StructField("window_seen", T.TimestampType())]
     )
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(order, ascending=up, kind="stable").head(k)
-
     def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
+        kept = None
         for pdf in batches:
-            for start, part in pdf.groupby("#start"):
-                part = part.assign(**{"#seen": pd.to_datetime(part[ts])})
-                if start in kept:
-                    part = pd.concat([kept[start], part])
-                seen = part["#seen"].max()
-                kept[start] = best(part).assign(**{"#seen": seen})
-        yield from kept.values()
-
-    trimmed = windowed.mapInPandas(trim, trimmed_type).withWatermark("#seen", delay)
+            pdf["window_seen"] = pd.to_datetime(pdf[ts])
+            pdf = pdf if kept is None else pd.concat([kept, pdf])
+            pdf["window_seen"] = pdf.groupby("window_start")["window_seen"].transform("max")
+            kept = pdf.sort_values(order, ascending=up, kind="stable").groupby("window_start").head(k)
+        if kept is not None:
+            yield kept
+
+    trimmed = windowed.mapInPandas(trim, trimmed_type).withWatermark("window_seen", delay)
     out_type = T.StructType([T.StructField("window_start", T.TimestampType()), T.StructField("rank", T.IntegerType())] + fields)
 
+    places = [(names.index(c), not a) for c, a in zip(order, up)][::-1]
+
+    def best(rows: list[tuple]) -> list[tuple]:
+        for at, descending in places:
+            rows = sorted(rows, key=lambda r: r[at], reverse=descending)
+        return rows[:k]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else None
+        held = pickle.loads(state.get[0]) if state.exists else []
         if state.hasTimedOut:
             state.remove()
-            if held is not None:
-                out = held.reset_index(drop=True)
-                out.insert(0, "rank", range(1, len(out) + 1))
-                out.insert(0, "window_start", key[0])
-                yield out
+            yield pd.DataFrame([(key[0], i, *r) for i, r in enumerate(held, 1)], columns=["window_start", "rank", *names])
             return
         for pdf in batches:
-            rows = pdf[names] if held is None else pd.concat([held, pdf[names]])
-            held = best(rows)
-        if held is not None:
-            state.update((pickle.dumps(held),))
-            state.setTimeoutTimestamp(int(pd.Timestamp(key[1]).timestamp() * 1000))
+            held = best(held + list(pdf[names].itertuples(index=False, name=None)))
+        state.update((pickle.dumps(held),))
+        state.setTimeoutTimestamp(int(pd.Timestamp(key[1]).timestamp() * 1000))
 
-    return trimmed.groupBy("#start", "#end").applyInPandasWithState(
+    return trimmed.groupBy("window_start", "window_end").applyInPandasWithState(
         step, out_type, "top binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
