@@ -69,7 +69,7 @@ class Measure:
     """How one attribute is encoded, compared, and bounded over a tile of rows."""
 
     name: str
-    kind: str  # numeric | numeric32 | text | bytes | days | paths | custom
+    kind: str  # numeric | numeric32 | text | bytes | days | paths | memo | custom
     data_type: T.DataType
     scale: int | None = None
     builder: Builder | None = None
@@ -77,7 +77,7 @@ class Measure:
     def encode(self, c: Column) -> Column:
         if self.kind in ("numeric", "numeric32"):
             wide = c.cast("double")
-            clean = F.when(~F.isnan(wide), wide)
+            clean = F.when(~F.isnan(wide), wide + F.lit(0.0))
             return clean.cast("float") if self.kind == "numeric32" else clean
         if self.kind == "bytes":
             return utf8_units(c)
@@ -92,6 +92,8 @@ class Measure:
             raw = with_null_rule(a, b, whole_days(F.abs(a - b)))
         elif self.kind in ("text", "bytes"):
             raw = edit_distance(a, b)
+        elif self.kind == "memo":
+            raw = with_null_rule(a, b, F.get(a["to"], b["code"]))
         elif self.kind == "paths":
             raw = with_null_rule(a, b, path_distance(a, b))
         else:

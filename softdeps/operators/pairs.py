@@ -9,6 +9,7 @@ distinct distance vectors are combined inside the join stage before any shuffle.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from softdeps.session import ceil_div, slots, stage_counted
 
 MAX_TILE_ROWS = 16_384
 MIN_TILE_ROWS = 192
+MEMO_VALUES = 256
+MEMO_FROM = 2_048
 
 
 def q(name: str) -> Column:
@@ -40,8 +43,8 @@ def distinct_profiles(df: DataFrame, measures: list[Measure]) -> DataFrame:
 
 
 def tile_count(n: int, tasks: int, tile_rows: int = MAX_TILE_ROWS) -> int:
-    """Tiles so that cells feed every task slot while no tile exceeds ``tile_rows``."""
-    for_slots = math.ceil(math.sqrt(4 * tasks))
+    """Tiles so that every task slot gets about eight cells while no tile exceeds ``tile_rows``."""
+    for_slots = math.ceil(math.sqrt(16 * tasks))
     return max(1, ceil_div(n, tile_rows), min(for_slots, n // MIN_TILE_ROWS))
 
 
@@ -150,8 +153,36 @@ def distance_vectors(
     return profile_vectors(rows, n, measures, tiles)
 
 
+def memoise_texts(rows: DataFrame, n: int, measures: list[Measure]) -> tuple[DataFrame, list[Measure]]:
+    """Swap text columns of few distinct values for a code and the value's distances to all codes.
+
+    The pair join then looks a distance up instead of computing it.  Only columns of at
+    most ``MEMO_VALUES`` values, and only when there are far more pairs than value pairs.
+    """
+    texts = [m for m in measures if m.kind in ("text", "bytes")]
+    if n < MEMO_FROM or not texts:
+        return rows, measures
+    sizes = rows.agg(*[F.approx_count_distinct(q(m.name)).alias(m.name) for m in texts]).first().asDict()
+    out = []
+    for m in measures:
+        if sizes.get(m.name, MEMO_VALUES + 1) > MEMO_VALUES:
+            out.append(m)
+            continue
+        value = q(m.name)
+        coded = rows.where(value.isNotNull()).groupBy(value).agg(F.lit(1).alias("all"))
+        every = coded.groupBy("all").agg(F.sort_array(F.collect_list(value)).alias("values"))
+        to = F.transform("values", lambda v: m.distance(F.col("value"), v))
+        memo = every.select(F.posexplode("values").alias("code", "value"), "values").select(
+            F.col("value").alias(m.name), F.struct("code", to.alias("to")).alias("#memo")
+        )
+        rows = rows.join(memo, m.name, "left").withColumn(m.name, F.col("#memo")).drop("#memo")
+        out.append(replace(m, kind="memo"))
+    return rows, out
+
+
 def profile_vectors(rows: DataFrame, n: int, measures: list[Measure], tiles: int | None = None) -> DataFrame:
     tiles = tiles or tile_count(n, slots(rows.sparkSession))
+    rows, measures = memoise_texts(rows, n, measures)
     tiled = hash_tiles(rows.drop("#copies"), tiles, ["#id"])
     vectors = pair_distances(self_cells(tiled, tiles), measures)
     return vectors.unionByName(zero_vector(rows, measures)).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from softdeps.functions.distances import Measure, measures_for
 from softdeps.operators.levels import all_of
 from softdeps.operators.pairs import encode, pair_distances, q, staged_profiles
-from softdeps.operators.zones import ZONE_ROWS, join_cells, tile_pairs, zone_bounds, zone_tiles
+from softdeps.operators.zones import join_cells, tile_pairs, zone_bounds, zone_tiles
 from softdeps.session import stage, stage_counted
 
 
@@ -31,7 +31,13 @@ def _cells(tiled: DataFrame, measures: list[Measure], lhs: dict[str, float], rhs
     possible = all_of([bounds[c][0] <= F.lit(float(t)) for c, t in lhs.items()]) & (bounds[rhs][1] > F.lit(float(limit)))
     certain = all_of([bounds[c][1] <= F.lit(float(t)) for c, t in lhs.items()]) & (bounds[rhs][0] > F.lit(float(limit)))
     pairs = tile_pairs(zone_bounds(tiled, measures, extra))
-    return pairs.where(possible).withColumn("sure", certain & (F.col("a.`#tile`") < F.col("b.`#tile`")))
+    return pairs.where(possible).withColumn("sure", certain & (F.col("a.`#tile`") != F.col("b.`#tile`")))
+
+
+def _equal(measures: list[Measure], lhs: dict[str, float]) -> list[str]:
+    """Attributes whose limit of 0 means equality, so that they can be join keys."""
+    exact = ("numeric", "numeric32", "text", "bytes")
+    return [m.name for m in measures if lhs.get(m.name) == 0 and m.kind in exact and m.scale is None]
 
 
 def _broken(lhs: dict[str, float], rhs: str, limit: float) -> Column:
@@ -45,7 +51,7 @@ def rfd_violations(
     rhs_threshold: float,
     key: str,
     distances=None,
-    zone_rows: int = ZONE_ROWS,
+    zone_rows: int | None = None,
     **options,
 ) -> DataFrame:
     """Row pairs within all lhs thresholds whose rhs distance exceeds ``rhs_threshold``: both keys and the distances."""
@@ -56,7 +62,7 @@ def rfd_violations(
     cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold)
     cells = stage(cells.select(F.col("a.`#tile`").alias("ta"), F.col("b.`#tile`").alias("tb")), "violations")
     ids = [F.least("a.`#id`", "b.`#id`").alias(f"{key}_a"), F.greatest("a.`#id`", "b.`#id`").alias(f"{key}_b")]
-    pairs = pair_distances(join_cells(tiled, cells, names), measures, ids)
+    pairs = pair_distances(join_cells(tiled, cells, names, _equal(measures, lhs_thresholds)), measures, ids)
     return pairs.where(_broken(lhs_thresholds, rhs, rhs_threshold))
 
 
@@ -66,7 +72,7 @@ def rfd_check(
     rhs: str,
     rhs_threshold: float,
     distances=None,
-    zone_rows: int = ZONE_ROWS,
+    zone_rows: int | None = None,
     **options,
 ) -> DataFrame:
     """One row ``violations, holds`` over all row pairs.
@@ -90,7 +96,8 @@ def rfd_check(
         "cells",
     )
     settled = cells.where("sure").agg(F.sum("pairs").alias("n"))
-    met = join_cells(tiled, stage(cells.where("NOT sure").select("ta", "tb"), "unsettled"), names + ["#copies"])
+    unsettled = cells.where("NOT sure").select("ta", "tb")
+    met = join_cells(tiled, unsettled, names + ["#copies"], _equal(measures, lhs_thresholds))
     weighed = pair_distances(met, measures, [(F.col("a.`#copies`") * F.col("b.`#copies`")).alias("#pairs")])
     counted = weighed.where(_broken(lhs_thresholds, rhs, rhs_threshold)).agg(F.sum("#pairs").alias("n"))
     total = settled.unionByName(counted).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))

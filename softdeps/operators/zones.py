@@ -17,17 +17,29 @@ from pyspark.sql import functions as F
 from softdeps.functions.distances import Measure
 from softdeps.operators.pairs import pair_distances, q
 from softdeps.operators.skyline import front_columns, local_fronts, merge_fronts
-from softdeps.session import ceil_div, slots, stage
+from softdeps.session import ceil_div, slots, stage, stage_counted
 
-ZONE_ROWS = 4_096
+MOST_ZONE_ROWS = 4_096
+LEAST_ZONE_ROWS = 1_024
+PARTITION_ROWS = 131_072
+PLACE_STEP = 1 << 33  # row numbers of different partitions are this far apart
+GOOD_ZONE_COUNT = 16_384
 SEEDS = 512
 CELLS_PER_SHARE = 64
 
 
-def zone_tiles(rows: DataFrame, n: int, order: list[Column], zone_rows: int = ZONE_ROWS) -> DataFrame:
+def zone_size(n: int) -> int:
+    """Rows per tile: small tiles have tight bounds, large ones keep the number of tile pairs down."""
+    return min(MOST_ZONE_ROWS, max(LEAST_ZONE_ROWS, ceil_div(n, GOOD_ZONE_COUNT)))
+
+
+def zone_tiles(rows: DataFrame, n: int, order: list[Column], zone_rows: int | None = None) -> DataFrame:
     """``rows`` sorted by ``order`` into tiles of about ``zone_rows``; staged with ``#tile``."""
-    spread = rows.repartitionByRange(ceil_div(n, zone_rows), *order)
-    return stage(spread.withColumn("#tile", F.spark_partition_id()), "zones")
+    size = zone_rows or zone_size(n)
+    parts = max(ceil_div(n, PARTITION_ROWS), min(slots(rows.sparkSession), ceil_div(n, size)))
+    spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    return stage(spread.withColumn("#tile", place - F.pmod(place, F.lit(PLACE_STEP)) + F.floor(F.pmod(place, F.lit(PLACE_STEP)) / size)), "zones")
 
 
 def zone_bounds(tiled: DataFrame, measures: list[Measure], extra: list[Column] | None = None) -> DataFrame:
@@ -37,31 +49,33 @@ def zone_bounds(tiled: DataFrame, measures: list[Measure], extra: list[Column] |
 
 
 def tile_pairs(bounds: DataFrame, group: int = 2_048) -> DataFrame:
-    """All pairs ``a.#tile <= b.#tile`` of tile summaries, through cells of at most ``group`` tiles a side."""
-    last = bounds.agg(F.max("#tile")).first()[0]
-    groups = 1 if last is None else last // group + 1
+    """All unordered pairs of tile summaries (a tile with itself included), through cells of about ``group`` tiles a side."""
+    groups = ceil_div(bounds.count(), group)
     row = F.struct(*[q(c) for c in bounds.columns])
-    mine = F.floor(q("#tile") / group).cast("int")
+    mine = F.pmod(F.xxhash64("#tile"), F.lit(groups))
+    zero, last = F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint")
     left = bounds.select(
-        row.alias("a"), F.explode(F.transform(F.sequence(mine, F.lit(groups - 1)), lambda g: mine * groups + g)).alias("cell")
+        row.alias("a"), mine.alias("ga"), F.explode(F.transform(F.sequence(mine, last), lambda g: mine * groups + g)).alias("cell")
     )
     right = bounds.select(
-        row.alias("b"), F.explode(F.transform(F.sequence(F.lit(0), mine), lambda g: g * groups + mine)).alias("cell")
+        row.alias("b"), mine.alias("gb"), F.explode(F.transform(F.sequence(zero, mine), lambda g: g * groups + mine)).alias("cell")
     )
-    return left.join(right, "cell").where(F.col("a.`#tile`") <= F.col("b.`#tile`")).drop("cell")
+    once = (F.col("ga") != F.col("gb")) | (F.col("a.`#tile`") <= F.col("b.`#tile`"))
+    return left.join(right, "cell").where(once).select("a", "b")
 
 
-def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str]) -> DataFrame:
+def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str], equal: list[str] | None = None) -> DataFrame:
     """Row pairs of the chosen tile pairs (``cells``: staged ``ta, tb``), as structs ``a`` and ``b``.
 
-    A tile that occurs in many cells is handed out in shares of about ``CELLS_PER_SHARE`` cells.
+    A tile that occurs in many cells is handed out in shares of about ``CELLS_PER_SHARE``
+    cells.  With ``equal``, only rows that agree on those columns (nulls included) meet.
     """
     spark = tiled.sparkSession
-    n = cells.count()
-    numbered = stage(cells.select("ta", "tb").withColumn("cell", F.monotonically_increasing_id()), "cells")
+    numbered, n = stage_counted(cells.select("ta", "tb").withColumn("cell", F.monotonically_increasing_id()), "cells")
     parts = max(1, min(n, max(4 * slots(spark), ceil_div(n, 8))))
     row = F.struct(*[q(c) for c in keep + ["#id", "#tile"]])
     rows = tiled.select(row.alias("row"), q("#tile").alias("tile"))
+    shared = [F.col(f"row.`{c}`") for c in equal or []]
 
     def side(tile: str, name: str) -> DataFrame:
         mine = numbered.select(F.col(tile).alias("tile"), "cell")
@@ -72,11 +86,13 @@ def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str]) -> DataFrame
         shared_cells = mine.join(shares, "tile").select(
             "tile", "cell", F.pmod(F.xxhash64("cell"), F.col("shares")).alias("share")
         )
-        return (
-            shared_rows.join(shared_cells, ["tile", "share"]).select(F.col("row").alias(name), "cell").repartition(parts, "cell")
-        )
+        met = shared_rows.join(shared_cells, ["tile", "share"])
+        key = F.xxhash64("cell", *shared) if shared else F.col("cell")
+        return met.select(F.col("row").alias(name), F.col("cell").alias(f"cell_{name}"), key.alias("key")).repartition(parts, "key")
 
-    pairs = side("ta", "a").join(side("tb", "b").hint("shuffle_hash"), "cell")
+    pairs = side("ta", "a").join(side("tb", "b").hint("shuffle_hash"), "key").where(F.col("cell_a") == F.col("cell_b"))
+    for c in equal or []:
+        pairs = pairs.where(F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")))
     return pairs.where((F.col("a.`#tile`") != F.col("b.`#tile`")) | (F.col("a.`#id`") < F.col("b.`#id`")))
 
 
@@ -91,7 +107,7 @@ def pruned_front(
     measures: list[Measure],
     combos: list[tuple[str, list[str]]],
     integral_below: dict | None = None,
-    zone_rows: int = ZONE_ROWS,
+    zone_rows: int | None = None,
 ) -> tuple[DataFrame, int]:
     """The front of all pair distances without producing all pairs.
 
@@ -112,7 +128,7 @@ def pruned_front(
 
     seeds = _seeds(first, combos, width)
     limits = {m.name: m.bounds() for m in measures}
-    pairs = tile_pairs(bounds).where(F.col("a.`#tile`") < F.col("b.`#tile`"))
+    pairs = tile_pairs(bounds).where(F.col("a.`#tile`") != F.col("b.`#tile`"))
     boxes = pairs.select(
         F.col("a.`#tile`").cast("bigint").alias("ta"),
         F.col("b.`#tile`").cast("bigint").alias("tb"),
