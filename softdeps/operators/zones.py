@@ -20,7 +20,7 @@ from softdeps.operators.skyline import front_columns, local_fronts, merge_fronts
 from softdeps.session import ceil_div, slots, stage, stage_counted
 
 MOST_ZONE_ROWS = 4_096
-LEAST_ZONE_ROWS = 1_024
+LEAST_ZONE_ROWS = 512
 PARTITION_ROWS = 131_072
 PLACE_STEP = 1 << 33  # row numbers of different partitions are this far apart
 GOOD_ZONE_COUNT = 16_384
@@ -68,7 +68,8 @@ def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str], equal: list[
     """Row pairs of the chosen tile pairs (``cells``: staged ``ta, tb``), as structs ``a`` and ``b``.
 
     A tile that occurs in many cells is handed out in shares of about ``CELLS_PER_SHARE``
-    cells.  With ``equal``, only rows that agree on those columns (nulls included) meet.
+    cells.  With ``equal``, rows meet by the hash of those columns too: every pair that
+    agrees on them is there, others only by a collision.
     """
     spark = tiled.sparkSession
     numbered, n = stage_counted(cells.select("ta", "tb").withColumn("cell", F.monotonically_increasing_id()), "cells")
@@ -90,10 +91,10 @@ def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str], equal: list[
         key = F.xxhash64("cell", *shared) if shared else F.col("cell")
         return met.select(F.col("row").alias(name), F.col("cell").alias(f"cell_{name}"), key.alias("key")).repartition(parts, "key")
 
-    pairs = side("ta", "a").join(side("tb", "b").hint("shuffle_hash"), "key").where(F.col("cell_a") == F.col("cell_b"))
-    for c in equal or []:
-        pairs = pairs.where(F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")))
-    return pairs.where((F.col("a.`#tile`") != F.col("b.`#tile`")) | (F.col("a.`#id`") < F.col("b.`#id`")))
+    # Written as a difference so that it stays a filter and the join keeps the partitioning above.
+    same_cell = F.col("cell_a") - F.col("cell_b") == 0
+    once = (F.col("a.`#tile`") != F.col("b.`#tile`")) | (F.col("a.`#id`") < F.col("b.`#id`"))
+    return side("ta", "a").join(side("tb", "b").hint("shuffle_hash"), "key").where(same_cell & once)
 
 
 def _order_for_front(measures: list[Measure], ids: bool = True) -> list[Column]:
