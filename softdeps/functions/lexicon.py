@@ -11,18 +11,18 @@ TOKEN = r"[\p{L}\p{N}']+"
 def score_lexicon(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Per record: token count, summed weight, positive and negative word counts, and 100 * score / tokens.
 
-    ``lexicon`` holds ``word, weight``.  Repeats of a word in a text are folded before the
-    join, so a frequent word costs one row per text.
+    ``lexicon`` holds ``word, weight``, one row per word.  A lexicon below the broadcast
+    limit is joined inside the scan stage, so only one partial sum per record is shuffled.
     """
-    words = df.select(F.col(key), F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("word"))
-    counts = words.groupBy(key, "word").agg(F.count("word").alias("n"))
-    weighed = counts.join(lexicon.select("word", "weight"), "word", "left")
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    words = df.select(F.col(key), F.explode_outer(tokens).alias("word"))
+    weighed = words.join(lexicon.select("word", "weight"), "word", "left")
     weight = F.coalesce(F.col("weight"), F.lit(0)).cast("double")
-    tokens, score = F.sum("n"), F.sum(weight * F.col("n"))
+    n, score = F.count("word"), F.sum(weight)
     return weighed.groupBy(key).agg(
-        tokens.alias("sentiment_tokens"),
+        n.alias("sentiment_tokens"),
         score.alias("sentiment_score"),
-        F.sum(F.when(weight > 0, F.col("n")).otherwise(0)).alias("sentiment_positive_count"),
-        F.sum(F.when(weight < 0, F.col("n")).otherwise(0)).alias("sentiment_negative_count"),
-        F.when(tokens > 0, score / tokens * 100).otherwise(F.lit(0.0)).alias("sentiment_comparative"),
+        F.count_if(F.col("weight") > 0).alias("sentiment_positive_count"),
+        F.count_if(F.col("weight") < 0).alias("sentiment_negative_count"),
+        F.when(n > 0, score / n * 100).otherwise(F.lit(0.0)).alias("sentiment_comparative"),
     )

@@ -97,9 +97,23 @@ def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str], equal: list[
     return side("ta", "a").join(side("tb", "b").hint("shuffle_hash"), "key").where(same_cell & once)
 
 
-def _order_for_front(measures: list[Measure], ids: bool = True) -> list[Column]:
-    ordered = [q(m.name) for m in measures if m.kind not in ("paths", "custom")]
-    return ordered + ([q("#id")] if ids else [])
+def grid_order(rows: DataFrame, n: int, measures: list[Measure], zone_rows: int) -> list[Column]:
+    """Sort columns that gather rows into boxes: every ordered attribute is cut at quantiles, about one box per tile.
+
+    Sorting by the values themselves would keep only the first attribute's range narrow.
+    """
+    ordered = [q(m.name) for m in measures if m.kind in ("numeric", "numeric32", "days")]
+    texts = [q(m.name) for m in measures if m.kind in ("text", "bytes")]
+    slices = round(ceil_div(n, zone_rows) ** (1 / len(ordered))) if ordered else 1
+    if slices < 2:
+        return ordered + texts + [q("#id")]
+    cuts = [i / slices for i in range(1, slices)]
+    bounds = rows.agg(*[F.percentile_approx(c, cuts, 10_000) for c in ordered]).first()
+    boxes = [
+        F.coalesce(sum(((c > F.lit(cut)).cast("int") for cut in known or []), F.lit(0)), F.lit(-1))
+        for c, known in zip(ordered, bounds)
+    ]
+    return boxes + ordered + texts + [q("#id")]
 
 
 def pruned_front(
@@ -120,7 +134,8 @@ def pruned_front(
     """
     width = len(combos[0][1])
     names = [m.name for m in measures]
-    tiled = zone_tiles(rows, n, _order_for_front(measures), zone_rows)
+    size = zone_rows or zone_size(n)
+    tiled = zone_tiles(rows, n, grid_order(rows, n, measures, size), size)
     bounds = zone_bounds(tiled, measures)
     own = stage(bounds.select(q("#tile").alias("ta"), q("#tile").alias("tb")), "own")
     fixed = rows.agg(F.max("#copies").alias("most")).where("most > 1").select(*[F.lit(0.0).alias(c) for c in names])

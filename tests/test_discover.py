@@ -37,6 +37,31 @@ def test_body_measures(spark):
     names = ["height", "weight", "shoe_size", "age"]
     got = found(discover_all(frame(spark, BODY, names)), names)
     assert got == expected(BODY, names, [model.number] * 4)
+    assert {c: len(r) for c, r in got.items()} == {"height": 5, "weight": 7, "shoe_size": 21, "age": 6}
+    assert (1.0, (1.0, None, None)) in got["height"] and (5.0, (None, None, 0.0)) in got["weight"]
+
+
+def test_wide_tables_use_joins_for_their_slices(spark, monkeypatch):
+    from softdeps.plans import discover
+
+    names = ["height", "weight", "shoe_size", "age"]
+    monkeypatch.setattr(discover, "SMALL_WIDTH", 0)
+    monkeypatch.setattr(discover, "FRONT_TILE_ROWS", 20)
+    assert found(discover_rfds(frame(spark, BODY, names)), names) == expected(BODY, names, [model.number] * 4)
+
+
+def test_degenerate_relations(spark):
+    assert discover_rfds(frame(spark, [(1, 2)], ["a", "b"])).isEmpty()
+    assert discover_rfds(frame(spark, [(1, 2), (1, 3), (1, 9)], ["a", "b"]), rhs="a").isEmpty()
+    assert discover_rfds(frame(spark, [(1, 2)] * 5, ["a", "b"])).isEmpty()
+
+
+def test_integral_levels_leave_fractional_distances_out(spark):
+    rows = [(0.0, 0, 3), (0.2, 4, 1), (1.2, 9, 2), (3.0, 1, 9), (3.5, 2, 2), (7.5, 0, 4)]
+    df = frame(spark, rows, ["b", "x", "y"], ["double", "int", "int"])
+    got = found(discover_rfds(df, rhs="b", integral_levels=True), ["b", "x", "y"])
+    want = model.dependencies(model.vectors(rows, [model.number] * 3), 0, [1, 2], integral=True)
+    assert got.get("b", set()) == want
 
 
 @pytest.mark.parametrize("seed", range(6))
