@@ -25,6 +25,7 @@ PARTITION_ROWS = 131_072
 PLACE_STEP = 1 << 33  # row numbers of different partitions are this far apart
 GOOD_ZONE_COUNT = 16_384
 SEEDS = 512
+SEED_ZONE_ROWS = 128
 CELLS_PER_SHARE = 64
 
 
@@ -121,33 +122,35 @@ def pruned_front(
     n: int,
     measures: list[Measure],
     combos: list[tuple[str, list[str]]],
+    medians: dict[str, float],
     integral_below: dict | None = None,
     zone_rows: int | None = None,
 ) -> tuple[DataFrame, int]:
-    """The front of all pair distances without producing all pairs.
+    """The front of all pair distances without keeping the distance vectors.
 
-    Pairs inside a tile give a first front.  A pair of tiles is skipped when, for
-    every combination, one row of that front is at or below the smallest possible lhs
-    distances and at or above the largest possible rhs distance: nothing in it could
-    enter the front.  At most ``SEEDS`` front rows per rhs are used as this filter;
-    fewer rows only skip less.
+    For every rhs, pairs of rows close on its lhs give a first front.  A pair of tiles is
+    then skipped when, for every combination, one row of that front is at or below the
+    smallest possible lhs distances and at or above the largest possible rhs distance:
+    nothing in it could enter the front.  The filter uses at most ``SEEDS`` front rows per
+    rhs; fewer rows only skip less.
     """
     width = len(combos[0][1])
     names = [m.name for m in measures]
+    zeros = rows.agg(F.max("#copies").alias("most")).where("most > 1").select(*[F.lit(0.0).alias(c) for c in names])
+    first = local_fronts(zeros, combos, integral_below)
+    for right, left in combos:
+        close = zone_tiles(rows, n, grid_order(rows, n, [m for m in measures if m.name in left], SEED_ZONE_ROWS), SEED_ZONE_ROWS)
+        own = close.select(q("#tile").alias("ta"), q("#tile").alias("tb")).distinct()
+        first = first.unionByName(local_fronts(pair_distances(join_cells(close, own, names), measures), combos, integral_below))
+    first, _ = merge_fronts(first, width)
+
     size = zone_rows or zone_size(n)
     tiled = zone_tiles(rows, n, grid_order(rows, n, measures, size), size)
-    bounds = zone_bounds(tiled, measures)
-    own = stage(bounds.select(q("#tile").alias("ta"), q("#tile").alias("tb")), "own")
-    fixed = rows.agg(F.max("#copies").alias("most")).where("most > 1").select(*[F.lit(0.0).alias(c) for c in names])
-    near = pair_distances(join_cells(tiled, own, names), measures).unionByName(fixed)
-    first, _ = merge_fronts(local_fronts(near, combos, integral_below), width)
-
-    seeds = _seeds(first, combos, width)
+    seeds = _seeds(first, combos, medians)
     limits = {m.name: m.bounds() for m in measures}
-    pairs = tile_pairs(bounds).where(F.col("a.`#tile`") != F.col("b.`#tile`"))
-    boxes = pairs.select(
-        F.col("a.`#tile`").cast("bigint").alias("ta"),
-        F.col("b.`#tile`").cast("bigint").alias("tb"),
+    boxes = tile_pairs(zone_bounds(tiled, measures)).select(
+        F.col("a.`#tile`").alias("ta"),
+        F.col("b.`#tile`").alias("tb"),
         *[limits[c][0].alias(f"lo#{c}") for c in names],
         *[limits[c][1].alias(f"hi#{c}") for c in names],
     )
@@ -156,12 +159,17 @@ def pruned_front(
     return merge_fronts(local_fronts(far, combos, integral_below).unionByName(first), width)
 
 
-def _seeds(front: DataFrame, combos: list[tuple[str, list[str]]], width: int) -> dict[str, np.ndarray]:
-    """Up to ``SEEDS`` front rows per rhs as arrays (lhs..., rhs): those with the largest rhs."""
+def _seeds(front: DataFrame, combos: list[tuple[str, list[str]]], medians: dict[str, float]) -> dict[str, np.ndarray]:
+    """Up to ``SEEDS`` front rows per rhs as arrays (lhs..., rhs), those likely to beat most pairs first."""
+    lows = front_columns(len(combos[0][1]))
     out = {}
-    for right, _ in combos:
-        top = front.where(F.col("rhs_name") == right).orderBy(F.desc("rhs"), *front_columns(width)).limit(SEEDS)
-        out[right] = np.array([tuple(r) for r in top.select(*front_columns(width), "rhs").collect()], dtype=float)
+    for right, left in combos:
+        reach = F.col("rhs") if np.isinf(medians[right]) else F.least(F.col("rhs"), F.lit(4.0 * medians[right]))
+        for c, name in zip(lows, left):
+            unit = medians[name] if 0 < medians[name] < np.inf else 1.0
+            reach = reach / (1 + F.col(c) / unit)
+        best = front.where(F.col("rhs_name") == right).orderBy(reach.desc(), F.desc("rhs"), *lows).limit(SEEDS)
+        out[right] = np.array([tuple(r) for r in best.select(*lows, "rhs").collect()], dtype=float)
     return out
 
 

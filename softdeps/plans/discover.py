@@ -76,7 +76,7 @@ def discover_rfds(
         from softdeps.operators.zones import pruned_front
 
         limits = {r: medians[r] for r, _ in combos} if integral_levels else None
-        front, size = pruned_front(rows, n, measures, combos, limits)
+        front, size = pruned_front(rows, n, measures, combos, medians, limits)
         return dependencies(front, size, combos, medians, names)
     vectors, size = stage_counted(profile_vectors(rows, n, measures, tiles), "vectors")
     return discover_from_vectors(vectors, combos, integral_levels, size)
