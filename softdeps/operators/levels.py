@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from softdeps.operators.pairs import cross_cells
 from softdeps.operators.skyline import front_columns
+from softdeps.session import slots
 
 RANGES = 64
 
@@ -129,6 +130,10 @@ def dominates_subset(
 
 
 def _by_pool(df: DataFrame, pool: DataFrame, columns: list[str], by: list[str], how: str, compare) -> DataFrame:
-    y, x = df.alias("y"), pool.alias("x")
-    same = all_of([F.col(f"y.{k}") == F.col(f"x.{k}") for k in by])
-    return y.join(x, same & all_of([compare(F.col(f"y.{c}"), F.col(f"x.{c}")) for c in columns]), how)
+    """Semi or anti join of rows with a pool: the rows of a group are spread over shares, each meeting the whole pool."""
+    shares = slots(df.sparkSession)
+    rows = df.withColumn("#share", F.pmod(F.xxhash64(*columns), F.lit(shares)))
+    copies = pool.withColumn("#share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
+    y, x = rows.alias("y"), copies.alias("x")
+    same = all_of([F.col(f"y.`{k}`") == F.col(f"x.`{k}`") for k in by + ["#share"]])
+    return y.join(x, same & all_of([compare(F.col(f"y.{c}"), F.col(f"x.{c}")) for c in columns]), how).drop("#share")

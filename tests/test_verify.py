@@ -37,7 +37,7 @@ def test_violations_match_brute_force(spark, case, zone_rows):
 
 
 @pytest.mark.parametrize("zone_rows", [5, 4096])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_given_medians_agree_with_full_vectors(spark, seed, zone_rows, monkeypatch):
     from softdeps.operators import zones
 
