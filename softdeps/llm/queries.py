@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from softdeps.llm.chat import format_chat, read_chat, turn_records
 from softdeps.llm.common import read
 from softdeps.llm.mixing import mix_counts
 from softdeps.llm.packing import pack_by_curve
+from softdeps.llm.secret_scan import find_secrets
+from softdeps.llm.sentence_spans import drop_repeated_sentences
+from softdeps.llm.toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,14 +22,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return find_secrets(read(spark, d, "documents"))
+
+
 def op4_curve_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack_by_curve(read(spark, d, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    records = turn_records(read(spark, d, "conversations"))
+    controls = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(controls).alias("text"),
+    )
+    return read_chat(format_chat(records.unionByName(turn_records(added))))
+
+
+def op6_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    return drop_repeated_sentences(read(spark, d, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return score_toxicity(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels")).drop("text")
+
+
 def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
     counted = mix_counts(read(spark, d, "documents").select("doc_id", "source", "text"))
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
     return counted.select("doc_id", "size", "source_size", "target", taken)
 
 
-QUERIES = {f.__name__: f for f in (op4_curve_packing, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_curve_packing, op5_chat_format, op6_sentence_spans, op7_toxicity, op9_source_mix)}

@@ -13,7 +13,21 @@ levels AS (
 level AS (SELECT arg_min(level, k) AS v FROM levels WHERE level * w <= room),
 targets AS (SELECT source, source_size, CASE WHEN v * w > room THEN room::DOUBLE ELSE v * w END AS target FROM weighed, level)"""
 
+# A turn's escaped text has one more character for each backslash and control string.
+CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) / {len(c)}" for c in ("\\", *CONTROLS)).replace(" / ", " // ")
+
 ORACLES = {
+    "op5_chat_format": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + {ESCAPES} + {len("<|im_start|>") + 1 + len("<|im_end|>") + 1})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
     "op9_source_mix": rf"""
 WITH {SIZED},
 rates AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size::DOUBLE END AS rate,
