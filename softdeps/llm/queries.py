@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from softdeps.llm.chat import format_chat, read_chat, turn_records
 from softdeps.llm.common import read
+from softdeps.llm.cover_tree import top_k
+from softdeps.llm.itq_dedup import near_vectors
 from softdeps.llm.mixing import mix_counts
 from softdeps.llm.packing import pack_by_curve
 from softdeps.llm.secret_scan import find_secrets
@@ -22,10 +24,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_itq_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_vectors(read(spark, d, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return find_secrets(read(spark, d, "documents"))
 
 
+def op3_cover_tree(spark: SparkSession, d: str) -> DataFrame:
+    return top_k(read(spark, d, "embeddings"))
+
+
 def op4_curve_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack_by_curve(read(spark, d, "documents"), tokenizer_path(), with_ids=False)
 
@@ -56,4 +66,16 @@ def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("doc_id", "size", "source_size", "target", taken)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_curve_packing, op5_chat_format, op6_sentence_spans, op7_toxicity, op9_source_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_itq_dedup,
+        op2_secret_scan,
+        op3_cover_tree,
+        op4_curve_packing,
+        op5_chat_format,
+        op6_sentence_spans,
+        op7_toxicity,
+        op9_source_mix,
+    )
+}
