@@ -13,6 +13,7 @@ from softdeps.llm.mixing import mix_counts
 from softdeps.llm.packing import pack_by_curve
 from softdeps.llm.secret_scan import find_secrets
 from softdeps.llm.sentence_spans import drop_repeated_sentences
+from softdeps.llm.suffix_dedup import drop_repeated_strings
 from softdeps.llm.toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +61,10 @@ def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return score_toxicity(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels")).drop("text")
 
 
+def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return drop_repeated_strings(read(spark, d, "documents"), with_kept=False)
+
+
 def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
     counted = mix_counts(read(spark, d, "documents").select("doc_id", "source", "text"))
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
@@ -76,6 +81,7 @@ QUERIES = {
         op5_chat_format,
         op6_sentence_spans,
         op7_toxicity,
+        op8_suffix_dedup,
         op9_source_mix,
     )
 }
