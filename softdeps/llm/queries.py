@@ -10,6 +10,7 @@ from softdeps.llm.common import read
 from softdeps.llm.cover_tree import top_k
 from softdeps.llm.itq_dedup import near_vectors
 from softdeps.llm.mixing import mix_counts
+from softdeps.llm.ngram_join import jaccard_components
 from softdeps.llm.packing import pack_by_curve
 from softdeps.llm.secret_scan import find_secrets
 from softdeps.llm.sentence_spans import drop_repeated_sentences
@@ -71,6 +72,10 @@ def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op10_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_components(read(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +88,6 @@ QUERIES = {
         op7_toxicity,
         op8_suffix_dedup,
         op9_source_mix,
+        op10_ngram_join,
     )
 }

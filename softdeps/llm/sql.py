@@ -17,6 +17,21 @@ targets AS (SELECT source, source_size, CASE WHEN v * w > room THEN room::DOUBLE
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) / {len(c)}" for c in ("\\", *CONTROLS)).replace(" / ", " // ")
 
+# The sets of op10: words in lower case (A-Z alone), distinct runs of three, or the whole sequence if shorter.
+SHINGLES = r"""
+split_ AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split_),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS both_ FROM flat a
+  JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met WHERE 100 * both_ >= 90 * (an + bn - both_)),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, e.b FROM reach r JOIN either e ON r.other = e.a),
+grouped AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)"""
+
 USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 ORACLES = {
@@ -48,6 +63,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(text) + {ESCAPES} + {len("<|im_start|>") + 1 + len("<|im_end|>") + 1})::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op10_ngram_join": f"""
+WITH RECURSIVE {SHINGLES}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN grouped USING (doc_id)""",
     "op9_source_mix": rf"""
 WITH {SIZED},
 rates AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size::DOUBLE END AS rate,
