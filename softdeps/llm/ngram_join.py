@@ -3,7 +3,8 @@
 Two documents of a given similarity differ in few shingles, so if the space of shingles is cut into a few more parts than that, some part of both is equal: the
 hash of each part is a block's key, and only documents of one block are compared.  A block's documents are searched as T-occurrence queries over inverted
 lists: short lists are merged by a heap, long ones are probed by bisection for what the merge leaves (DivideSkip), and documents that reach the required
-overlap link.  Blocks are first compared with one center each, which settles groups of copies without their pairs; what that leaves open is searched whole.
+overlap link.  Blocks are first compared with one center each, which settles groups of copies without their pairs; what that leaves open is compared whole.
+Before a search, sketches (16-bit hashes of four times as many parts) rule out documents that differ in more parts than linked ones can.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from softdeps.llm.common import arrow, components, map_batches, stage
 
 WORDS, SIMILAR, OF = 3, 90, 100
-TILE, CENTERS, MU = 256, 3, 0.05
+TILE, CENTERS, FINE, MU = 256, 4, 4, 0.05
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,28 +75,48 @@ def size_classes(upto: int, similar: int, of: int) -> list[int]:
     return bounds
 
 
+def most_different(bounds: list[int], c: int, similar: int, of: int) -> int:
+    """The most shingles in which linked sets of class ``c`` (and the one below) differ."""
+    return 2 * (bounds[c + 1] - 1) * (of - similar) // (of + similar)
+
+
+def part_hashes(s: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each of ``n`` equal parts of the shingles' space, and whether the part has any."""
+    cuts = np.searchsorted(s, (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + np.uint64(1)), dtype=np.uint64)])
+    begins, ends = np.concatenate([[0], cuts]), np.append(cuts, len(s))
+    return mixed(sums[ends] - sums[begins] + mixed(np.arange(n, dtype=np.uint64) + np.uint64(salt << 32))), ends > begins
+
+
+def own_class(n: int, bounds: list[int]) -> int:
+    return bisect_left(bounds, n + 1) - 1
+
+
 def block_keys(s: np.ndarray, similar: int, of: int, bounds: list[int]) -> list[int]:
     """Keys of a set for its own size class and the next: one per part of the shingles' space.
 
     With d the most shingles in which linked sets of the class differ there are d + 2 parts, so two parts at least are equal.  A set with one empty
     part needs no key for it, as another equal part is not empty.
     """
-    own, keys = bisect_left(bounds, len(s) + 1) - 1, []
+    own, keys = own_class(len(s), bounds), []
     for c in (own, own + 1):
-        differ = 2 * (bounds[c + 1] - 1) * (of - similar) // (of + similar)
-        if not differ:
-            continue  # only equal sets link, and those are folded
-        n = differ + 2
-        cuts = np.searchsorted(s, (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + np.uint64(1)), dtype=np.uint64)])
-        ends = np.append(cuts, len(s))
-        begins = np.concatenate([[0], cuts])
-        part = mixed(sums[ends] - sums[begins] + mixed(np.arange(n, dtype=np.uint64) + np.uint64(c << 32)))
-        full = ends > begins
-        keys += (part[full] if np.count_nonzero(~full) == 1 else part).view(np.int64).tolist()
+        if differ := most_different(bounds, c, similar, of):  # else only equal sets link, and those are folded
+            part, full = part_hashes(s, differ + 2, c)
+            keys += (part[full] if np.count_nonzero(~full) == 1 else part).view(np.int64).tolist()
     return keys
 
 
+def sketches(s: np.ndarray, similar: int, of: int, bounds: list[int]) -> list[bytes]:
+    """Short hashes of finer parts for the own class and the next."""
+    own = own_class(len(s), bounds)
+    return [part_hashes(s, FINE * (most_different(bounds, c, similar, of) + 2), c)[0].astype(np.uint16).tobytes() for c in (own, own + 1)]
+
+
+def may_link(unequal, sizes, similar: int, of: int):
+    """Every unequal part holds a shingle that one of the two lacks."""
+    return unequal * (of + similar) <= sizes * (of - similar)
+
+
 def t_occurrence(query: np.ndarray, lists: dict[int, list[int]], sizes: list[int], similar: int, of: int) -> Iterator[tuple[int, int]]:
     """``(document, overlap)`` of all documents that link with the query.
 
@@ -211,28 +232,44 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
             columns = list(zip(*rows, strict=True)) or [()] * 2
             yield arrow({"node": (list(columns[0]), pa.int64()), "shingles": (list(columns[1]), pa.binary())})
 
-    known = stage(map_batches(texts.join(wanted, "doc_id").select("node", "text"), made, "node long, shingles binary"), "shingles")
-    known = known.dropDuplicates(["node"])
+    known = stage(map_batches(texts.join(wanted, "doc_id").select("node", "text"), made, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+            both = [sketches(s, similar, of, bounds) for s in sets_]
+            columns = {
+                "size": ([len(s) for s in sets_], pa.int64()),
+                "class": ([own_class(len(s), bounds) for s in sets_], pa.int32()),
+                "own": ([b[0] for b in both], pa.binary()),
+                "next": ([b[1] for b in both], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrow(columns).columns], names=["node", *columns])
+
+    short = stage(map_batches(known, sketched, "node long, size long, class int, own binary, next binary"), "sketches")
 
     links, tested = None, None
-    for _ in range(CENTERS):
-        pairs = open_.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    for turn in range(CENTERS + 1):
+        if turn < CENTERS:
+            pairs = open_.select(F.col("center").alias("a"), F.col("node").alias("b"))
+        else:
+            pairs = block_pairs(open_, short, similar, of)
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        new = stage(center_links(pairs, known, similar, of), "links")
+        new = stage(center_links(possible(pairs, short, similar, of) if turn < CENTERS else pairs, known, similar, of), "links")
         links = new if links is None else links.unionAll(new)
         comps = stage(components(links), "components")
+        if turn == CENTERS:
+            break
         # Left open: blocks whose other nodes are in several components.
         rest = open_.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         centers = rest.groupBy("key").agg(F.min("node").alias("center"), F.min("component").alias("low"), F.max("component").alias("high"))
         open_ = stage(rest.join(centers.where("low <> high").select("key", "center"), "key").where("node <> center"), "open")
         if open_.isEmpty():
             break
-    else:
-        links = links.unionAll(stage(block_links(open_, known, similar, of), "links"))
-        comps = stage(components(links), "components")
 
     reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     named = reps.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -264,9 +301,26 @@ def center_links(pairs: DataFrame, known: DataFrame, similar: int, of: int) -> D
     return map_batches(met, searched, "a long, b long")
 
 
-def block_links(rows: DataFrame, known: DataFrame, similar: int, of: int) -> DataFrame:
-    """Spanning links of blocks ``(key, node, component, center)`` among nodes of different components; equal blocks are searched once, large ones by pairs
-    of tiles."""
+def possible(pairs: DataFrame, short: DataFrame, similar: int, of: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that their sketches don't rule out."""
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, n, m, c, d, *s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                x, y = s[0] if c >= d else s[1], s[2] if d >= c else s[3]
+                if abs(c - d) < 2 and may_link(np.count_nonzero(np.frombuffer(x, np.uint16) != np.frombuffer(y, np.uint16)), n + m, similar, of):
+                    out.append((a, b))
+            yield pairs_batch(out)
+
+    named = lambda k, i: short.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}{i}") for c in ("size", "class", "own", "next")))
+    met = pairs.join(named("a", 1), "a").join(named("b", 2), "b")
+    return map_batches(met.select("a", "b", "size1", "size2", "class1", "class2", "own1", "next1", "own2", "next2"), checked, "a long, b long")
+
+
+def block_pairs(rows: DataFrame, short: DataFrame, similar: int, of: int) -> DataFrame:
+    """Pairs of different components inside blocks ``(key, node, component, center)`` that sketches don't rule out; equal blocks are taken once, large
+    ones by pairs of tiles."""
     whole = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s")
     )
@@ -277,33 +331,24 @@ def block_links(rows: DataFrame, known: DataFrame, similar: int, of: int) -> Dat
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     cells = placed.select("key", "node", "component", "tile", other)
     cells = cells.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component")
-    met = cells.join(known, "node").select("key", "i", "j", "tile", "node", "component", "shingles")
+    met = cells.join(short, "node").select("key", "i", "j", "tile", "node", "component", "size", "class", "own", "next")
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), group in grouped(batches, 3):
-            group_of = [r[2] for r in group]
-            sets = [np.frombuffer(r[3], np.uint64) for r in group]
-            inside = [k for k, r in enumerate(group) if r[0] == j]
-            lists, sizes = inverted(sets[k] for k in inside), [len(sets[k]) for k in inside]
-            label, out = {c: c for c in group_of}, []
-
-            def root(c: int, label=label) -> int:
-                while label[c] != c:
-                    label[c] = label[label[c]]
-                    c = label[c]
-                return c
-
-            for k, r in enumerate(group):
-                if r[0] == i:
-                    for doc, _ in t_occurrence(sets[k], lists, sizes, similar, of):
-                        a, b = root(group_of[k]), root(group_of[inside[doc]])
-                        if a != b:
-                            label[max(a, b)] = min(a, b)
-                            out.append((r[1], group[inside[doc]][1]))
+            tile, node, component, size = (np.array([r[k] for r in group]) for k in range(4))
+            top = max(r[4] for r in group)
+            sketch = np.stack([np.frombuffer(r[5] if r[4] == top else r[6], np.uint16) for r in group])
+            right, out = np.flatnonzero(tile == j), []
+            for x in np.flatnonzero(tile == i):
+                others = right[(component[right] != component[x]) & ((right > x) if i == j else True)]
+                if len(others):
+                    unequal = np.count_nonzero(sketch[others] != sketch[x], axis=1)
+                    hits = others[may_link(unequal, size[others] + size[x], similar, of)]
+                    out += [(min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))) for y in hits]
             yield pairs_batch(out)
 
-    return map_batches(met, searched, "a long, b long")
+    return map_batches(met, compared, "a long, b long")
 
 
 def _by(key: str, order: str):
