@@ -82,13 +82,13 @@ class Best:
 def search(queries: np.ndarray, q_root: Node, data: np.ndarray, ids: np.ndarray, r_root: Node, best: Best) -> None:
     def limit(q: Node, r: Node) -> float:
         slack = q.radius * r.norm + r.radius * q.norm + q.radius * r.radius
-        return float(q.center @ r.center) + slack + 1e-9 * (q.norm + q.radius) * (r.norm + r.radius) + 1
+        return max(-float(LONG), float(q.center @ r.center) + slack + 1e-9 * (q.norm + q.radius) * (r.norm + r.radius) + 1)
 
     def compare(q: Node, q_points: np.ndarray, r_points: np.ndarray) -> None:
         if len(q_points) and len(r_points):
             rows = data[r_points]
             reach = rows @ q.center + q.radius * np.sqrt((rows**2).sum(1)) * (1 + 1e-9) + 1
-            r_points = r_points[reach >= best.worst[q_points].min()]
+            r_points = r_points[np.maximum(reach, -float(LONG)) >= best.worst[q_points].min()]  # scores are held to the range of a long
             best.offer(q_points, products(queries[q_points], data[r_points]), ids[r_points])
 
     work = [(q_root, r_root)]
