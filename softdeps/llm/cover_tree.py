@@ -59,7 +59,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if a.size == 0 or b.size == 0 or a.shape[1] * np.abs(a).max() * np.abs(b).max() < EXACT:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object)
-    return np.clip(whole(a) @ whole(b).T, -LONG, LONG - 1).astype(np.int64)
+    return np.clip(whole(a) @ whole(b).T, 1 - LONG, LONG - 1).astype(np.int64)
 
 
 class Best:
@@ -82,7 +82,7 @@ class Best:
 def search(queries: np.ndarray, q_root: Node, data: np.ndarray, ids: np.ndarray, r_root: Node, best: Best) -> None:
     def limit(q: Node, r: Node) -> float:
         slack = q.radius * r.norm + r.radius * q.norm + q.radius * r.radius
-        return max(-float(LONG), float(q.center @ r.center) + slack + 1e-9 * (q.norm + q.radius) * (r.norm + r.radius) + 1)
+        return max(1 - float(LONG), float(q.center @ r.center) + slack + 1e-9 * (q.norm + q.radius) * (r.norm + r.radius) + 1)
 
     def compare(q: Node, q_points: np.ndarray, r_points: np.ndarray) -> None:
         if len(q_points) and len(r_points):
