@@ -32,7 +32,12 @@ def with_null_rule(a: Column, b: Column, distance: Column) -> Column:
 
 
 def numeric_distance(a: Column, b: Column) -> Column:
-    return with_null_rule(a, b, F.abs(a - b))
+    return with_null_rule(a, b, F.abs(difference(a, b)))
+
+
+def difference(a: Column, b: Column) -> Column:
+    """``a - b``, and 0 for two equal infinities."""
+    return F.when(a == b, F.lit(0)).otherwise(a - b)
 
 
 def edit_distance(a: Column, b: Column, bytes: bool = False) -> Column:
@@ -132,7 +137,7 @@ class Measure:
             return F.lit(0.0), infinity()
         lo_a, hi_a = self._stat("a", "lo"), self._stat("a", "hi")
         lo_b, hi_b = self._stat("b", "lo"), self._stat("b", "hi")
-        gap = F.greatest(lo_b - hi_a, lo_a - hi_b)
+        gap = F.greatest(difference(lo_b, hi_a), difference(lo_a, hi_b))
         if self.kind in ("text", "bytes"):
             first_a, last_a = self._stat("a", "first"), self._stat("a", "last")
             first_b, last_b = self._stat("b", "first"), self._stat("b", "last")
@@ -142,7 +147,7 @@ class Measure:
             most = F.when(one_value, F.lit(0)).otherwise(F.greatest(hi_a, hi_b))
             return least.cast("double"), most.cast("double")
         least = F.greatest(gap, F.lit(0).cast(self._width()))
-        most = F.greatest(hi_b - lo_a, hi_a - lo_b)
+        most = F.greatest(difference(hi_b, lo_a), difference(hi_a, lo_b))
         if self.kind == "days":
             return whole_days(least), whole_days(most)
         return least.cast("double"), most.cast("double")

@@ -18,6 +18,7 @@ from softdeps.functions.distances import Measure, measures_for
 from softdeps.session import ceil_div, slots, stage_counted
 
 MAX_TILE_ROWS = 16_384
+CELL_PARTITIONS = 32
 MIN_TILE_ROWS = 192
 MEMO_VALUES = 256
 MEMO_FROM = 2_048
@@ -48,6 +49,11 @@ def tile_count(n: int, tasks: int, tile_rows: int = MAX_TILE_ROWS) -> int:
     return max(1, ceil_div(n, tile_rows), min(for_slots, n // MIN_TILE_ROWS))
 
 
+def cell_partitions(cells: int, tasks: int) -> int:
+    """Shuffle partitions for so many cells: one each while they are few, then a fixed number for every task slot."""
+    return max(1, min(cells, CELL_PARTITIONS * tasks))
+
+
 def hash_tiles(rows: DataFrame, tiles: int, on: list[str]) -> DataFrame:
     return rows.withColumn("#tile", F.pmod(F.xxhash64(*[q(c) for c in on]), F.lit(tiles)).cast("int"))
 
@@ -65,8 +71,10 @@ def self_cells(rows: DataFrame, tiles: int) -> DataFrame:
         F.explode(F.transform(F.sequence(F.lit(0), tile), lambda t: t * F.lit(tiles) + tile)).alias("cell"),
     )
     cells = tiles * (tiles + 1) // 2
-    left = left.repartition(cells, "cell")
-    right = right.repartition(cells, "cell").hint("shuffle_hash")
+    partitions = cell_partitions(cells, slots(rows.sparkSession))
+    left = left.repartition(partitions, "cell")
+    # With several cells in a partition only a sorted one holds no more than one of them, and that can spill.
+    right = right.repartition(partitions, "cell").hint("shuffle_hash" if partitions == cells else "merge")
     return left.join(right, "cell").where(
         (F.col("a.`#tile`") != F.col("b.`#tile`")) | (F.col("a.`#id`") < F.col("b.`#id`"))
     )

@@ -20,7 +20,7 @@ Taxonomy = tuple[DataFrame, DataFrame]
 
 
 def first_senses(senses: DataFrame) -> DataFrame:
-    order = F.col("rank") if "rank" in senses.columns else F.col("node")
+    order = F.struct("rank", "node") if "rank" in senses.columns else F.col("node")
     return senses.groupBy("term").agg(F.min_by("node", order).alias("node"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.functions.distances import measures_for
+from softdeps.functions.formatting import RESERVED
 from softdeps.operators.levels import RANGES, all_of, pool_intervals, prior_min
 from softdeps.operators.pairs import cross_cells, profile_vectors, q, staged_profiles
 from softdeps.operators.skyline import FRONT_TILE_ROWS, front_columns, local_fronts, merge_fronts
@@ -66,8 +67,10 @@ def discover_rfds(
     """
     names = columns or [c for c in df.columns if c != key]
     combos = combinations(names, rhs, lhs)
-    if {"rhs", "rhs_threshold"} & set(names):
-        raise ValueError("attributes may not be named rhs or rhs_threshold")
+    if taken := set(RESERVED) & set(names):
+        raise ValueError(f"attributes may not be named as columns of the result: {sorted(taken)}")
+    if len(names) < 2:
+        raise ValueError("a dependency needs at least two attributes")
     measures = taxonomy_measures(
         df, measures_for(df, names, None, distances, float32, bytes, scale), taxonomies or {}
     )
@@ -85,7 +88,7 @@ def discover_rfds(
 def discover_all(df: DataFrame, **options) -> DataFrame:
     """Dependencies of every combination in one table, keyed by its label."""
     names = options.get("columns") or [c for c in df.columns if c != options.get("key")]
-    return with_combination(discover_rfds(df, **options), combinations(names))
+    return with_combination(discover_rfds(df, **options), combinations(names, options.get("rhs"), options.get("lhs")))
 
 
 def with_combination(rfds: DataFrame, combos: list[Combo]) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from softdeps.functions.formatting import number_text
 from softdeps.operators.pairs import q
 
 
 def decimal_comma(df: DataFrame, mark: str = ",") -> DataFrame:
     """Fractional columns as text with another decimal mark."""
     fractional = (T.DoubleType, T.FloatType, T.DecimalType)
-    swap = {f.name: F.translate(q(f.name).cast("string"), ".", mark) for f in df.schema if isinstance(f.dataType, fractional)}
+    text = lambda f: q(f.name).cast("string") if isinstance(f.dataType, T.DecimalType) else number_text(q(f.name))
+    swap = {f.name: F.translate(text(f), ".", mark) for f in df.schema if isinstance(f.dataType, fractional)}
     return df.withColumns(swap) if swap else df
 
 

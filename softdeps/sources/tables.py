@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,10 @@ MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+
+# Texts that count as numbers: no type suffixes, which a cast would take.
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?:[Nn]a[Nn]|[Ii]nf(?:inity)?)"
+
 # Date formats tried in this order when none is given.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy"]
 SEPARATORS = [";", ",", "\t", "|", ":"]
@@ -31,7 +37,7 @@ def read_table(
     """A delimited file with missing markers as null and typed columns (given by ``schema`` or inferred)."""
     raw = spark.read.csv(path, sep=sep, header=header, inferSchema=False)
     markers = MISSING + [missing]
-    cells = {c: F.when(~F.trim(q(c)).isin(markers), F.trim(q(c))) for c in raw.columns}
+    cells = {c: F.when(~F.trim(q(c)).isin(markers), q(c)) for c in raw.columns}
     text = raw.select(*[e.alias(c) for c, e in cells.items()])
     dates = {raw.columns[c] if isinstance(c, int) else c for c in datetime_cols or []}
     if schema is None:
@@ -46,15 +52,16 @@ def read_table(
 
 def parse_date(c: Column, date_format: str | None = None) -> Column:
     """Timestamp from text, null where no format fits."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ([date_format] if date_format else DATE_FORMATS)])
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in ([date_format] if date_format else DATE_FORMATS)])
 
 
 def infer_types(text: DataFrame, columns: list[str]) -> dict[str, str]:
     """The narrowest of bigint, double, boolean and string that every present value of a column fits; one pass."""
     if not columns:
         return {}
-    fits = lambda c, t: F.coalesce(F.bool_and(q(c).try_cast(t).isNotNull() | q(c).isNull()), F.lit(True))
-    is_bool = lambda c: F.coalesce(F.bool_and(F.lower(q(c)).isin("true", "false") | q(c).isNull()), F.lit(True))
+    numeric = lambda c: F.trim(q(c)).rlike(f"^(?:{NUMBER})$")
+    fits = lambda c, t: F.coalesce(F.bool_and((q(c).try_cast(t).isNotNull() & numeric(c)) | q(c).isNull()), F.lit(True))
+    is_bool = lambda c: F.coalesce(F.bool_and(F.lower(F.trim(q(c))).isin("true", "false") | q(c).isNull()), F.lit(True))
     checks = [
         F.struct(
             F.count(q(c)).alias("n"), fits(c, "bigint").alias("bigint"), fits(c, "double").alias("double"), is_bool(c).alias("boolean")
@@ -66,37 +73,42 @@ def infer_types(text: DataFrame, columns: list[str]) -> dict[str, str]:
     return {c: pick(row[f"c{i}"]) for i, c in enumerate(columns)}
 
 
-def infer_dialect(spark: SparkSession, path: str, lines: int = 100, sep: str | None = None) -> tuple[str, bool]:
-    """Separator and header presence, from the first ``lines`` lines.
+def infer_dialect(spark: SparkSession, path: str, sep: str | None = None) -> tuple[str, bool]:
+    """Separator and header presence, from all lines; what stands in quotes does not count.
 
-    The separator is the candidate that cuts every line into the same, largest number of
-    fields.  The first line is a header when some column is numeric below it but not in it
-    (or the reverse), or when none of its texts recurs below.
+    The separator is the candidate that cuts every line into the same, largest number of fields.  The first line is a header when some column is numeric below
+    it but not in it (or the reverse), or when none of its texts recurs below.  In a folder of part files their repeated first lines count as headers.
     """
-    sample = [r[0] for r in spark.read.text(path).take(lines) if r[0].strip()]
-    if not sample:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.first()
+    if first is None:
         raise ValueError(f"no lines in {path}")
     if sep is None:
-        stable = {s: sample[0].count(s) for s in SEPARATORS if len({line.count(s) for line in sample}) == 1}
-        counts = {s: n for s, n in (stable or {s: sample[0].count(s) for s in SEPARATORS}).items() if n}
+        bare = F.regexp_replace("value", '"[^"]*"', "")
+        found = lambda s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))
+        spread = lines.agg(*[f(found(s)) for s in SEPARATORS for f in (F.min, F.max)]).first()
+        ranges = {s: spread[2 * i : 2 * i + 2] for i, s in enumerate(SEPARATORS)}
+        stable = {s: hi for s, (lo, hi) in ranges.items() if lo == hi and hi}
+        counts = stable or {s: hi for s, (_, hi) in ranges.items() if hi}
         sep = max(counts, key=counts.get) if counts else ","
-    head, *body = [[cell.strip() for cell in line.split(sep)] for line in sample]
-    if not body:
+    cells = spark.read.csv(path, sep=sep, header=False, inferSchema=False)
+    head = cells.first()
+    names = cells.columns
+    body = cells.where(~F.coalesce(F.struct(*names).eqNullSafe(F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, head)])), F.lit(False)))
+    checks = [F.count(F.lit(1)).alias("n")]
+    for name, top in zip(names, head):
+        value = F.trim(F.col(name))
+        known = ~value.isin([*MISSING, "?"]) & value.isNotNull()
+        numeric = value.rlike(f"^(?:{NUMBER})$")
+        checks += [F.bool_and(F.when(known, numeric)), F.bool_or(F.when(known, numeric)), F.bool_or(known & (value == F.lit((top or "").strip())))]
+    n, *flags = body.agg(*checks).first()
+    if not n:
         return sep, True
-    columns = list(zip(*[r for r in body if len(r) == len(head)]))
-    known = [[v for v in col if v not in MISSING and v != "?"] for col in columns]
-    kinds = [({_is_number(v) for v in col}, _is_number(h)) for col, h in zip(known, head)]
-    if any(len(below) == 1 and top not in below for below, top in kinds):
+    tops = [bool(re.fullmatch(NUMBER, (v or "").strip())) for v in head]
+    every, some, recurs = flags[0::3], flags[1::3], flags[2::3]
+    if any(a is not None and a == b and a != top for a, b, top in zip(every, some, tops)):
         return sep, True
-    return sep, bool(known) and not any(top for _, top in kinds) and not any(h in col for h, col in zip(head, known))
-
-
-def _is_number(text: str) -> bool:
-    try:
-        float(text)
-    except ValueError:
-        return False
-    return True
+    return sep, not any(tops) and not any(recurs)
 
 
 def read_corpus(spark: SparkSession, folder: str, suffix: str = ".csv", skip_prefix: str = "distance", **options) -> dict[str, DataFrame]:

@@ -34,26 +34,24 @@ def stream_top_k(
     up = [c in ascending for c in order]
     fields = df.schema.fields
     names = [f.name for f in fields]
-    windowed = df.withColumn("window_start", F.window(F.col(ts).cast("timestamp"), width)["start"]).withColumn(
-        "window_end", F.window(F.col(ts).cast("timestamp"), width)["end"]
-    )
-    trimmed_type = T.StructType(
-        fields
-        + [T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()), T.StructField("window_seen", T.TimestampType())]
-    )
+    # Times travel as epoch milliseconds, which no time zone changes.
+    at = F.col(ts).cast("timestamp")
+    bounds = {f"window_{side}": F.unix_millis(F.window(at, width)[side]) for side in ("start", "end")}
+    windowed = df.withColumns(bounds).withColumn("window_seen", F.unix_millis(at))
+    trimmed_type = T.StructType(fields + [T.StructField(f"window_{c}", T.LongType()) for c in ("start", "end", "seen")])
 
     def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for pdf in batches:
-            pdf["window_seen"] = pd.to_datetime(pdf[ts])
             pdf = pdf if kept is None else pd.concat([kept, pdf])
             pdf["window_seen"] = pdf.groupby("window_start")["window_seen"].transform("max")
             kept = pdf.sort_values(order, ascending=up, kind="stable").groupby("window_start").head(k)
         if kept is not None:
             yield kept
 
-    trimmed = windowed.mapInPandas(trim, trimmed_type).withWatermark("window_seen", delay)
-    out_type = T.StructType([T.StructField("window_start", T.TimestampType()), T.StructField("rank", T.IntegerType())] + fields)
+    trimmed = windowed.mapInPandas(trim, trimmed_type)
+    trimmed = trimmed.withColumn("window_seen", F.timestamp_millis("window_seen")).withWatermark("window_seen", delay)
+    out_type = T.StructType([T.StructField("window_start", T.LongType()), T.StructField("rank", T.IntegerType())] + fields)
 
     places = [(names.index(c), not a) for c, a in zip(order, up)][::-1]
 
@@ -71,11 +69,12 @@ def stream_top_k(
         for pdf in batches:
             held = best(held + list(pdf[names].itertuples(index=False, name=None)))
         state.update((pickle.dumps(held),))
-        state.setTimeoutTimestamp(int(pd.Timestamp(key[1]).timestamp() * 1000))
+        state.setTimeoutTimestamp(int(key[1]))
 
-    return trimmed.groupBy("window_start", "window_end").applyInPandasWithState(
+    tops = trimmed.groupBy("window_start", "window_end").applyInPandasWithState(
         step, out_type, "top binary", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return tops.withColumn("window_start", F.timestamp_millis("window_start"))
 
 
 def start_sink(

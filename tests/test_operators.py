@@ -174,3 +174,22 @@ def test_taxonomy_paths_and_fallback(spark):
 def test_key_uniqueness(spark):
     assert key_is_unique(spark.createDataFrame([(1,), (2,)], "k int"), "k")
     assert not key_is_unique(spark.createDataFrame([(1,), (1,)], "k int"), "k")
+
+
+def test_cells_keep_to_a_bounded_number_of_partitions():
+    from softdeps.operators.pairs import cell_partitions, tile_count
+
+    tiles = tile_count(10**8, 4000)
+    assert cell_partitions(tiles * (tiles + 1) // 2, 4000) <= 32 * 4000
+    assert cell_partitions(10, 8) == 10
+
+
+def test_plain_numbers_and_equal_infinities(spark):
+    from softdeps.functions.distances import numeric_distance
+    from softdeps.functions.formatting import number_text
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(12345678.0, "12345678.0"), (0.5, "0.5"), (1.5e9, "1500000000.0"), (2.0, "2.0")], "x double, want string")
+    assert df.where(number_text(F.col("x")) != F.col("want")).count() == 0
+    inf = spark.createDataFrame([(float("inf"), float("inf"))], "a double, b double")
+    assert inf.select(numeric_distance(F.col("a"), F.col("b"))).first()[0] == 0.0

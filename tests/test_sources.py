@@ -143,3 +143,37 @@ def test_stream_of_messages_keeps_the_best_of_each_closed_window(spark, tmp_path
         want = [r["_msgid"] for r in sorted(inside, key=lambda r: (-r["sentiment_word_count"], r["_msgid"]))[:5]]
         assert [r["_msgid"] for r in got if r["window_start"].minute == start] == want
     assert all(r["text"] == "x\\ny" for r in got) and not any(r["window_start"].minute == 50 for r in got)
+
+
+def test_codes_padding_and_quotes(spark, tmp_path):
+    path = put(tmp_path, "codes.csv", 'id;name;note\n1; ab;"x;y, z"\n2;12d;"p"\n3;10f;"q,r;s"\n')
+    assert infer_dialect(spark, path) == (";", True)
+    got = read_table(spark, path)
+    assert dict(got.dtypes)["name"] == "string" and got.orderBy("id").first()["name"] == " ab"
+    codes = put(tmp_path, "d.csv", "a;b\n12d;1\n10f;2\n")
+    assert dict(read_table(spark, codes).dtypes) == {"a": "string", "b": "bigint"}
+    late = put(tmp_path, "late.csv", "a,b;c\n" + "1,2;3\n" * 150 + "4,5,6;7\n")
+    assert infer_dialect(spark, late)[0] == ";"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_stream_in_every_zone(spark, tmp_path, zone):
+    from pyspark.sql import functions as F
+
+    from softdeps.streaming.topk import start_sink, stream_top_k
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.range(400).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"), "id", (F.col("id") % 7).alias("v"))
+        rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        best = stream_top_k(stream, "ts", "10 minutes", ["v", "id"], 2, ascending=("id",))
+        start_sink(best, str(tmp_path / "out"), str(tmp_path / "check"), every=None).awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out"))
+        starts = sorted(r[0] for r in got.select(F.unix_seconds("window_start")).distinct().collect())
+        closed = 1_700_000_000 + 399 * 60 - 600
+        ends = [t - t % 600 + 600 for t in range(1_700_000_000, closed + 600, 60)]
+        assert starts == sorted({e - 600 for e in ends if e <= closed})
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
