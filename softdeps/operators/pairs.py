@@ -117,12 +117,16 @@ def pair_distances(pairs: DataFrame, measures: list[Measure], keep: list[Column]
 
 
 def row_pairs(df: DataFrame, key: str, tiles: int | None = None) -> DataFrame:
-    """All unordered pairs of rows of ``df`` as structs ``a`` and ``b`` with ``a.key < b.key``."""
+    """All unordered pairs of rows of ``df`` as structs ``a`` and ``b`` with ``a.key <= b.key``, null keys last.
+
+    Rows get staged numbers of their own, so rows that share a key or have none are paired like any others.
+    """
+    rows, n = stage_counted(df.withColumn("#id", F.monotonically_increasing_id()), "rows")
     if tiles is None:
-        tiles = tile_count(df.count(), slots(df.sparkSession))
-    rows = hash_tiles(df.withColumn("#id", q(key)), tiles, [key])
-    pairs = self_cells(rows, tiles)
-    swap = F.col(f"a.`{key}`") > F.col(f"b.`{key}`")
+        tiles = tile_count(n, slots(df.sparkSession))
+    pairs = self_cells(hash_tiles(rows, tiles, ["#id"]), tiles)
+    first, second = F.col(f"a.`{key}`"), F.col(f"b.`{key}`")
+    swap = (first > second) | (first.isNull() & second.isNotNull())
     keep = F.struct(*[F.col(f"a.`{c}`").alias(c) for c in df.columns])
     other = F.struct(*[F.col(f"b.`{c}`").alias(c) for c in df.columns])
     return pairs.select(

@@ -54,15 +54,21 @@ def rfd_violations(
     zone_rows: int | None = None,
     **options,
 ) -> DataFrame:
-    """Row pairs within all lhs thresholds whose rhs distance exceeds ``rhs_threshold``: both keys and the distances."""
+    """Row pairs within all lhs thresholds whose rhs distance exceeds ``rhs_threshold``: both keys and the distances.
+
+    Rows are told apart by numbers of their own, so repeated and null keys lose no pair; a null key comes second.
+    """
     measures = _measures(df, lhs_thresholds, rhs, distances, options)
     names = [m.name for m in measures]
-    rows, n = stage_counted(encode(df, measures, [] if key in names else [key]).withColumn("#id", q(key)), "rows")
+    more = [] if key in names else [key]
+    rows, n = stage_counted(encode(df, measures, more).withColumn("#id", F.monotonically_increasing_id()), "rows")
     tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
     cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold)
     cells = stage(cells.select(F.col("a.`#tile`").alias("ta"), F.col("b.`#tile`").alias("tb")), "violations")
-    ids = [F.least("a.`#id`", "b.`#id`").alias(f"{key}_a"), F.greatest("a.`#id`", "b.`#id`").alias(f"{key}_b")]
-    pairs = pair_distances(join_cells(tiled, cells, names, _equal(measures, lhs_thresholds)), measures, ids)
+    first, second = F.col(f"a.`{key}`"), F.col(f"b.`{key}`")
+    both = first.isNotNull() & second.isNotNull()
+    ids = [F.least(first, second).alias(f"{key}_a"), F.when(both, F.greatest(first, second)).alias(f"{key}_b")]
+    pairs = pair_distances(join_cells(tiled, cells, names + more, _equal(measures, lhs_thresholds)), measures, ids)
     return pairs.where(_broken(lhs_thresholds, rhs, rhs_threshold))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import model
 from softdeps import discover_rfds, rfd_check, rfd_holds, rfd_violations
-from softdeps.operators.pairs import distance_vectors
+from softdeps.operators.pairs import distance_matrix, distance_vectors
 from softdeps.operators.stats import median_values
 from softdeps.session import stage
 
@@ -67,3 +67,14 @@ def test_one_hot_key_with_a_settled_answer(spark):
     assert rfd_holds(df, {"k": 0}, "y", 999)
     wide = df.union(spark.createDataFrame([("hot", 5000.0)], "k string, y double"))
     assert rfd_check(wide, {"k": 0}, "y", 999).first()["violations"] == 40_000
+
+
+def test_repeated_and_null_keys_lose_no_pair(spark):
+    df = spark.createDataFrame([(1, 0, 0), (1, 0, 10), (2, 0, 20), (None, 0, 30), (None, 0, 40)], "id int, x int, y int")
+    found = rfd_violations(df, {"x": 0}, "y", 5, "id").collect()
+    want = [(1, 1), (1, 2), (1, 2), *[(1, None)] * 4, *[(2, None)] * 2, (None, None)]
+    order = lambda pairs: sorted(pairs, key=repr)
+    assert order((r["id_a"], r["id_b"]) for r in found) == order(want)
+    assert rfd_check(df, {"x": 0}, "y", 5).first()["violations"] == len(want)
+    matrix = distance_matrix(df, dedup=False, key="id").collect()
+    assert order((r["id_a"], r["id_b"]) for r in matrix) == order(want)
