@@ -1,8 +1,8 @@
 """Secret scan with recursive decoding.
 
 Each text is a worklist of layers: the text, what its percent and Unicode escapes say, and what its base64 tokens and compressed blobs hold.  Every layer
-is scanned with the same patterns and searched for further layers until none is new; a layer met before (by its content) is not taken up again, so cycles
-end.  Spans found in a layer are mapped back to code points of the original text.
+is scanned with the same patterns and searched for further layers; a layer that stands below itself (by its content) is not entered again, so cycles
+end.  Spans found in a layer are mapped back to code points of the original text, at every place where the layer stands.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -156,29 +155,56 @@ def blob_layers(text: str) -> Iterator[tuple[str, Map, bool]]:
             yield layer, (lambda s, e, lo=lo, hi=hi: (lo, hi)), False
 
 
+def sublayers(layer: str) -> Iterator[tuple[str, Map, Callable | None, bool]]:
+    """``(content, map of its spans to the layer, whether a span counts, whether it was cut)`` of each layer that the layer itself holds."""
+    if "%" in layer and (new := rewritten(layer, PERCENT, percent_bytes)):
+        yield (*new, False)
+    if "\\" in layer and (new := rewritten(layer, UNICODE, unicode_chars)):
+        yield (*new, False)
+    for inner, place, was_cut in blob_layers(layer):
+        yield inner, place, None, was_cut
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Plain spans, all spans (start, kind, end), number of layers below the text, number of layers cut."""
-    base = base_spans(text)
-    spans, seen, cut = set(base), {text}, 0
-    work: deque[tuple[str, Map]] = deque([(text, lambda s, e: (s, e))])
-    while work:
-        layer, root = work.popleft()
-        found: list[tuple[str, Map, Callable | None]] = []
-        if "%" in layer and (new := rewritten(layer, PERCENT, percent_bytes)):
-            found.append(new)
-        if "\\" in layer and (new := rewritten(layer, UNICODE, unicode_chars)):
-            found.append(new)
-        for inner, place, was_cut in blob_layers(layer):
-            found.append((inner, place, None))
-            cut += was_cut
-        for inner, place, touched in found:
-            if inner in seen:
-                continue
-            seen.add(inner)
-            to_root = lambda s, e, place=place, root=root: root(*place(s, e))
-            spans.update((a, k, b) for s, k, e in base_spans(inner) if touched is None or touched(s, e) for a, b in [to_root(s, e)])
-            work.append((inner, to_root))
-    return base, sorted(spans), len(seen) - 1, cut
+    """Plain spans, all spans (start, kind, end), number of different layers below the text, number of layers cut.
+
+    Depth first.  A content's own and inner spans are found once, in its own places, and mapped to every place where it stands; only a content met again
+    below itself isn't entered.
+    """
+    base, cut = base_spans(text), 0
+    seen, chain = {text}, {text: 0}
+    done: dict[str, tuple[list, set]] = {}
+    # content, its plain spans, spans of its inner layers, layers to come, how the layer above holds it, least depth of the chain met again below
+    stack: list[list] = [[text, base, set(), sublayers(text), None, None, 0]]
+
+    def told(above: list, plain: list, inner: set, place: Map, touched: Callable | None) -> None:
+        for s, k, e in [x for x in plain if touched is None or touched(x[0], x[2])] + list(inner):
+            a, b = place(s, e)
+            above[2].add((a, k, b))
+
+    while True:
+        now = stack[-1]
+        if (new := next(now[3], None)) is None:
+            stack.pop()
+            del chain[now[0]]
+            if now[6] >= len(stack):  # nothing of it was left to a layer above
+                done[now[0]] = now[1], now[2]
+            if not stack:
+                return base, sorted({*base, *now[2]}), len(seen) - 1, cut
+            stack[-1][6] = min(stack[-1][6], now[6])
+            told(stack[-1], *now[1:3], *now[4:6])
+            continue
+        inner, place, touched, was_cut = new
+        cut += was_cut
+        seen.add(inner)
+        if inner in chain:
+            now[6] = min(now[6], chain[inner])
+            told(now, stack[chain[inner]][1], set(), place, touched)
+        elif inner in done:
+            told(now, *done[inner], place, touched)
+        else:
+            chain[inner] = len(stack)
+            stack.append([inner, base_spans(inner), set(), sublayers(inner), place, touched, len(stack)])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

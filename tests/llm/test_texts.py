@@ -61,6 +61,22 @@ def test_secrets_layers():
     assert scan("%41%")[1] == [] and scan("\\u{110000}")[1] == []
 
 
+def test_secrets_layers_at_every_place():
+    secret = "password=abcdefgh12"
+    inner = base64.b64encode(secret.encode()).decode()
+    packed = base64.b64encode(gzip.compress(secret.encode())).decode()
+    outer = base64.b64encode(f"{inner} {inner}".encode()).decode()
+    for blob, each in ((inner, 1), (packed, 1), (quote(secret, safe=""), 1), (outer, 2)):
+        base, spans, layers, cut = scan(f"one {blob} two\n{blob} three")
+        at = [4, 4 + len(blob) + 5]
+        assert not base and len(spans) == 2 * each and layers and not cut
+        assert all(sum(a <= s and e <= a + len(blob) for s, _, e in spans) == each for a in at), blob
+    # by two routes: in the text and inside another blob
+    spans = scan(f"{inner} and {base64.b64encode(('x ' + inner).encode()).decode()}")[1]
+    assert len(spans) == 2 and spans[1][0] > len(inner)
+    assert scan("%" + "25" * 3000 + "41")[2] >= 3000
+
+
 def test_secrets_base_is_the_patterns(spark, odd, empty):
     rng = random.Random(1)
     parts = ["token", "=", " ", "'", "AKIA", "ABCDEF0123456789", "deadbeef" * 4, "secret", ":", "api_key", "x", "ſecret", "K", "0" * 33, "password=short"]
