@@ -207,6 +207,38 @@ def test_sentence_spans(copies, odd, empty):
     assert got.count() == odd.count() and "score" in got.columns and drop_repeated_sentences(empty).count() == 0
 
 
+def test_sentence_runs_of_any_length(spark):
+    rng = random.Random(11)
+    said = lambda n: " ".join(f"{rng.choice(VOCAB)}{rng.randrange(99)}" for _ in range(n))
+    tail = " ".join(said(n) + "." for n in (25 - 1, 10, 9))
+    unmarked = said(50)  # no sentence ends in it
+    texts = [f"{said(30)}. {tail} {said(8)}.", f"{said(7)}. {tail} {said(8)}. {said(9)}.", f"{said(3)} {unmarked} {said(30)}", f"{said(14)} {unmarked} {said(26)}"]
+    texts += [". ".join(rng.choice(["a b c", "d e", "f g h i j k", "l m n o p q r"]) for _ in range(60)) for _ in range(4)]
+    every = {}
+    for i, text in enumerate(texts):
+        cut = sentences(text.encode())
+        for a in range(len(cut)):
+            for b in range(a + 1, len(cut)):
+                words = [w for s in cut[a : b + 1] for w in s[2]]
+                if len(words) >= 20:
+                    every.setdefault(tuple(words), []).append((i, a, b))
+    gone = {(i, k) for places in every.values() for i, a, b in places if (i, a) != places[0][:2] for k in range(a, b + 1)}
+    got = {r["doc_id"]: r for r in drop_repeated_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        assert got[i]["text"].encode() == b"".join(raw[s:e] for k, (s, e, _) in enumerate(sentences(raw)) if (i, k) not in gone)
+    assert tail not in got[1]["text"] and tail.split(". ")[-1] not in got[1]["text"] and tail in got[0]["text"]
+    assert got[3]["n_removed_sentences"] >= 2 and got[2]["n_removed"] == 0
+
+
+def test_sentence_spans_without_ids(spark):
+    texts = ["One two three. " * 12 + "Short.", "Other words stand here. Nothing repeats.", "x.", None]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:3]]
+    got = drop_repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert len(kept) == 7 and all((i, t) in kept for i in (None, 7) for t in texts[1:3]) and (None, None) in kept
+
+
 def test_suffix_array():
     rng = random.Random(5)
     for _ in range(300):
