@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from softdeps.llm.chat import canonical, escape, format_chat, read_chat, turn_records, unescape
 from softdeps.llm.mixing import mix, mix_counts, source_targets
-from softdeps.llm.ngram_join import jaccard_components
+from softdeps.llm.ngram_join import Shingles, jaccard_components, mixed
 from softdeps.llm.packing import hilbert_keys, pack_by_curve
 from softdeps.llm.queries import tokenizer_path
 from softdeps.llm.secret_scan import ACCESS, ASSIGN, HEX, find_secrets, redact_secrets, scan
@@ -285,6 +285,22 @@ def test_jaccard(copies, odd, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_last_center(spark, monkeypatch):
+    """One block of more than six documents that don't link, but for the fifth smallest set and a later one."""
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.choice(VOCAB)}x{rng.randrange(999)}" for _ in range(n)]
+
+    def node(text):  # as the operator numbers sets
+        s = Shingles().of(text.encode())
+        return int(mixed(np.cumsum(mixed(s))[-1:] + np.uint64(len(s))).view(np.int64)[0])
+
+    texts = sorted((" ".join(words(60)) for _ in range(10)), key=node)
+    twin = next(t for t in (" ".join([*texts[4].split()[:-1], *words(1)]) for _ in range(1000)) if node(t) > node(texts[4]))
+    monkeypatch.setattr("softdeps.llm.ngram_join.block_keys", lambda *_: [1])
+    docs = spark.createDataFrame(list(enumerate([*texts, twin])), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()} == {**{i: i for i in range(10)}, 10: 4}
+
+
 def test_grammar():
     lexicon = Lexicon({"fool": ("I", 3.0), "you": ("U", 0.0), "not": ("N", 0.0), "said": ("R", 0.0)}, {"lowei": 4.0})
     plain = lexicon.score("the fool")
