@@ -20,10 +20,10 @@ from softdeps.llm.common import arrow, components, map_batches, stage
 THRESHOLD, RECALL, SAMPLE, ROUNDS, TILE = 0.95, 0.999, 8192, 30, 512
 
 
-def iterative_quantisation(sample: np.ndarray, bits: int, seed: int = 3, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (d x bits).  Each rotation of up to d bits alternates codes and the best rotation to them (orthogonal Procrustes)."""
-    mean, rng, d = sample.mean(0), np.random.default_rng(seed), sample.shape[1]
-    centered = sample - mean
+def iterative_quantisation(sample: np.ndarray, bits: int, seed: int = 3, rounds: int = ROUNDS) -> np.ndarray:
+    """Projection (d x bits).  Each rotation of up to d bits alternates codes of the centred sample and the best rotation to them (orthogonal Procrustes)."""
+    rng, d = np.random.default_rng(seed), sample.shape[1]
+    centered = sample - sample.mean(0)
     _, axes = np.linalg.eigh(centered.T @ centered)
     flat, blocks = centered @ axes[:, ::-1], []
     while sum(b.shape[1] for b in blocks) < bits:
@@ -32,7 +32,7 @@ def iterative_quantisation(sample: np.ndarray, bits: int, seed: int = 3, rounds:
             u, _, vt = np.linalg.svd(np.where(flat @ rotation >= 0, 1.0, -1.0).T @ flat)
             rotation = (u @ vt).T
         blocks.append(axes[:, ::-1] @ rotation)
-    return mean, np.concatenate(blocks, 1)[:, :bits]
+    return np.concatenate(blocks, 1)[:, :bits]
 
 
 def table_shape(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -116,13 +116,15 @@ def links_of_dim(folded: DataFrame, n: int, threshold: float, recall: float) ->
     unit = lambda m: m / np.sqrt((m**2).sum(1, keepdims=True))
     scale = lambda m: m / np.abs(m).max(1, keepdims=True)  # noqa: E731  keeps squares finite
     sample = folded.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()  # bounded by SAMPLE
-    mean, project = iterative_quantisation(unit(scale(np.array([r["v"] for r in sample]))), bits * tables)
+    # Only rotations come from the sample.  Codes are of the vectors as they are: around a mean the angles of linked vectors would be wider than the
+    # threshold's, for which the tables are counted.
+    project = iterative_quantisation(unit(scale(np.array([r["v"] for r in sample]))), bits * tables)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = unit(scale(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)))
-                codes = [c.tobytes() for c in np.packbits((v - mean) @ project >= 0, axis=1)]
+                codes = [c.tobytes() for c in np.packbits(v @ project >= 0, axis=1)]
                 keys = keys_of(codes, bits, tables)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * tables, pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 named = {"rep": batch.column(1), "copies": batch.column(2), "v": pa.array([r.tobytes() for r in v], pa.binary())}

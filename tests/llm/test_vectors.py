@@ -39,6 +39,20 @@ def test_near_vectors(vectors, spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_vectors_with_a_common_mean(spark):
+    rng, n, d, norm = np.random.default_rng(2), 600, 48, 0.9
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    mean = np.full(d, d**-0.5)
+    around = lambda m: unit(m - np.outer(m @ mean, mean))
+    x = norm * mean + (1 - norm**2) ** 0.5 * around(rng.standard_normal((n, d)))
+    off = around(rng.standard_normal((n, d)))
+    off = unit(off - (off * x).sum(1, keepdims=True) * x)
+    x = np.concatenate([x, 0.952 * x + (1 - 0.952**2) ** 0.5 * off])
+    link = unit(x) @ unit(x).T >= 0.95
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.99 * (link.sum() - len(x)) and link.sum() >= 3 * n
+
+
 @pytest.mark.parametrize("block", [64, 4096])
 def test_top_k(vectors, spark, block):
     df, rows, _ = vectors
