@@ -4,8 +4,9 @@ Inside a source every document is expected ``target / source_size`` times.  The
 summed from the first on, a random offset is added once, and a document is emitted once for each whole number its interval crosses.  The order is by
 size: the error of a source's words is then below the size of its longest document.
 
-Everything is a DataFrame expression.  A place in the order is the number of smaller documents (counts of distinct sizes), plus those in earlier
-buckets of the same size, plus the place in its own bucket, so a source or a size with a third of all rows is spread over bounded windows.
+Everything is a DataFrame expression.  The order inside a source is by size, then doc_id (nulls last), at every size of the input.  A place in it is the
+number of smaller documents (counts of distinct sizes) plus the place among those of the same size; where one size of a source has many documents, it is the
+place in the order over all rows, cut into ranges, less the earlier sources' rows.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from softdeps.llm.common import WORD, global_rank, parts, stage
+from softdeps.llm.common import WORD, global_rank, stage
 
 # Fixed values of the mix: weights by the source's place, repeating; the mix's size against the input's; the most a document is repeated.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 
+# The most rows of a source's size that one window takes.
 BUCKET_ROWS = 100_000
 
 
@@ -56,25 +58,22 @@ def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
     clean = docs.drop("size", "source_size", "target", "copies")
     sized = clean.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("#key", key)
     by_size = stage(sized.groupBy("#key", "source", "size").agg(F.count(F.lit(1)).alias("#n")), "sizes")
-    buckets = parts(by_size.agg(F.max("#n")).first()[0] or 0, BUCKET_ROWS)
     targets = source_targets(by_size.groupBy("#key", "source").agg(F.sum(F.col("size") * F.col("#n")).alias("source_size")))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("#key"))), 1, 8), 16, 10).cast("double") / 4294967296
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
     targets = stage(targets.withColumn("#u", u).withColumn("#rate", rate).drop("source"), "targets")
 
-    smaller = Window.partitionBy("#key").orderBy("size")
-    places = by_size.select("#key", "size", (F.sum("#n").over(smaller) - F.col("#n")).alias("#before"))
-    sized = sized.withColumn("#bucket", F.lit(0) if buckets == 1 else F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    if buckets == 1:
-        places = places.withColumn("#bucket", F.lit(0))
+    in_order = F.col("doc_id").asc_nulls_last()
+    if (by_size.agg(F.max("#n")).first()[0] or 0) <= BUCKET_ROWS:
+        smaller = Window.partitionBy("#key").orderBy("size")
+        places = by_size.select("#key", "size", (F.sum("#n").over(smaller) - F.col("#n")).alias("#before")).join(targets, "#key")
+        own = Window.partitionBy("#key", "size").orderBy(in_order)
+        placed = sized.withColumn("#own", F.row_number().over(own)).join(places, ["#key", "size"])
     else:
-        inner = sized.groupBy("#key", "size", "#bucket").agg(F.count(F.lit(1)).alias("#m"))
-        ahead = F.sum("#m").over(Window.partitionBy("#key", "size").orderBy("#bucket")) - F.col("#m")
-        inner = inner.select("#key", "size", "#bucket", ahead.alias("#ahead"))
-        places = places.join(inner, ["#key", "size"]).withColumn("#before", F.col("#before") + F.col("#ahead")).drop("#ahead")
-    places = places.join(targets, "#key")
-    own = Window.partitionBy("#key", "size", "#bucket").orderBy("doc_id")
-    placed = sized.withColumn("#own", F.row_number().over(own)).join(places, ["#key", "size", "#bucket"])
+        totals = by_size.groupBy("#key").agg(F.sum("#n").alias("#n"))
+        places = totals.select("#key", (F.col("#n") - F.sum("#n").over(Window.orderBy("#key"))).alias("#before")).join(targets, "#key")
+        order = [F.col("#key").asc(), F.col("size").asc(), in_order, F.col("#tie").asc()]
+        placed = global_rank(sized.withColumn("#tie", F.xxhash64("text")), order, "#own").join(places, "#key")
     place = (F.col("#before") + F.col("#own")).cast("double")
     upto = lambda p: F.floor(F.col("#rate") * p + F.col("#u"))
     counted = placed.withColumn("copies", (upto(place) - upto(place - 1)).cast("int"))

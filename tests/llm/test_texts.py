@@ -160,6 +160,16 @@ def test_mix_salted(spark, monkeypatch):
     assert abs(got[0] - got[1]) <= 3 and got[2] == 500
 
 
+def test_mix_order_at_every_size(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i if i % 50 else None, "w " * (3 if i < 500 else i % 9), rng.choice(["a", "a", "b", None])) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken = lambda: sorted(((r["doc_id"], r["source"], r["size"], r["copies"]) for r in mix_counts(docs).collect()), key=str)
+    want = taken()
+    monkeypatch.setattr("softdeps.llm.mixing.BUCKET_ROWS", 50)
+    assert taken() == want
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(3)
     bits = ["<", "</s>", "[INST]", "\\", "\n", "\\0", "<|im_end|>", "ok", "[", "é", "<<SYS>>", "|>", "<|im_start|>user"]
