@@ -20,9 +20,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of repeated rows one stays."""
-    kept = jaccard_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The document of the smallest id (nulls last) of each group; of repeated rows one stays.
+
+    Rows go by numbers of their own, so null or shared ids join no documents.  Texts without words are alike only with equal ids.
+    """
+    rows = stage(docs.withColumn("#row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_components(rows.select(F.col("#row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "#row")
+    told = rows.select("#row", "doc_id", F.xxhash64("text").alias("#text")).join(groups, "#row")
+    blank = F.col("n_shingles") == 0
+    alike = [F.when(~blank, F.col("component_id")), F.when(blank, F.col("doc_id")), F.when(blank, F.col("#text"))]
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "#row")).alias("least")
+    kept = told.groupBy(*(a.alias(f"#alike{i}") for i, a in enumerate(alike))).agg(least).select("least.#row")
+    return rows.join(kept, "#row", "left_semi").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

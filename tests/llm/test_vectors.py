@@ -91,6 +91,16 @@ def test_sql_twins(spark, name):
     assert (order(got).astype(str) == order(want).astype(str)).all().all()
 
 
+def test_near_copies_without_ids(spark):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (5, text("e")), (6, text("e")), (2, text("a")), (8, None), (8, None), (9, "")]
+    kept = P.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    want = [(None, text("b")), (None, text("c")), (2, text("a")), (5, text("d")), (5, text("e")), (8, None), (9, "")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
     from softdeps.llm.common import read
