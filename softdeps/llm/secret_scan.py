@@ -34,6 +34,11 @@ HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}" % HEX_LEAST)
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})(?:\\u([0-9A-Fa-f]{4}))?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+ALPHABET = re.compile(r"[A-Za-z0-9+/_-]+")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)+={0,2}")
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+# What a layer among other bytes must hold to be looked at: a beginning of any pattern or of a further layer.
+TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{4}\r?\n[\x20\t]*[A-Za-z0-9+/_-]{4}")
 UNPACK = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
 
 # A layer's decompressed size is bounded so that a bomb can't exhaust a task; a cut is reported in ``n_cut``, and what was unpacked is scanned.
@@ -115,44 +120,121 @@ def rewritten(text: str, pattern: re.Pattern, decode: Callable) -> tuple[str, Ma
     return "".join(pieces), lambda s, e: (place(s, False), place(e, True)), touched
 
 
-def unpacked(raw: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed bytes and whether they were cut; None if it is no compressed data."""
-    for magic, make in UNPACK:
-        if raw.startswith(magic):
-            try:
-                engine = make()
-                out = engine.decompress(raw, LAYER_BYTES)
-                return (out, not engine.eof) if out else None
-            except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-                return None
-    return None
-
-
-def blob_layers(text: str) -> Iterator[tuple[str, Map, bool]]:
-    """Layers inside base64 tokens: their text, or that of the compressed data in them."""
-    for m in BASE64.finditer(text):
-        token = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+def unpacked(raw: bytes) -> tuple[bytes, bool, int] | None:
+    """Decompressed bytes of all members in a row, whether they were cut, and the bytes read; None if it is no compressed data."""
+    out, room, cut, rest = [], LAYER_BYTES, False, raw
+    while found := next((x for x in UNPACK if rest.startswith(x[0])), None):
+        if not room:
+            cut = True
+            break
+        engine = found[1]()
+        try:
+            out.append(engine.decompress(rest, room))
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+            cut = bool(out) and found[0] != b"x"  # an x may be any text behind the data
+            break
+        room -= len(out[-1])
+        if not engine.eof:
+            cut, rest = True, b""
+            break
+        rest = engine.unused_data.lstrip(b"\0")
+    return (whole, cut, len(raw) - len(rest)) if (whole := b"".join(out)) else None
+
+
+def unpacked_whole(raw: bytes) -> tuple[str, bool, int] | None:
+    """The text of what is compressed, also more than once."""
+    if not (packed := unpacked(raw)):
+        return None
+    out, cut, used = packed
+    while (inner := unpacked(out)) and inner[0] != out:
+        out, cut = inner[0], cut or inner[1]
+    return out.decode("utf-8", "replace"), cut, used
+
+
+class Token:
+    """A base64 token, which may be wrapped over lines, and the places of its characters in the layer."""
+
+    def __init__(self, match: re.Match):
+        self.lo, self.hi = match.span()
+        self.starts, self.places, pieces, n = [], [], [], 0
+        for m in ALPHABET.finditer(match.group()):
+            self.starts.append(n)
+            self.places.append(self.lo + m.start())
+            pieces.append(m.group())
+            n += len(pieces[-1])
+        self.text = "".join(pieces).replace("-", "+").replace("_", "/")
+
+    def place(self, i: int) -> int:
+        k = bisect_right(self.starts, i) - 1
+        return self.places[k] + i - self.starts[k]
+
+    def end(self, i: int) -> int:
+        last = min(i, len(self.text))
+        return min(self.hi, self.place(last - 1) + 1 + i - last)
+
+    def span(self, s: int, e: int, skip: int = 0) -> Span:
+        """Of bytes: four characters for three."""
+        return self.place(skip + s // 3 * 4), self.end(skip + (e + 2) // 3 * 4)
+
+    def whole(self) -> tuple[str, Map, bool] | None:
+        """The layer if all of the token is its base64."""
         try:
-            raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
+            raw = base64.b64decode(self.text + "=" * (-len(self.text) % 4), validate=True)
         except (binascii.Error, ValueError):
-            continue
-        lo, hi = m.span()
-        if packed := unpacked(raw):
-            out, cut = packed
-            while inner := unpacked(out):
-                if inner[0] == out:
-                    break
-                out, cut = inner[0], cut or inner[1]
-            yield out.decode("utf-8", "replace"), (lambda s, e, lo=lo, hi=hi: (lo, hi)), cut
-            continue
+            return None
+        everywhere = lambda s, e: (self.lo, self.hi)
+        if packed := unpacked_whole(raw):
+            return packed[0], everywhere, packed[1]
         try:
             layer = raw.decode()
         except UnicodeDecodeError:
+            return None
+        return layer, self.span if len(layer) == len(raw) else everywhere, False
+
+    def glued(self, first: int) -> Iterator[tuple[str, Map, bool]]:
+        """Layers that begin or end inside the token, from each of the four alignments on: only those that may say something."""
+        for skip in range(first, 4):
+            n = len(self.text) - skip
+            n -= n % 4 == 1
+            raw = base64.b64decode(self.text[skip : skip + n] + "=" * (-n % 4))
+            if TELLING.search(raw):
+                yield raw.decode("latin-1"), (lambda s, e, skip=skip: self.span(s, e, skip)), False
+            done = 0
+            for m in PACKED.finditer(raw):
+                i = m.start()
+                if i < done or not i + skip or (raw[i] == 0x78 and i % 3):
+                    continue
+                if packed := unpacked_whole(raw[i:]):
+                    layer, cut, used = packed
+                    if raw[i] == 0x78 and cut and not TELLING.search(layer.encode()):
+                        continue  # two bytes that look like a header
+                    done = i + used
+                    yield layer, (lambda s, e, at=skip + i // 3 * 4: (self.place(at), self.hi)), cut
+
+
+def blob_layers(text: str) -> Iterator[tuple[str, Map, bool]]:
+    """Layers inside base64 tokens, wrapped over lines or glued to other characters too: their text, or that of the compressed data in them."""
+    wrapped: list[tuple[int, int, bool]] = []
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            token = Token(m)
+            if len(token.text) >= 16:
+                if found := token.whole():
+                    yield found
+                wrapped.append((*m.span(), bool(found)))
+                yield from token.glued(1 if found else 0)
+    k = 0
+    for m in BASE64.finditer(text):
+        while k < len(wrapped) and wrapped[k][1] <= m.start():
+            k += 1
+        inside = k < len(wrapped) and wrapped[k][0] <= m.start()
+        if inside and wrapped[k][2]:
             continue
-        if len(layer) == len(raw):  # plain ASCII: four characters for three bytes
-            yield layer, (lambda s, e, lo=lo, hi=hi: (lo + s // 3 * 4, min(hi, lo + (e + 2) // 3 * 4))), False
-        else:
-            yield layer, (lambda s, e, lo=lo, hi=hi: (lo, hi)), False
+        token = Token(m)
+        if found := token.whole():
+            yield found
+        if not inside:
+            yield from token.glued(1 if found else 0)
 
 
 def sublayers(layer: str) -> Iterator[tuple[str, Map, Callable | None, bool]]:

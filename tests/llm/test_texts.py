@@ -1,9 +1,11 @@
 """Text operators against brute force, round trips and held-out rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import zlib
 from collections import Counter
@@ -77,6 +79,23 @@ def test_secrets_layers_at_every_place():
     assert scan("%" + "25" * 3000 + "41")[2] >= 3000
 
 
+def test_secrets_wrapped_glued_and_in_later_members():
+    secret, b64 = "password=abcdefgh12", lambda raw: base64.b64encode(raw).decode()
+    filler = " ".join(str(i) for i in range(60)).encode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        blob = b64(pack(b"nothing") + pack(filler) + pack(secret.encode()))
+        assert scan(f"see {blob} end")[1:] == ([(4, 0, 4 + len(blob))], 1, 0)
+    for raw in (filler[:50] + b" " + secret.encode() + b" " + filler, gzip.compress(random.Random(3).randbytes(200).hex().encode()[:31] + filler + b" " + secret.encode())):
+        lines = base64.encodebytes(raw).decode()
+        spans = [x for x in scan(f"see\n\n{lines}\nend")[1] if x[1] == 0]
+        assert len(lines.split()) > 1 and len(spans) == 1 and 5 <= spans[0][0] < spans[0][2] <= 5 + len(lines)
+    for before in ("https://host/cb/", "a-", "ab_", "abc/", "path/to/"):
+        for blob in (b64(secret.encode()), b64(gzip.compress(secret.encode()))):
+            spans = scan(f"{before}{blob} end")[1]
+            assert any(k == 0 and len(before) - 4 < s <= len(before) and e == len(before) + len(blob) for s, k, e in spans), (before, blob)
+    assert scan("an extraordinarilylongword\nand others/follow-here_too\nto the end")[1:] == ([], 0, 0)
+
+
 def test_secrets_base_is_the_patterns(spark, odd, empty):
     rng = random.Random(1)
     parts = ["token", "=", " ", "'", "AKIA", "ABCDEF0123456789", "deadbeef" * 4, "secret", ":", "api_key", "x", "ſecret", "K", "0" * 33, "password=short"]
