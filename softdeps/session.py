@@ -53,11 +53,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app].name
 
 
-def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` to the scratch folder (``options`` are the Parquet writer's) and return a scan of it."""
+def stage(df: DataFrame, label: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and return a scan of it; a folder for each value of ``by``, ``options`` are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*by).parquet(path)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
