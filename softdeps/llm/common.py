@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from softdeps.session import scratch_dir
+from softdeps import session
 
 # The words of all operators are runs of anything but ASCII white space; so are those of ``bytes.split``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,20 +22,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and return a scan of it: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and return a scan of it: cuts the lineage, survives lost executors, known to ``drop_staged``."""
+    return session.stage(df, label, by, compression="zstd")
 
 
 def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, unless the session asks for fewer."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(task, schema)
+    """``mapInArrow`` whose task sees at most ``BATCH_ROWS`` rows at once; Spark itself bounds a batch by its bytes."""
+    rows = BATCH_ROWS
+
+    def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return task(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(in_slices, schema)
 
 
 def arrow(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
@@ -56,6 +54,21 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.join(before, "#part").withColumn(name, F.col("#before") + F.col("#local")).drop("#part", "#before", "#local")
 
 
+def ranks_within(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Adds ``#rank`` (from 0, in ``order`` among the rows of one ``key``) and ``#n`` (the key's rows); a key may hold any share of all rows.
+
+    Rows are range-partitioned by key and order, sorted and numbered in their partitions, and staged.  A key's first place in a partition and its
+    rows in earlier ones (one row per key and partition) turn these numbers into ranks.
+    """
+    ordered = df.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    numbered = stage(ordered.withColumn("#id", F.monotonically_increasing_id()), "ranks").withColumn("#part", F.shiftright("#id", 33))
+    runs = numbered.groupBy(key, "#part").agg(F.min("#id").alias("#first"), F.count(F.lit(1)).alias("#c"))
+    own = Window.partitionBy(key)
+    before = F.sum("#c").over(own.orderBy("#part")) - F.col("#c")
+    starts = runs.select(key, "#part", (before - F.col("#first")).alias("#shift"), F.sum("#c").over(own).alias("#n"))
+    return numbered.join(starts, [key, "#part"]).withColumn("#rank", F.col("#id") + F.col("#shift")).drop("#id", "#part", "#shift")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: ``(node, component)`` for every node of ``edges(a long, b long)``; the component is its smallest node.
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from softdeps.llm.chat import format_chat, read_chat, turn_records
 from softdeps.llm.common import read
 from softdeps.llm.cover_tree import top_k
+from softdeps.llm.divergence import source_divergence
 from softdeps.llm.itq_dedup import near_vectors
+from softdeps.llm.merkle import merkle_audit
 from softdeps.llm.mixing import mix_counts
 from softdeps.llm.ngram_join import jaccard_components
 from softdeps.llm.packing import pack_by_curve
@@ -76,6 +78,14 @@ def op10_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_components(read(spark, d, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle_audit(read(spark, d, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return source_divergence(read(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,5 +99,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_source_mix,
         op10_ngram_join,
+        op12_merkle_manifest,
+        op13_source_divergence,
     )
 }
