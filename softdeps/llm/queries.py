@@ -18,6 +18,7 @@ from softdeps.llm.secret_scan import find_secrets
 from softdeps.llm.sentence_spans import drop_repeated_sentences
 from softdeps.llm.suffix_dedup import drop_repeated_strings
 from softdeps.llm.toxicity import score_toxicity
+from softdeps.llm.warc import read_bundles, write_bundles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -78,6 +79,11 @@ def op10_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_components(read(spark, d, "documents"))
 
 
+def op11_warc_bundles(spark: SparkSession, d: str) -> DataFrame:
+    found = read_bundles(write_bundles(read(spark, d, "pages")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return merkle_audit(read(spark, d, "documents"))
 
@@ -99,6 +105,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_source_mix,
         op10_ngram_join,
+        op11_warc_bundles,
         op12_merkle_manifest,
         op13_source_divergence,
     )
