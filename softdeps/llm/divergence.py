@@ -1,8 +1,8 @@
 """Audit of how sources diverge inside a language, from exact term counts.
 
-The terms of a document, each behind its language, are vectorised by CountVectorizer with ``minDF`` and the largest ``vocabSize``: as no term belongs to two
-languages, one model holds the whole vocabulary of each.  A model's vocabulary passes through the driver and is broadcast, so terms are dealt by a
-checksum to as many models as keep each below ``VOCABULARY_BYTES`` of counted terms; every model reads only its own share of the terms.
+The terms of a document, each behind its language, are vectorised by CountVectorizer's model: as no term belongs to two languages, one model can hold the
+vocabulary of several.  A model's vocabulary passes through the driver and is broadcast, so terms are dealt by a checksum to as many models as keep
+each below ``VOCABULARY_BYTES`` of counted terms; every model reads only its own share of the terms.
 
 The sparse document vectors are summed per language and source as whole numbers (a Summarizer's sums are means in double).  Pairs of sources are evaluated
 sparsely.  With f the term of the sum and 0 for a term that a source lacks, f(p, q) = f(0, 0) + [f(p, 0) - f(0, 0)] + [f(0, q) - f(0, 0)] + rest: the first
@@ -17,7 +17,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
+import pyarrow.compute as pc
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,85 +30,114 @@ MIN_DF, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 # Most bytes of the terms that one model holds, and most sources of a language that meet in one key.
 VOCABULARY_BYTES, TILE_SOURCES = 16 << 20, 64
 
+# Cells of document vectors that a task adds up at once.
+SUM_CELLS = 1 << 21
+
 # A term is a run of ASCII letters and of anything beyond ASCII: in UTF-8, of these bytes; everything else parts terms.  Only A-Z are lowered.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LETTERS).split(b" ")
+def batch_terms(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of documents ``(lang, source, text)``: the distinct terms, each behind its language and a blank; of every occurrence its term and document."""
+    clean = pa.array([(t or b"").translate(LETTERS) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.large_binary())
+    pieces = pc.split_pattern(clean, " ")
+    flat = pieces.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    doc = np.repeat(np.arange(len(clean)), pieces.value_lengths().to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
+    terms, langs = flat.filter(full).dictionary_encode(), batch.column(0).dictionary_encode()
+    size = max(len(terms.dictionary), 1)
+    keys = langs.indices.to_numpy()[doc].astype(np.int64) * size + terms.indices.to_numpy()
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    lang = langs.dictionary.cast(pa.large_binary()).take(pa.array(distinct // size))
+    return pc.binary_join_element_wise(lang, terms.dictionary.take(pa.array(distinct % size)), pa.scalar(b" ", pa.large_binary())), inverse, doc
 
 
-def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
-    """``(lang, source, terms, model)``: the terms of each document, behind their language and a blank, by the model that they belong to.
+def document_counts(docs: DataFrame) -> DataFrame:
+    """``(named, df)``: documents that hold each term; a task counts inside its batches before anything is shuffled."""
 
-    A document has a row for every model that holds one of its terms.
-    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named, term, doc = batch_terms(batch)
+            once = np.unique(doc * max(len(named), 1) + term) % max(len(named), 1)
+            df = np.bincount(once, minlength=len(named))
+            yield pa.RecordBatch.from_arrays([named.cast(pa.binary()).cast(pa.string()), pa.array(df, pa.int64())], names=["named", "df"])
+
+    return map_batches(docs.select("lang", "source", "text"), task, "named string, df long").groupBy("named").agg(F.sum("df").alias("df"))
+
+
+def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
+    """``(lang, source, terms, model)``: a document's terms, repeated as they occur, with a row for every model that holds one of them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, source = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                before = lang[i].encode() + b" "
-                shares: dict[int, list[bytes]] = {}
-                found = [before + t for t in terms_of(text) if t]
-                if models == 1:
-                    shares[0] = found
-                else:
-                    for t in found:
-                        shares.setdefault(zlib.crc32(t) % models, []).append(t)
-                for model, terms in shares.items():
-                    for column, value in zip(out, (lang[i], source[i], terms, model), strict=True):
-                        column.append(value)
-            columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.binary())), pa.array(out[3], pa.int32())]
-            columns[2] = columns[2].cast(pa.list_(pa.string()))
+            named, term, doc = batch_terms(batch)
+            share = np.array([zlib.crc32(t) % models for t in named.to_pylist()], np.int64)
+            rows = doc * models + share[term] if len(doc) else doc
+            order = np.argsort(rows, kind="stable")
+            row, first = np.unique(rows[order], return_index=True)
+            offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+            terms = named.cast(pa.binary()).cast(pa.string()).take(pa.array(term[order]))
+            lang, source = (batch.column(c).take(pa.array(row // models)) for c in (0, 1))
+            columns = [lang, source, pa.ListArray.from_arrays(offsets, terms), pa.array((row % models).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "model"])
 
     return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, terms array<string>, model int")
 
 
 def vector_sums(vectors: DataFrame) -> DataFrame:
-    """``(lang, source, i, c)``: sums of the sparse ``vector`` column by group; a task adds up each of its batches before anything is shuffled."""
+    """``(lang, source, i, c)``: sums of the sparse ``vector`` column by group; a task adds up ``SUM_CELLS`` cells at a time before anything is shuffled."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code: dict[tuple[str, str], int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> pa.RecordBatch:
+            cells, inverse = np.unique(np.concatenate([at for at, _ in held]), return_inverse=True)
+            c = np.bincount(inverse, np.concatenate([x for _, x in held]), len(cells)).astype(np.int64)  # whole numbers far below 2^53
+            groups = pa.array((cells >> 32).astype(np.int32))
+            lang, source = (pa.array([g[k] for g in code], pa.string()).take(groups) for k in (0, 1))
+            columns = [lang, source, pa.array((cells & 0xFFFFFFFF).astype(np.int32)), pa.array(c)]
+            held.clear()
+            code.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "i", "c"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            code = {g: k for k, g in enumerate(dict.fromkeys(groups))}
             vector = batch.column(2)
             lengths = vector.field("indices").value_lengths().to_numpy(zero_copy_only=False)
-            size = max(vector.field("size").to_numpy(zero_copy_only=False).max(), 1)
-            at = np.repeat(np.array([code[g] for g in groups], np.int64), lengths) * int(size) + vector.field("indices").flatten().to_numpy()
-            cells, inverse = np.unique(at, return_inverse=True)
-            c = np.zeros(len(cells), np.int64)
-            np.add.at(c, inverse, vector.field("values").flatten().to_numpy().astype(np.int64))
-            names, which = list(code), cells // int(size)
-            lang, source = (pa.array([g[k] for g in names], pa.string()).take(pa.array(which)) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([lang, source, pa.array((cells % int(size)).astype(np.int32)), pa.array(c)], names=["lang", "source", "i", "c"])
+            group = [code.setdefault(g, len(code)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            at = (np.repeat(np.array(group, np.int64), lengths) << 32) + vector.field("indices").flatten().to_numpy()
+            held.append((at, vector.field("values").flatten().to_numpy()))
+            if sum(len(x) for x, _ in held) >= SUM_CELLS:
+                yield summed()
+        if held:
+            yield summed()
 
     cells = map_batches(vectors.select("lang", "source", "vector"), task, "lang string, source string, i int, c long")
     return cells.groupBy("lang", "source", "i").agg(F.sum("c").alias("c"))
 
 
 def term_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary_bytes: int = VOCABULARY_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``(lang, source, term, c)`` for kept terms that a source holds, and ``(lang, v)``, kept terms of a language; no null in lang or source."""
+    """``(lang, source, t, term, c)`` for kept terms that a source holds, ``t`` numbers them; ``(lang, v)``, kept terms of a language.
+
+    No null in lang or source.  The vocabulary is that of ``CountVectorizer(minDF=min_df, vocabSize=2**31 - 1)``; it is counted here and given to the models,
+    as a fit counts again, over all terms as Java strings, what the number of models needs beforehand.
+    """
     spark = docs.sparkSession
-    single = stage(dealt_terms(docs, 1), "terms")
-    seen = single.select(F.explode(F.array_distinct("terms")).alias("named")).groupBy("named").agg(F.count(F.lit(1)).alias("df"))
-    term = F.substring_index("named", " ", -1)
     lang = F.expr("substring(named, 1, length(named) - length(substring_index(named, ' ', -1)) - 1)")
-    kept = stage(seen.where(F.col("df") >= min_df).select("named", lang.alias("lang")), "kept")
+    kept = document_counts(docs).where(F.col("df") >= min_df).select("named", lang.alias("lang"), F.crc32(F.col("named").cast("binary")).alias("share"))
+    kept = stage(kept, "kept")
     models = parts(kept.agg(F.sum(F.octet_length("named") + 8)).first()[0] or 0, vocabulary_bytes)
-    dealt = single if models == 1 else stage(dealt_terms(docs, models), "terms", ("model",))
-    held = sorted(r[0] for r in kept.select((F.crc32(F.col("named").cast("binary")) % models).cast("int")).distinct().collect())  # at most ``models`` rows
+    dealt = stage(dealt_terms(docs, models), "terms", ("model",))
     sums = []
-    for m in held:
-        share = dealt.where(F.col("model") == m)
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=2**31 - 1).fit(share)
-        names = stage(spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, named string"), "names")
-        cells = vector_sums(model.transform(share)).join(names, "i")
-        sums.append(stage(cells.select("lang", "source", term.alias("term"), "c"), "counts"))
-    none = spark.createDataFrame([], "lang string, source string, term string, c long")
+    for m in range(models):
+        vocabulary = [r.named for r in kept.where(F.col("share") % models == m).select("named").collect()]  # about ``vocabulary_bytes``
+        if not vocabulary:
+            continue
+        model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="vector").setMinTF(1.0)
+        names = stage(spark.createDataFrame(list(enumerate(vocabulary)), "i int, named string"), "names")
+        cells = vector_sums(model.transform(dealt.where(F.col("model") == m))).join(names, "i")
+        number = F.col("i") + F.lit(m << 32)
+        sums.append(stage(cells.select("lang", "source", number.alias("t"), F.substring_index("named", " ", -1).alias("term"), "c"), "counts"))
+    none = spark.createDataFrame([], "lang string, source string, t long, term string, c long")
     return reduce(DataFrame.unionAll, sums, none), kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
 
 
@@ -123,13 +153,18 @@ def differ(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _tiled(left: DataFrame, right: DataFrame, on: list[str], tiles: int) -> DataFrame:
-    """Joins rows of unlike sources ``a`` and ``b``; a key holds two tiles of sources, not all."""
+def _tiled(left: DataFrame, right: DataFrame, on: list[str], tiles: int, unlike: str) -> DataFrame:
+    """Joins rows of sources ``a`` and ``b`` where ``unlike`` holds; a key holds two tiles of sources, not all."""
     tile = lambda c: F.pmod(F.xxhash64(c), F.lit(tiles)).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     a = left.withColumn("#a", tile("a")).withColumn("#b", each)
     b = right.withColumn("#b", tile("b")).withColumn("#a", each)
-    return a.join(b, [*on, "#a", "#b"]).where("a <> b")
+    return a.join(b, [*on, "#a", "#b"]).where(unlike)
+
+
+def exact_sum(value: Column) -> list[Column]:
+    """Sums of a long's halves: no single sum leaves the range of a long before 2^31 rows."""
+    return [F.sum(F.shiftright(value, 32)).alias("high"), F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
 
 
 def source_divergence(
@@ -151,30 +186,37 @@ def source_divergence(
     none = F.when(F.col("v") > 0, share_of(F.lit(0), F.col("n"), F.col("v"))).otherwise(1)
     groups = groups.withColumn("p0", none)
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", share_of(F.col("c"), F.col("n"), F.col("v")))
-    shares = stage(shares.select("lang", "source", "term", "c", "p", "p0", "v"), "shares")
+    shares = stage(shares.select("lang", "source", "t", "term", "c", "p", "p0", "v"), "shares")
     levels = shares.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("k"))
 
-
     def side(df: DataFrame, s: str) -> DataFrame:
         """The rows of side ``a`` or ``b``: its source under that name, its values with that name behind theirs."""
-        keys = [c for c in ("lang", "term") if c in df.columns]
+        keys = [c for c in ("lang", "t") if c in df.columns]
         return df.select(*keys, F.col("source").alias(s), *(F.col(c).alias(f"{c}{s}") for c in df.columns if c not in (*keys, "source")))
 
     wide = lambda x: x.cast("decimal(38,0)")
     pa_, pb, p0a, p0b = (F.col(c) for c in ("pa", "pb", "p0a", "p0b"))
-    blank = differ(p0a, p0b)
-    ends, terms = groups.select("lang", "source", "p0", "v"), shares.select("lang", "term", "source", "p", "p0")
+    ends, terms = groups.select("lang", "source", "p0", "v"), shares.select("lang", "t", "source", "p", "p0")
     pieces = [
-        (_tiled(side(ends, "a"), side(ends, "b"), ["lang"], tiles), wide(F.col("va")) * wide(blank)),
-        (_tiled(side(levels, "a"), side(ends, "b"), ["lang"], tiles), wide(F.col("ka")) * wide(differ(pa_, p0b) - blank)),
-        (_tiled(side(ends, "a"), side(levels, "b"), ["lang"], tiles), wide(F.col("kb")) * wide(differ(p0a, pb) - blank)),
-        (_tiled(side(terms, "a"), side(terms, "b"), ["lang", "term"], tiles), wide(differ(pa_, pb) - differ(pa_, p0b) - differ(p0a, pb) + blank)),
+        (_tiled(side(ends, "a"), side(ends, "b"), ["lang"], tiles, "a <> b"), wide(F.col("va")) * wide(differ(p0a, p0b))),
+        (_tiled(side(levels, "a"), side(ends, "b"), ["lang"], tiles, "a <> b"), wide(F.col("ka")) * wide(differ(pa_, p0b) - differ(p0a, p0b))),
+        (_tiled(side(ends, "a"), side(levels, "b"), ["lang"], tiles, "a <> b"), wide(F.col("kb")) * wide(differ(p0a, pb) - differ(p0a, p0b))),
     ]
-    summed = reduce(DataFrame.unionAll, [met.select("lang", "a", "b", value.alias("value")) for met, value in pieces])
+    # both directions of a pair from one meeting of its terms
+    rest = lambda x, y, x0, y0: differ(x, y) - differ(x, y0) - differ(x0, y) + differ(x0, y0)
+    there = rest(pa_, pb, p0a, p0b)
+    back = rest(pb, pa_, p0b, p0a)
+    met = _tiled(side(terms, "a"), side(terms, "b"), ["lang", "t"], tiles, "a < b").select("lang", "a", "b", there.alias("there"), back.alias("back"))
+    halves = [c.alias(f"{way}_{half}") for way in ("there", "back") for half, c in zip(("high", "low"), exact_sum(F.col(way)), strict=True)]
+    both = met.groupBy("lang", "a", "b").agg(*halves)
+    whole_of = lambda way: wide(F.col(f"{way}_high")) * wide(F.lit(1 << 32)) + wide(F.col(f"{way}_low"))
+    ways = F.explode(F.array(F.struct("a", "b", whole_of("there").alias("v")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), whole_of("back").alias("v"))))
+    shared = both.select("lang", ways.alias("w")).select("lang", "w.a", "w.b", F.col("w.v").alias("value"))
+    summed = reduce(DataFrame.unionAll, [m.select("lang", "a", "b", wide(value).alias("value")) for m, value in pieces], shared.select("lang", "a", "b", wide(F.col("value")).alias("value")))
     value = F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("value")
     pairs = summed.groupBy("lang", "a", "b").agg(value).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
 
-    whole = shares.withColumn("c", F.sum("c").over(Window.partitionBy("lang", "term"))).join(langs, "lang")
+    whole = shares.withColumn("c", F.sum("c").over(Window.partitionBy("t"))).join(langs, "lang")
     against = whole.withColumn("q", share_of(F.col("c"), F.col("n_lang"), F.col("v"))).where("p > q")
     told = against.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), differ(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item").asc()))
