@@ -27,9 +27,8 @@ def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     return session.stage(df, label, by, compression="zstd")
 
 
-def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose task sees at most ``BATCH_ROWS`` rows at once; Spark itself bounds a batch by its bytes."""
-    rows = BATCH_ROWS
+def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` whose task sees at most ``rows`` rows at once; Spark itself bounds a batch by its bytes."""
 
     def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return task(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))

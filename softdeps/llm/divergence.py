@@ -30,6 +30,9 @@ MIN_DF, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 # Most bytes of the terms that one model holds, and most sources of a language that meet in one key.
 VOCABULARY_BYTES, TILE_SOURCES = 16 << 20, 64
 
+# Texts whose terms are told together.
+TEXTS = 4096
+
 # Cells of document vectors that a task adds up at once.
 SUM_CELLS = 1 << 21
 
@@ -61,7 +64,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
             df = np.bincount(once, minlength=len(named))
             yield pa.RecordBatch.from_arrays([named.cast(pa.binary()).cast(pa.string()), pa.array(df, pa.int64())], names=["named", "df"])
 
-    return map_batches(docs.select("lang", "source", "text"), task, "named string, df long").groupBy("named").agg(F.sum("df").alias("df"))
+    return map_batches(docs.select("lang", "source", "text"), task, "named string, df long", TEXTS).groupBy("named").agg(F.sum("df").alias("df"))
 
 
 def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
@@ -70,7 +73,7 @@ def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named, term, doc = batch_terms(batch)
-            share = np.array([zlib.crc32(t) % models for t in named.to_pylist()], np.int64)
+            share = np.array([zlib.crc32(t) % models for t in named.to_pylist()] if models > 1 else [0] * len(named), np.int64)
             rows = doc * models + share[term] if len(doc) else doc
             order = np.argsort(rows, kind="stable")
             row, first = np.unique(rows[order], return_index=True)
@@ -80,7 +83,7 @@ def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
             columns = [lang, source, pa.ListArray.from_arrays(offsets, terms), pa.array((row % models).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "model"])
 
-    return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, terms array<string>, model int")
+    return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, terms array<string>, model int", TEXTS)
 
 
 def vector_sums(vectors: DataFrame) -> DataFrame:
