@@ -12,13 +12,13 @@ three need a source's distinct values of p alone, and only the rest is joined by
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ MIN_DF, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 # Most bytes of the terms that one model holds, and most sources of a language that meet in one key.
 VOCABULARY_BYTES, TILE_SOURCES = 16 << 20, 64
 
-# Texts whose terms are told together.
-TEXTS = 4096
+# Terms of a language that a task counts or remembers at once.
+SUM_TERMS = 1 << 19
 
 # Cells of document vectors that a task adds up at once.
 SUM_CELLS = 1 << 21
@@ -39,51 +39,69 @@ SUM_CELLS = 1 << 21
 # A term is a run of ASCII letters and of anything beyond ASCII: in UTF-8, of these bytes; everything else parts terms.  Only A-Z are lowered.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-def batch_terms(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Of documents ``(lang, source, text)``: the distinct terms, each behind its language and a blank; of every occurrence its term and document."""
-    clean = pa.array([(t or b"").translate(LETTERS) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.large_binary())
-    pieces = pc.split_pattern(clean, " ")
-    flat = pieces.flatten()
-    full = pc.greater(pc.binary_length(flat), 0)
-    doc = np.repeat(np.arange(len(clean)), pieces.value_lengths().to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
-    terms, langs = flat.filter(full).dictionary_encode(), batch.column(0).dictionary_encode()
-    size = max(len(terms.dictionary), 1)
-    keys = langs.indices.to_numpy()[doc].astype(np.int64) * size + terms.indices.to_numpy()
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    lang = langs.dictionary.cast(pa.large_binary()).take(pa.array(distinct // size))
-    return pc.binary_join_element_wise(lang, terms.dictionary.take(pa.array(distinct % size)), pa.scalar(b" ", pa.large_binary())), inverse, doc
+def terms_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(LETTERS).split()
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """``(named, df)``: documents that hold each term; a task counts inside its batches before anything is shuffled."""
+    """``(named, df)``: documents that hold each term; a task counts ``SUM_TERMS`` terms of a language at a time before anything is shuffled."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+
+        def counted(lang: str) -> pa.RecordBatch:
+            found, before = counts.pop(lang), lang.encode() + b" "
+            named = pa.array([before + t for t in found], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([named, pa.array(list(found.values()), pa.int64())], names=["named", "df"])
+
         for batch in batches:
-            named, term, doc = batch_terms(batch)
-            once = np.unique(doc * max(len(named), 1) + term) % max(len(named), 1)
-            df = np.bincount(once, minlength=len(named))
-            yield pa.RecordBatch.from_arrays([named.cast(pa.binary()).cast(pa.string()), pa.array(df, pa.int64())], names=["named", "df"])
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                held = counts.setdefault(lang, Counter())
+                held.update(set(terms_of(text)))
+                if len(held) >= SUM_TERMS:
+                    yield counted(lang)
+        for lang in list(counts):
+            yield counted(lang)
 
-    return map_batches(docs.select("lang", "source", "text"), task, "named string, df long", TEXTS).groupBy("named").agg(F.sum("df").alias("df"))
+    return map_batches(docs.select("lang", "source", "text"), task, "named string, df long").groupBy("named").agg(F.sum("df").alias("df"))
 
 
 def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
     """``(lang, source, terms, model)``: a document's terms, repeated as they occur, with a row for every model that holds one of them."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[bytes, tuple[int, bytes]]] = {}  # the model and the name of terms met lately
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                memo, before, rows = known.setdefault(lang, {}), lang.encode() + b" ", {}
+                for t in terms_of(text):
+                    at = memo.get(t)
+                    if at is None:
+                        named = before + t
+                        at = memo[t] = (zlib.crc32(named) % models, named)
+                    rows.setdefault(at[0], []).append(at[1])
+                for model, terms in rows.items():
+                    for column, value in zip(out, (lang, source, terms, model), strict=True):
+                        column.append(value)
+                if len(memo) > SUM_TERMS:
+                    memo.clear()
+            if len(known) > batch.num_rows:
+                known.clear()
+            terms = pa.array(out[2], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), terms, pa.array(out[3], pa.int32())], names=["lang", "source", "terms", "model"])
+
+    return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, terms array<string>, model int")
+
+
+def indices(vectors: DataFrame) -> DataFrame:
+    """``(named, i)`` from ``vector``s of one term each."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named, term, doc = batch_terms(batch)
-            share = np.array([zlib.crc32(t) % models for t in named.to_pylist()] if models > 1 else [0] * len(named), np.int64)
-            rows = doc * models + share[term] if len(doc) else doc
-            order = np.argsort(rows, kind="stable")
-            row, first = np.unique(rows[order], return_index=True)
-            offsets = pa.array(np.append(first, len(order)).astype(np.int32))
-            terms = named.cast(pa.binary()).cast(pa.string()).take(pa.array(term[order]))
-            lang, source = (batch.column(c).take(pa.array(row // models)) for c in (0, 1))
-            columns = [lang, source, pa.ListArray.from_arrays(offsets, terms), pa.array((row % models).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "model"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).field("indices").flatten()], names=["named", "i"])
 
-    return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, terms array<string>, model int", TEXTS)
+    return map_batches(vectors.select("named", "vector"), task, "named string, i int")
 
 
 def vector_sums(vectors: DataFrame) -> DataFrame:
@@ -121,8 +139,8 @@ def vector_sums(vectors: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary_bytes: int = VOCABULARY_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, t, term, c)`` for kept terms that a source holds, ``t`` numbers them; ``(lang, v)``, kept terms of a language.
 
-    No null in lang or source.  The vocabulary is that of ``CountVectorizer(minDF=min_df, vocabSize=2**31 - 1)``; it is counted here and given to the models,
-    as a fit counts again, over all terms as Java strings, what the number of models needs beforehand.
+    No null in lang or source.  The vocabulary is that of ``CountVectorizer(minDF=min_df, vocabSize=2**31 - 1)``: as the number of models needs the terms'
+    document counts beforehand, a model is fitted to the terms that reach ``min_df``, one row each, instead of counting all documents' terms again.
     """
     spark = docs.sparkSession
     lang = F.expr("substring(named, 1, length(named) - length(substring_index(named, ' ', -1)) - 1)")
@@ -132,11 +150,11 @@ def term_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary_bytes: int = V
     dealt = stage(dealt_terms(docs, models), "terms", ("model",))
     sums = []
     for m in range(models):
-        vocabulary = [r.named for r in kept.where(F.col("share") % models == m).select("named").collect()]  # about ``vocabulary_bytes``
-        if not vocabulary:
+        own = kept.where(F.col("share") % models == m).select("named", F.array("named").alias("terms"))
+        if own.isEmpty():
             continue
-        model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="vector").setMinTF(1.0)
-        names = stage(spark.createDataFrame(list(enumerate(vocabulary)), "i int, named string"), "names")
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=2**31 - 1).fit(own)
+        names = stage(indices(model.transform(own)), "names")
         cells = vector_sums(model.transform(dealt.where(F.col("model") == m))).join(names, "i")
         number = F.col("i") + F.lit(m << 32)
         sums.append(stage(cells.select("lang", "source", number.alias("t"), F.substring_index("named", " ", -1).alias("term"), "c"), "counts"))
