@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from softdeps.functions.distances import Measure, measures_for
 from softdeps.operators.levels import all_of
-from softdeps.operators.pairs import encode, pair_distances, q, staged_profiles
+from softdeps.operators.meeting import Meeting, equal_names, meeting_for, meeting_tiles
+from softdeps.operators.pairs import distinct_profiles, encode, pair_distances, q, staged_profiles
 from softdeps.operators.zones import join_cells, tile_pairs, zone_bounds, zone_tiles
 from softdeps.session import stage, stage_counted
 
@@ -25,21 +26,24 @@ def _sort(measures: list[Measure], lhs: dict[str, float], rhs: str) -> list[Colu
     return [q(c) for c in names + ([rhs] if rhs in usable else [])] + [q("#id")]
 
 
-def _cells(tiled: DataFrame, measures: list[Measure], lhs: dict[str, float], rhs: str, limit: float, extra=None):
-    """Tile pairs that may hold a violation, with ``sure`` where every pair of rows is one."""
+def _cells(tiled: DataFrame, measures: list[Measure], lhs: dict[str, float], rhs: str, limit: float, meeting: Meeting | None, extra=None):
+    """Tile pairs that may hold a violation, with ``sure`` where every pair of rows is one.
+
+    Tiles are paired by the homes of their rows; all of them only if no threshold narrows where rows meet.
+    """
     bounds = {m.name: m.bounds() for m in measures}
     possible = all_of([bounds[c][0] <= F.lit(float(t)) for c, t in lhs.items()]) & (bounds[rhs][1] > F.lit(float(limit)))
     certain = all_of([bounds[c][1] <= F.lit(float(t)) for c, t in lhs.items()]) & (bounds[rhs][0] > F.lit(float(limit)))
-    pairs = tile_pairs(zone_bounds(tiled, measures, extra))
+    known = zone_bounds(tiled, measures, extra)
+    if meeting is None:
+        pairs = tile_pairs(known)
+    else:
+        row = F.struct(*[q(c) for c in known.columns])
+        first, second = known.select(q("#tile").alias("ta"), row.alias("a")), known.select(q("#tile").alias("tb"), row.alias("b"))
+        pairs = meeting_tiles(tiled, meeting).join(first, "ta").join(second, "tb").select("a", "b")
     return pairs.where(possible).withColumn("sure", certain & (F.col("a.`#tile`") != F.col("b.`#tile`")))
 
 
-def _equal(measures: list[Measure], lhs: dict[str, float]) -> list[str]:
-    """Attributes whose limit of 0 means equality, so that they can be join keys."""
-    exact = ("numeric", "numeric32", "text", "bytes")
-    return [m.name for m in measures if lhs.get(m.name) == 0 and m.kind in exact and m.scale is None]
-
-
 def _broken(lhs: dict[str, float], rhs: str, limit: float) -> Column:
     return all_of([q(c) <= F.lit(float(t)) for c, t in lhs.items()]) & (q(rhs) > F.lit(float(limit)))
 
@@ -63,12 +67,13 @@ def rfd_violations(
     more = [] if key in names else [key]
     rows, n = stage_counted(encode(df, measures, more).withColumn("#id", F.monotonically_increasing_id()), "rows")
     tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
-    cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold)
+    meeting = meeting_for(tiled, measures, lhs_thresholds)
+    cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold, meeting)
     cells = stage(cells.select(F.col("a.`#tile`").alias("ta"), F.col("b.`#tile`").alias("tb")), "violations")
     first, second = F.col(f"a.`{key}`"), F.col(f"b.`{key}`")
     both = first.isNotNull() & second.isNotNull()
     ids = [F.least(first, second).alias(f"{key}_a"), F.when(both, F.greatest(first, second)).alias(f"{key}_b")]
-    pairs = pair_distances(join_cells(tiled, cells, names + more, _equal(measures, lhs_thresholds)), measures, ids)
+    pairs = pair_distances(join_cells(tiled, cells, names + more, meeting), measures, ids)
     return pairs.where(_broken(lhs_thresholds, rhs, rhs_threshold))
 
 
@@ -83,15 +88,18 @@ def rfd_check(
 ) -> DataFrame:
     """One row ``violations, holds`` over all row pairs.
 
-    Equal rows are folded and weighed by their number, tile pairs whose bounds settle
-    the question are counted as products, and only the rest is joined.
+    Where all attributes must be equal, pairs are counted from the sizes of groups.  Otherwise equal rows are folded and weighed by their number, tile
+    pairs whose bounds settle the question are counted as products, and only the rest is joined.
     """
     measures = _measures(df, lhs_thresholds, rhs, distances, options)
     names = [m.name for m in measures]
+    if set(equal_names(measures, {**lhs_thresholds, rhs: rhs_threshold})) == set(names):
+        return _verdict(_unequal_pairs(distinct_profiles(df, measures), list(lhs_thresholds)))
     rows, n = staged_profiles(df, measures)
     tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
     weight = F.sum("#copies").alias("#weight")
-    cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold, [weight])
+    meeting = meeting_for(tiled, measures, lhs_thresholds)
+    cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold, meeting, [weight])
     cells = stage(
         cells.select(
             F.col("a.`#tile`").alias("ta"),
@@ -103,10 +111,21 @@ def rfd_check(
     )
     settled = cells.where("sure").agg(F.sum("pairs").alias("n"))
     unsettled = cells.where("NOT sure").select("ta", "tb")
-    met = join_cells(tiled, unsettled, names + ["#copies"], _equal(measures, lhs_thresholds))
+    met = join_cells(tiled, unsettled, names + ["#copies"], meeting)
     weighed = pair_distances(met, measures, [(F.col("a.`#copies`") * F.col("b.`#copies`")).alias("#pairs")])
     counted = weighed.where(_broken(lhs_thresholds, rhs, rhs_threshold)).agg(F.sum("#pairs").alias("n"))
-    total = settled.unionByName(counted).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
+    return _verdict(settled.unionByName(counted))
+
+
+def _unequal_pairs(profiles: DataFrame, lhs: list[str]) -> DataFrame:
+    """Pairs that agree on ``lhs`` but not on the rest, by group: half of what its size squared has beyond the squares of its equal parts."""
+    size = F.col("#copies").cast("decimal(20,0)")
+    total = F.sum(size)
+    return profiles.groupBy(*[q(c) for c in lhs]).agg(((total * total - F.sum(size * size)) / 2).cast("decimal(38,0)").alias("n"))
+
+
+def _verdict(counts: DataFrame) -> DataFrame:
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"))
     return total.withColumn("holds", F.col("violations") == 0)
 
 

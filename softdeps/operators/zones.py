@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.functions.distances import Measure
+from softdeps.operators.meeting import Meeting
 from softdeps.operators.pairs import pair_distances, q
 from softdeps.operators.skyline import front_columns, local_fronts, merge_fronts
 from softdeps.session import ceil_div, slots, stage, stage_counted
@@ -65,37 +66,37 @@ def tile_pairs(bounds: DataFrame, group: int = 2_048) -> DataFrame:
     return left.join(right, "cell").where(once).select("a", "b")
 
 
-def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str], equal: list[str] | None = None) -> DataFrame:
+def join_cells(tiled: DataFrame, cells: DataFrame, keep: list[str], meeting: Meeting | None = None) -> DataFrame:
     """Row pairs of the chosen tile pairs (``cells``: staged ``ta, tb``), as structs ``a`` and ``b``.
 
     A tile that occurs in many cells is handed out in shares of about ``CELLS_PER_SHARE``
-    cells.  With ``equal``, rows meet by the hash of those columns too: every pair that
-    agrees on them is there, others only by a collision.
+    cells.  With ``meeting``, a row of the first tile only meets rows of the second that reach its home.
     """
     spark = tiled.sparkSession
     numbered, n = stage_counted(cells.select("ta", "tb").withColumn("cell", F.monotonically_increasing_id()), "cells")
     parts = max(1, min(n, max(4 * slots(spark), ceil_div(n, 8))))
     row = F.struct(*[q(c) for c in keep + ["#id", "#tile"]])
-    rows = tiled.select(row.alias("row"), q("#tile").alias("tile"))
-    shared = [F.col(f"row.`{c}`") for c in equal or []]
+    at_home = tiled.withColumn("#home", meeting.home() if meeting else F.lit(0))
+    reaching = meeting.reaching(tiled) if meeting else at_home
 
-    def side(tile: str, name: str) -> DataFrame:
+    def side(tile: str, name: str, homes: DataFrame) -> DataFrame:
+        rows = homes.select(row.alias("row"), q("#tile").alias("tile"), F.col("#home").alias("home"))
         mine = numbered.select(F.col(tile).alias("tile"), "cell")
         shares = mine.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CELLS_PER_SHARE).alias("shares"))
         shared_rows = rows.join(shares, "tile").select(
-            "row", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share")
+            "row", "home", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share")
         )
         shared_cells = mine.join(shares, "tile").select(
             "tile", "cell", F.pmod(F.xxhash64("cell"), F.col("shares")).alias("share")
         )
         met = shared_rows.join(shared_cells, ["tile", "share"])
-        key = F.xxhash64("cell", *shared) if shared else F.col("cell")
-        return met.select(F.col("row").alias(name), F.col("cell").alias(f"cell_{name}"), key.alias("key")).repartition(parts, "key")
+        key = F.xxhash64("cell", "home") if meeting else F.col("cell")
+        return met.select(F.col("row").alias(name), F.col("cell").alias(f"cell_{name}"), F.col("home").alias(f"home_{name}"), key.alias("key")).repartition(parts, "key")
 
-    # Written as a difference so that it stays a filter and the join keeps the partitioning above.
-    same_cell = F.col("cell_a") - F.col("cell_b") == 0
+    # Written as differences so that they stay filters and the join keeps the partitioning above.
+    same_cell = (F.col("cell_a") - F.col("cell_b") == 0) & (F.col("home_a").bitwiseXOR(F.col("home_b")) == 0)
     once = (F.col("a.`#tile`") != F.col("b.`#tile`")) | (F.col("a.`#id`") < F.col("b.`#id`"))
-    return side("ta", "a").join(side("tb", "b").hint("shuffle_hash"), "key").where(same_cell & once)
+    return side("ta", "a", at_home).join(side("tb", "b", reaching).hint("shuffle_hash"), "key").where(same_cell & once)
 
 
 def grid_order(rows: DataFrame, n: int, measures: list[Measure], zone_rows: int) -> list[Column]:

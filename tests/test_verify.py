@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 import model
 from softdeps import discover_rfds, rfd_check, rfd_holds, rfd_violations
-from softdeps.operators.pairs import distance_matrix, distance_vectors
+from softdeps.functions.distances import measures_for
+from softdeps.operators.edits import edit_candidates, edit_pairs
+from softdeps.operators.meeting import meeting_for, meeting_tiles
+from softdeps.operators.pairs import distance_matrix, distance_vectors, encode
 from softdeps.operators.stats import median_values
-from softdeps.session import stage
+from softdeps.operators.zones import zone_tiles
+from softdeps.session import stage, stage_counted
 
 
 def relation(seed, n=150):
@@ -18,7 +22,7 @@ def relation(seed, n=150):
     return [(i, key(), rnd.choice([None, rnd.randint(0, 20)]), float(rnd.randint(0, 40))) for i in range(n)]
 
 
-CASES = [({"k": 0}, "y", 30), ({"k": 0, "x": 2}, "y", 20), ({"x": 1}, "k", 2), ({"x": 3, "y": 5}, "k", 1), ({"k": 1, "y": 0}, "x", 4)]
+CASES = [({"k": 0}, "y", 30), ({"k": 0, "x": 2}, "y", 20), ({"x": 1}, "k", 2), ({"x": 3, "y": 5}, "k", 1), ({"k": 1, "y": 0}, "x", 4), ({"k": 0}, "x", 0), ({"k": 1}, "y", 9)]
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
@@ -78,3 +82,53 @@ def test_repeated_and_null_keys_lose_no_pair(spark):
     assert rfd_check(df, {"x": 0}, "y", 5).first()["violations"] == len(want)
     matrix = distance_matrix(df, dedup=False, key="id").collect()
     assert order((r["id_a"], r["id_b"]) for r in matrix) == order(want)
+
+
+def test_edit_pairs_match_brute_force(spark):
+    """Short and empty texts, repeated grams, letters beyond the first plane, a prefix that all share."""
+    rnd = random.Random(2)
+    values = {"".join(rnd.choice("ab\u00e9") for _ in range(rnd.randrange(0, 9))) for _ in range(90)} | {f"Item#0000{rnd.randrange(3000):06d}" for _ in range(120)} | {"aaaaaaaaaa", "aaaaaaaaab", "\U0001f600x", "x"}
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), ("x",)], "v string")
+    for k in (1, 2, 3):
+        want = {(*sorted(p), int(model.text(*p))) for p in pairs_of(values, 2) if model.text(*p) <= k}
+        got = [(*sorted((r["value_a"], r["value_b"])), r["distance"]) for r in edit_pairs(df, k).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert edit_pairs(df, 0).collect() == []
+
+
+def test_edit_index_tests_few_pairs(spark):
+    rnd = random.Random(4)
+    n = 3000
+    values = spark.createDataFrame([("".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(8, 24))),) for _ in range(n)], "v string")
+    assert edit_candidates(values, 2).count() < 0.05 * n * (n - 1) / 2
+
+
+def test_no_threshold_pairs_all_tiles(spark):
+    """Exact, banded and text thresholds: tiles meet by homes; far fewer pairs of tiles than all."""
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.col("id").cast("double").alias("x"), F.concat(F.lit("t"), F.col("id")).alias("s"), (F.col("id") % 7).alias("y"))
+    measures = measures_for(rows)
+    numbered, n = stage_counted(encode(rows, measures).withColumn("#id", F.monotonically_increasing_id()), "rows")
+    for lhs, order in (({"k": 0}, "k"), ({"x": 3}, "x"), ({"k": 2, "x": 9000}, "k")):
+        tiled = zone_tiles(numbered, n, [F.col(order)], 200)
+        meeting = meeting_for(tiled, measures, lhs)
+        assert meeting is not None and meeting_tiles(tiled, meeting).count() <= 3 * tiled.select("#tile").distinct().count()
+    few = numbered.where("x < 300")
+    assert meeting_for(few, measures, {"s": 1}).text == "s"
+    assert meeting_for(few, measures, {"s": float("inf")}) is None
+
+
+def test_bands_of_dates_infinities_and_large_numbers(spark):
+    from datetime import date, timedelta
+
+    rnd = random.Random(3)
+    odd = [float("inf"), float("-inf"), 1e300, -1e300, 2.0**60, 2.0**60 + 512, 0.1, 0.3, 0.30000000000000004, -0.0, 0.0, None]
+    rows = [(i, rnd.choice(odd + [rnd.random() * 5]), rnd.choice([None, date(1970, 1, 1) + timedelta(days=rnd.randint(-40, 40))]), rnd.randint(0, 9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, x double, d date, y int")
+    far = lambda a, b: 0.0 if a == b else (model.INF if a is None or b is None else abs(a - b))
+    days = lambda a, b: 0.0 if a == b else (model.INF if a is None or b is None else abs((a - b).days))
+    for lhs in ({"x": 0.2}, {"d": 3}, {"d": 0, "x": 512.0}):
+        at = {"x": (1, far), "d": (2, days)}
+        want = {(a[0], b[0]) for a, b in pairs_of(rows, 2) if all(at[c][1](a[at[c][0]], b[at[c][0]]) <= t for c, t in lhs.items()) and abs(a[3] - b[3]) > 4}
+        got = [(r["id_a"], r["id_b"]) for r in rfd_violations(df, lhs, "y", 4, "id", zone_rows=20).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert rfd_check(df, lhs, "y", 4, zone_rows=20).first()["violations"] == len(want)
