@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from softdeps.functions.distances import Measure, measures_for
 from softdeps.operators.levels import all_of
 from softdeps.operators.meeting import Meeting, equal_names, meeting_for, meeting_tiles
+from softdeps.operators.ordered import ORDERED, ordered_counts
 from softdeps.operators.pairs import distinct_profiles, encode, pair_distances, q, staged_profiles
 from softdeps.operators.zones import join_cells, tile_pairs, zone_bounds, zone_tiles
 from softdeps.session import stage, stage_counted
@@ -88,7 +89,8 @@ def rfd_check(
 ) -> DataFrame:
     """One row ``violations, holds`` over all row pairs.
 
-    Where all attributes must be equal, pairs are counted from the sizes of groups.  Otherwise equal rows are folded and weighed by their number, tile
+    Where all attributes must be equal, pairs are counted from the sizes of groups; where those on the left must be and the right one is a number or
+    a date, from its order.  Otherwise equal rows are folded and weighed by their number, tile
     pairs whose bounds settle the question are counted as products, and only the rest is joined.
     """
     measures = _measures(df, lhs_thresholds, rhs, distances, options)
@@ -111,6 +113,9 @@ def rfd_check(
     )
     settled = cells.where("sure").agg(F.sum("pairs").alias("n"))
     unsettled = cells.where("NOT sure").select("ta", "tb")
+    own = next(m for m in measures if m.name == rhs)
+    if set(equal_names(measures, lhs_thresholds)) == set(lhs_thresholds) and own.kind in ORDERED and own.scale is None and rhs_threshold >= 0:
+        return _verdict(settled.unionByName(ordered_counts(tiled, unsettled, list(lhs_thresholds), own, rhs_threshold)))
     met = join_cells(tiled, unsettled, names + ["#copies"], meeting)
     weighed = pair_distances(met, measures, [(F.col("a.`#copies`") * F.col("b.`#copies`")).alias("#pairs")])
     counted = weighed.where(_broken(lhs_thresholds, rhs, rhs_threshold)).agg(F.sum("#pairs").alias("n"))

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations as pairs_of
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from softdeps import discover_rfds, rfd_check, rfd_holds, rfd_violations
 from softdeps.functions.distances import measures_for
 from softdeps.operators.edits import edit_candidates, edit_pairs
 from softdeps.operators.meeting import meeting_for, meeting_tiles
+from softdeps.operators.ordered import far_weight
 from softdeps.operators.pairs import distance_matrix, distance_vectors, encode
 from softdeps.operators.stats import median_values
 from softdeps.operators.zones import zone_tiles
@@ -22,7 +24,7 @@ def relation(seed, n=150):
     return [(i, key(), rnd.choice([None, rnd.randint(0, 20)]), float(rnd.randint(0, 40))) for i in range(n)]
 
 
-CASES = [({"k": 0}, "y", 30), ({"k": 0, "x": 2}, "y", 20), ({"x": 1}, "k", 2), ({"x": 3, "y": 5}, "k", 1), ({"k": 1, "y": 0}, "x", 4), ({"k": 0}, "x", 0), ({"k": 1}, "y", 9)]
+CASES = [({"k": 0}, "y", 30), ({"k": 0, "x": 2}, "y", 20), ({"x": 1}, "k", 2), ({"x": 3, "y": 5}, "k", 1), ({"k": 1, "y": 0}, "x", 4), ({"k": 0}, "x", 0), ({"k": 1}, "y", 9), ({"y": 0}, "x", 3)]
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
@@ -132,3 +134,26 @@ def test_bands_of_dates_infinities_and_large_numbers(spark):
         got = [(r["id_a"], r["id_b"]) for r in rfd_violations(df, lhs, "y", 4, "id", zone_rows=20).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert rfd_check(df, lhs, "y", 4, zone_rows=20).first()["violations"] == len(want)
+
+
+def test_far_pairs_follow_the_distance_not_the_sum():
+    rng = np.random.default_rng(6)
+    values = [0.1, 0.2, 0.3, 0.5, 0.30000000000000004, 1e16, 1e16 + 2, -1e16, float("inf"), float("-inf"), 0.0]
+    for limit in (0.0, 0.1, 0.2, 1.0, 1e16):
+        x, y = (np.sort(np.concatenate([values, rng.integers(0, 30, 40) / 10])) for _ in range(2))
+        wx, wy = (rng.integers(1, 4, len(x)) for _ in range(2))
+        with np.errstate(invalid="ignore"):
+            want = sum(int(a) * int(b) for u, a in zip(x, wx) for v, b in zip(y, wy) if v - u > limit)
+        assert far_weight(x, wx, y, wy, limit) == want
+
+
+def test_counts_by_order_of_dates(spark):
+    from datetime import date, timedelta
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["hot", "hot", "a", None]), rnd.choice([None, *(date(2020, 1, 1) + timedelta(days=d) for d in (0, 1, 3, 4, 9))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, d date")
+    days = lambda a, b: 0.0 if a == b else (model.INF if a is None or b is None else abs((a - b).days))
+    for limit in (0, 2.5, 3, float("inf")):
+        want = sum(model.text(a[1], b[1]) == 0 and days(a[2], b[2]) > limit for a, b in pairs_of(rows, 2))
+        assert rfd_check(df, {"k": 0}, "d", limit, zone_rows=3).first()["violations"] == want
