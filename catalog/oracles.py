@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from catalog import sql as S
 from catalog.queries import LEXICON, LHS, RHS
-from catalog.relations import CUSTOMERS, GRID, LINES, MONTHS, PARTS, SEGMENTS, SUPPLIER, USERS, Relation
+from catalog.relations import (
+    BRANDS,
+    CUSTOMERS,
+    GAPS,
+    GRID,
+    HOURS,
+    LINES,
+    MONTHS,
+    NATIONS,
+    PARTS,
+    SEGMENTS,
+    SHIPPING,
+    SUPPLIER,
+    USERS,
+    Relation,
+)
 
 MONTH_CTES = f"{S.vectors(MONTHS)},\n{S.front(MONTHS, RHS, '')},\n{S.levels(MONTHS, RHS, '')}"
 COLS = ", ".join(LHS)
@@ -217,6 +232,11 @@ ORACLES = {
     "discover_parts": rules(PARTS),
     "discover_grid": rules(GRID),
     "discover_users": rules(USERS),
+    "discover_brands": rules(BRANDS),
+    "discover_shipping": rules(SHIPPING),
+    "discover_hours": rules(HOURS),
+    "discover_gaps": rules(GAPS),
+    "discover_nations": rules(NATIONS),
     "discover_given_sides": None,
     "discover_one_rhs": rules(MONTHS, ["top_price"]),
     "discover_given_medians": rules(MONTHS),
@@ -246,6 +266,10 @@ ORACLES = {
       AND abs(datesub('day', x.last_month, y.last_month)) > 900""",
     "rfd_holds": """SELECT count(*) AS violations, count(*) = 0 AS holds FROM part x JOIN part y ON x.p_partkey < y.p_partkey
       WHERE abs(x.p_retailprice - y.p_retailprice) <= 0.01 AND abs(x.p_size - y.p_size) > 60""",
+    "rfd_check_names": """SELECT count(*) AS violations, count(*) = 0 AS holds FROM customer x JOIN customer y ON x.c_custkey < y.c_custkey
+      WHERE levenshtein(x.c_name, y.c_name) <= 1 AND abs(x.c_nationkey - y.c_nationkey) > 20""",
+    "edit_pairs": """SELECT x.v AS value_a, y.v AS value_b, levenshtein(x.v, y.v)::INTEGER AS distance
+      FROM (SELECT DISTINCT c_name AS v FROM customer) x JOIN (SELECT DISTINCT c_name AS v FROM customer) y ON x.v < y.v WHERE levenshtein(x.v, y.v) <= 1""",
     "dependency_profile": profile(),
     "table_profile": f"{size_line('lineitem', 11)} UNION ALL {size_line('orders', 6)}",
     "metrics_summary": """SELECT l_returnflag AS ds_name, l_linenumber AS rfd_count, avg(l_quantity) AS time_elapsed

@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.relations import CUSTOMERS, GRID, LINES, MONTHS, PARTS, SEGMENTS, SUPPLIER, USERS, Relation, table
+from catalog.relations import (
+    BRANDS,
+    CUSTOMERS,
+    GAPS,
+    GRID,
+    HOURS,
+    LINES,
+    MONTHS,
+    NATIONS,
+    PARTS,
+    SEGMENTS,
+    SHIPPING,
+    SUPPLIER,
+    USERS,
+    Relation,
+    table,
+)
 from softdeps.functions.formatting import format_rfd, order_sides, to_long, to_wide
 from softdeps.functions.lexicon import score_lexicon
 from softdeps.operators import levels as L
 from softdeps.operators import stats as St
 from softdeps.operators.cover import minimal_rfds
+from softdeps.operators.edits import edit_pairs
 from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances
 from softdeps.operators.skyline import max_reduce, skyline
 from softdeps.operators.taxonomy import taxonomy_distance
@@ -345,6 +362,15 @@ def check_holds(spark, d):
     return rfd_check(table(spark, d, "part"), {"p_retailprice": 0.01}, "p_size", 60)
 
 
+def check_names(spark, d):
+    """Texts within one edit, by the gram index."""
+    return rfd_check(table(spark, d, "customer"), {"c_name": 1}, "c_nationkey", 20)
+
+
+def similar_names(spark, d):
+    return edit_pairs(table(spark, d, "customer").select(F.col("c_name").alias("v")), 1)
+
+
 def profile(spark, d):
     tables = {r.name: r.load(spark, d).select(*r.names) for r in (SEGMENTS, MONTHS)}
     return dependency_profile(tables).drop("ds_file_size_B")
@@ -507,6 +533,11 @@ QUERIES = {
     "discover_parts": rules_of(PARTS),
     "discover_grid": rules_of(GRID),
     "discover_users": rules_of(USERS),
+    "discover_brands": rules_of(BRANDS),
+    "discover_shipping": rules_of(SHIPPING),
+    "discover_hours": rules_of(HOURS),
+    "discover_gaps": rules_of(GAPS),
+    "discover_nations": rules_of(NATIONS),
     "discover_given_sides": rules_of(MONTHS, rhs="buyers", lhs=["orders", "month"]),
     "discover_one_rhs": rules_of(MONTHS, rhs="top_price"),
     "discover_given_medians": given_medians,
@@ -524,6 +555,8 @@ QUERIES = {
     "rfd_violations": violations,
     "rfd_check_lines": check_lines,
     "rfd_check_customers": check_customers,
+    "rfd_check_names": check_names,
+    "edit_pairs": similar_names,
     "rfd_holds": check_holds,
     "dependency_profile": profile,
     "table_profile": table_profile,

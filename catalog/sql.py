@@ -6,11 +6,13 @@ from catalog.relations import Relation
 
 
 def distance(kind: str, a: str, b: str) -> str:
+    measured = f"abs({a} - {b})"
     if kind == "text":
-        return f"CAST(levenshtein({a}, {b}) AS DOUBLE)"
+        measured = f"levenshtein({a}, {b})"
     if kind == "days":
-        return f"CAST(abs(datesub('day', {a}, {b})) AS DOUBLE)"
-    return f"CAST(abs({a} - {b}) AS DOUBLE)"
+        measured = f"abs(datesub('day', {a}, {b}))"
+    missing = f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN 0.0 ELSE 'Infinity'::DOUBLE END"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN {missing} ELSE CAST({measured} AS DOUBLE) END"
 
 
 def vectors(rel: Relation) -> str:
@@ -62,7 +64,7 @@ v{tag} AS MATERIALIZED (SELECT s.{rhs} AS b, {', '.join(f's.{c}' for c in lhs)},
 
 
 def wide(rel: Relation, rhs: str, values: dict[str, str]) -> str:
-    cols = ", ".join(f"CAST({values.get(c, 'NULL')} AS DOUBLE) AS {c}" for c in rel.names)
+    cols = ", ".join(f"nullif(CAST({values.get(c, 'NULL')} AS DOUBLE), 'Infinity'::DOUBLE) AS {c}" for c in rel.names)
     return f"'{rhs}' AS rhs, b AS rhs_threshold, {cols}"
 
 

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from softdeps.operators.pairs import cross_cells
 from softdeps.session import ceil_div, stage
 
-Q = 2
+# Characters of a gram: short ones for short texts, and longer, rarer ones from this mean length on.
+GRAMS, LONG = (2, 3), 12
 
 # Entries of a gram (or of a length, for short texts) that meet in one key, and rows of gram counts that are broadcast.
 ENTRIES, BROADCAST_GRAMS = 4_096, 200_000
 
 
-def numbered_grams(values: DataFrame, q: int = Q) -> DataFrame:
+def numbered_grams(values: DataFrame, q: int) -> DataFrame:
     """``(v, n, gram)`` with ``n`` the text's length; a gram's further occurrences in a text carry their number, so that a text's grams are a set."""
     n = F.length("v")
     at = F.sequence(F.lit(1), n - q + 1)
@@ -28,7 +29,7 @@ def numbered_grams(values: DataFrame, q: int = Q) -> DataFrame:
     return every.select("v", "n", F.concat(F.col("gram"), occurrence.cast("string")).alias("gram"))
 
 
-def gram_prefixes(values: DataFrame, k: int, q: int = Q) -> DataFrame:
+def gram_prefixes(values: DataFrame, k: int, q: int) -> DataFrame:
     """``(v, n, gram)``: the ``k * q + 1`` rarest grams of every text that has as many."""
     grams = stage(numbered_grams(values.where(F.length("v") >= k * q + q), q), "grams")
     counts = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "gram-counts")
@@ -46,7 +47,7 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return cross_cells(left, right, keys, F.lit(True), (tiles, tiles))
 
 
-def edit_candidates(values: DataFrame, k: int, q: int = Q) -> DataFrame:
+def edit_candidates(values: DataFrame, k: int, q: int) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of the distinct texts ``values(v)`` that hold all pairs within ``k`` edits; a pair may be met more than once."""
     prefixes = stage(gram_prefixes(values, k, q), "prefixes")
     lengths = F.explode(F.sequence(F.col("n") - k, F.col("n")))
@@ -59,12 +60,15 @@ def edit_candidates(values: DataFrame, k: int, q: int = Q) -> DataFrame:
     return met.where("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
 
 
-def edit_pairs(values: DataFrame, k: int, q: int = Q) -> DataFrame:
+def edit_pairs(values: DataFrame, k: int, q: int | None = None) -> DataFrame:
     """``(value_a, value_b, distance)``, ``value_a < value_b``: every pair of distinct texts of ``values(v)`` within ``k`` edits.  Nulls pair with nothing."""
     if k < 0:
         raise ValueError("the number of edits must not be negative")
     distinct = values.where("v IS NOT NULL").distinct()
     if k == 0:
         return distinct.where("false").select(F.col("v").alias("value_a"), F.col("v").alias("value_b"), F.lit(0).alias("distance"))
-    tested = edit_candidates(stage(distinct, "values"), k, q).withColumn("distance", F.levenshtein("a", "b", k))
+    kept = stage(distinct, "values")
+    if q is None:
+        q = GRAMS[(kept.agg(F.avg(F.length("v"))).first()[0] or 0) >= LONG]
+    tested = edit_candidates(kept, k, q).withColumn("distance", F.levenshtein("a", "b", k))
     return tested.where("distance >= 0").select(F.col("a").alias("value_a"), F.col("b").alias("value_b"), "distance").distinct()

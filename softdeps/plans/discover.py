@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from softdeps.functions.bitsets import WORD, BitSets
 from softdeps.functions.distances import measures_for
 from softdeps.functions.formatting import RESERVED
 from softdeps.operators.levels import RANGES, all_of, pool_intervals, prior_min
@@ -174,25 +175,26 @@ def composite_rfds(levels: DataFrame, intervals: DataFrame, width: int, tiles: i
     hit = lambda c: F.coalesce(
         (F.col(f"min_{c}") < F.col(f"prior_{c}")) & (F.col(f"capped_{c}") == F.col(f"min_{c}")), F.lit(False)
     )
-    bits = lambda flags: sum((F.when(f, F.lit(1 << j)).otherwise(F.lit(0)) for j, f in enumerate(flags)), F.lit(0)).cast(
-        "bigint"
-    )
+    sets = BitSets(width)
     every = ["rhs_name", "rhs"] + lows
-    rows = levels.select(*every, bits([~hit(c) for c in lows]).alias("open")).where(F.bit_count("open") >= 2)
+    rows = levels.select(*every, sets.of([~hit(c) for c in lows]).alias("open")).where(sets.size(F.col("open")) >= 2)
+    if not sets.single:  # else every use of a set would repeat its whole expression
+        rows, intervals = stage(rows, "open"), stage(intervals, "intervals")
 
     alive = (F.col("b.rhs") > F.col("a.rhs")) & (F.col("b.kill").isNull() | (F.col("b.kill") <= F.col("a.rhs")))
     met = cross_cells(rows, intervals, ["rhs_name"], alive, (tiles, tiles))
     open_bits = F.col("a.open")
-    under = bits([F.col(f"a.{c}") <= F.col(f"b.{c}") for c in lows]).bitwiseAND(open_bits)
-    over = bits([F.col(f"b.{c}") <= F.col(f"a.{c}") for c in lows]).bitwiseAND(open_bits)
+    under = sets.both(sets.of([F.col(f"a.{c}") <= F.col(f"b.{c}") for c in lows]), open_bits)
+    over = sets.both(sets.of([F.col(f"b.{c}") <= F.col(f"a.{c}") for c in lows]), open_bits)
     row_key = every + ["open"]
+    compared = met.select(*[F.col(f"a.{c}").alias(c) for c in row_key], under.alias("under"), over.alias("over"))
     masks = (
-        met.select(*[F.col(f"a.{c}").alias(c) for c in row_key], under.alias("under"), over.alias("over"))
+        (compared if sets.single else stage(compared, "compared"))
         .groupBy(*row_key, "under", "over")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     slices = _sound_slices(masks, row_key, width) if width <= SMALL_WIDTH else _sound_slices_joined(masks, row_key, width)
-    keep = lambda j, c: F.when(F.col("kept").bitwiseAND(F.lit(1 << j)) != 0, F.col(c)).alias(c)
+    keep = lambda j, c: F.when(sets.has(F.col("kept"), j), F.col(c)).alias(c)
     return slices.select("rhs_name", "rhs", *[keep(j, c) for j, c in enumerate(lows)])
 
 
@@ -203,12 +205,12 @@ def _sound_slices(masks: DataFrame, row_key: list[str], width: int) -> DataFrame
     """
     entry = F.struct("under", "over", "n")
     rows = masks.groupBy(*row_key).agg(F.collect_list(entry).alias("met"))
-    full = F.lit((1 << width) - 1)
-    beaten = F.exists("met", lambda z: z["over"] == F.col("open")) & (F.col("open") != full)
+    sets = BitSets(width)
+    beaten = F.exists("met", lambda z: z["over"] == F.col("open")) & (F.col("open") != sets.full())
 
     def unsound(s: Column) -> Column:
         another = lambda z: (z["over"] != s["over"]) | (z["under"] != s["under"]) | (z["n"] >= 2)
-        return F.exists("met", lambda z: (s["under"].bitwiseAND(z["over"]) == s["under"]) & another(z))
+        return F.exists("met", lambda z: sets.covers(z["over"], s["under"]) & another(z))
 
     sound = F.array_distinct(F.transform(F.filter("met", lambda s: ~unsound(s)), lambda s: s["under"]))
     rows = rows.where(~beaten).withColumn("sound", sound)
@@ -219,12 +221,12 @@ def _sound_slices(masks: DataFrame, row_key: list[str], width: int) -> DataFrame
 def _sound_slices_joined(masks: DataFrame, row_key: list[str], width: int) -> DataFrame:
     """The same as ``_sound_slices`` by joins, for wide tables whose mask pairs may not fit in one array."""
     masks = stage(masks, "masks")
-    full = (1 << width) - 1
-    beaten = masks.where((F.col("over") == F.col("open")) & (F.col("open") != full)).select(*row_key).distinct()
+    sets = BitSets(width)
+    beaten = masks.where((F.col("over") == F.col("open")) & (F.col("open") != sets.full())).select(*row_key).distinct()
     usable = masks.join(beaten, row_key, "left_anti")
     s, z = usable.alias("s"), usable.alias("z")
     same = all_of([F.col(f"s.{c}") == F.col(f"z.{c}") for c in row_key])
-    covered = F.col("s.under").bitwiseAND(F.col("z.over")) == F.col("s.under")
+    covered = sets.covers(F.col("z.over"), F.col("s.under"))
     another = (F.col("s.over") != F.col("z.over")) | (F.col("s.under") != F.col("z.under")) | (F.col("z.n") >= 2)
     slices = s.join(z, same & covered & another, "left_anti").select(*row_key, F.col("under").alias("kept"))
     whole = usable.select(*row_key).distinct().join(slices.select(*row_key).distinct(), row_key, "left_anti")
@@ -238,7 +240,7 @@ def dependencies(
     width = len(combos[0][1])
     tiles = ceil_div(size, FRONT_TILE_ROWS)
     levels = candidate_levels(front, size, combos, medians)
-    if tiles > 1:
+    if tiles > 1 or width > WORD:
         levels = stage(levels, "levels")
     found = single_rfds(levels, width)
     if width >= 2:

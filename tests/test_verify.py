@@ -91,9 +91,9 @@ def test_edit_pairs_match_brute_force(spark):
     rnd = random.Random(2)
     values = {"".join(rnd.choice("ab\u00e9") for _ in range(rnd.randrange(0, 9))) for _ in range(90)} | {f"Item#0000{rnd.randrange(3000):06d}" for _ in range(120)} | {"aaaaaaaaaa", "aaaaaaaaab", "\U0001f600x", "x"}
     df = spark.createDataFrame([(v,) for v in values] + [(None,), ("x",)], "v string")
-    for k in (1, 2, 3):
+    for k, q in ((1, None), (2, 2), (3, 3)):
         want = {(*sorted(p), int(model.text(*p))) for p in pairs_of(values, 2) if model.text(*p) <= k}
-        got = [(*sorted((r["value_a"], r["value_b"])), r["distance"]) for r in edit_pairs(df, k).collect()]
+        got = [(*sorted((r["value_a"], r["value_b"])), r["distance"]) for r in edit_pairs(df, k, q).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert edit_pairs(df, 0).collect() == []
 
@@ -102,7 +102,7 @@ def test_edit_index_tests_few_pairs(spark):
     rnd = random.Random(4)
     n = 3000
     values = spark.createDataFrame([("".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randrange(8, 24))),) for _ in range(n)], "v string")
-    assert edit_candidates(values, 2).count() < 0.05 * n * (n - 1) / 2
+    assert edit_candidates(values, 2, 3).count() < 0.05 * n * (n - 1) / 2
 
 
 def test_no_threshold_pairs_all_tiles(spark):
