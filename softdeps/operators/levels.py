@@ -34,10 +34,12 @@ def pool_intervals(front: DataFrame, width: int, tiles: int = 1) -> DataFrame:
     """Front rows with ``kill``: in the pool of level b while ``kill <= b < rhs`` (kill is null when nothing lies below)."""
     lows = front_columns(width)
     every = ["rhs_name", "rhs"] + lows
-    below = at_or_below(width) & ~all_of([F.col(f"b.l{j}") == F.col(f"a.l{j}") for j in range(width)])
+    side = lambda name: F.struct(*[F.col(f"{name}.l{j}") for j in range(width)])
+    below = at_or_below(width) & (side("b") != side("a"))  # one comparison: the optimizer multiplies out a negated conjunction
     pairs = cross_cells(front, front, ["rhs_name"], below, (tiles, tiles))
-    kills = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in every]).agg(F.max("b.rhs").alias("kill"))
-    return front.join(kills, every, "left")
+    kills = pairs.select(*[F.col(f"a.{c}").alias(c) for c in every], F.col("b.rhs").alias("kill"))
+    own = front.select(*every, F.lit(None).cast("double").alias("kill"))
+    return own.unionAll(kills).groupBy(*every).agg(F.max("kill").alias("kill"))
 
 
 def pools(front: DataFrame, width: int, levels: DataFrame, tiles: int = 1) -> DataFrame:

@@ -153,14 +153,12 @@ def single_rfds(levels: DataFrame, width: int) -> DataFrame:
     )
     found = F.array(
         *[
-            F.when(
-                F.col(f"min_{c}") < F.col(f"prior_{c}"),
-                F.struct(*[(F.col(f"min_{c}") if o == c else F.lit(None).cast("double")).alias(o) for o in lows]),
-            )
-            for c in lows
+            F.when(F.col(f"min_{c}") < F.col(f"prior_{c}"), F.struct(F.lit(j).alias("#j"), F.col(f"min_{c}").alias("#t")))
+            for j, c in enumerate(lows)
         ]
     )
-    return per_level.select("rhs_name", "rhs", F.inline(F.filter(found, lambda s: s.isNotNull())))
+    one = per_level.select("rhs_name", "rhs", F.inline(F.filter(found, lambda s: s.isNotNull())))
+    return one.select("rhs_name", "rhs", *[F.when(F.col("#j") == j, F.col("#t")).alias(c) for j, c in enumerate(lows)])
 
 
 def composite_rfds(levels: DataFrame, intervals: DataFrame, width: int, tiles: int = 1) -> DataFrame:
