@@ -81,6 +81,8 @@ def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mix_counts`` says, with the columns of ``docs``."""
-    counted = mix_counts(docs, seed).where("copies > 0")
-    return counted.withColumn("#copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: every row of ``docs`` as often as ``mix_counts`` says, with the columns of ``docs``, also those that are named like its figures."""
+    own = [c for c in docs.columns if c in ("size", "source_size", "target", "copies")]
+    counted = mix_counts(docs.withColumnsRenamed({c: f"#own_{c}" for c in own}), seed).where("copies > 0")
+    taken = counted.withColumn("#copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*(F.col(f"#own_{c}" if c in own else c).alias(c) for c in docs.columns))

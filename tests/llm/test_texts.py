@@ -350,3 +350,10 @@ def test_toxicity_held_out(spark, odd, empty):
     assert got.count() == odd.count() and got.where("score between 0 and 1").count() == odd.count()
     assert score_toxicity(empty, labels).count() == 0
     assert score_toxicity(odd, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_mix_keeps_columns_named_like_its_figures(spark):
+    rows = [(i, "a b c", "s", 100 + i, "t", 7) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, target string, copies int")
+    taken = mix(docs).collect()
+    assert len(taken) >= 8 and {tuple(r) for r in taken} <= set(rows)
