@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from softdeps.operators.pairs import cross_cells
+from softdeps.operators.dominance import boxed, covered
+from softdeps.operators.pairs import cross_cells, q
 from softdeps.operators.skyline import front_columns
-from softdeps.session import slots
 
 RANGES = 64
 
@@ -119,23 +119,19 @@ def singletons(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 
 
 def not_dominating(df: DataFrame, pool: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Rows of ``df`` with no pool row of the same group at or below them on every column."""
-    return _by_pool(df, pool, columns, by, "left_anti", lambda y, x: x <= y)
+    """Rows of ``df`` with no pool row of the same group at or below them on every column (a null is at or below nothing, and nothing below it)."""
+    return _by_pool(df, pool, columns, by, "left_anti")
 
 
 def dominates_subset(
     df: DataFrame, pool: DataFrame, columns: list[str], by: list[str], strict: bool = False
 ) -> DataFrame:
     """Rows that lie at or above some pool row on every present attribute (null is unconstrained)."""
-    compare = (lambda y, x: y.isNull() | (x < y)) if strict else (lambda y, x: y.isNull() | (x <= y))
-    return _by_pool(df, pool, columns, by, "left_semi", compare)
-
-
-def _by_pool(df: DataFrame, pool: DataFrame, columns: list[str], by: list[str], how: str, compare) -> DataFrame:
-    """Semi or anti join of rows with a pool: the rows of a group are spread over shares, each meeting the whole pool."""
-    shares = slots(df.sparkSession)
-    rows = df.withColumn("#share", F.pmod(F.xxhash64(*columns), F.lit(shares)))
-    copies = pool.withColumn("#share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
-    y, x = rows.alias("y"), copies.alias("x")
-    same = all_of([F.col(f"y.`{k}`") == F.col(f"x.`{k}`") for k in by + ["#share"]])
-    return y.join(x, same & all_of([compare(F.col(f"y.{c}"), F.col(f"x.{c}")) for c in columns]), how).drop("#share")
+    return _by_pool(df, pool, columns, by, "left_semi", strict=strict, free_nulls=True)
+
+
+def _by_pool(df: DataFrame, pool: DataFrame, columns: list[str], by: list[str], how: str, **demands: bool) -> DataFrame:
+    """Semi or anti join of rows with a pool; repeated rows stay as they are."""
+    rows, _ = boxed(df, by, columns)
+    below, _ = boxed(pool.select(*[q(c) for c in dict.fromkeys(by + columns)]).distinct(), by, columns)
+    return rows.join(covered(rows, below, columns, by, **demands), "#id", how).select(*[q(c) for c in df.columns])

@@ -1,8 +1,10 @@
 """Pareto fronts: smallest on some columns, largest on one, per group.
 
 A front is built in two steps.  Each task reduces its own Arrow batches to a
-local front (so nothing but front candidates is ever shuffled); the candidates
-then eliminate each other in bounded tiles.
+local front (so nothing but front candidates is ever shuffled), and hands it on
+and starts anew whenever it has grown to ``HELD_ROWS``.  The candidates then
+eliminate each other inside boxes of bounded size, and the boxes' survivors
+between boxes whose bounds leave room for it.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from softdeps.session import ceil_div, stage_counted
+from softdeps.operators.dominance import boxed, covered
+from softdeps.session import stage, stage_counted
 
 FRONT_TILE_ROWS = 4_096
 BLOCK = 8_192
+HELD_ROWS = 16_384
+GUARDS = 1_024
 
 
 def _beaten_within(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -63,12 +68,19 @@ def front_rows(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 class RunningFront:
-    """Front of the rows seen so far, fed batch by batch."""
+    """Front of the rows seen since the last restart, fed batch by batch."""
 
     def __init__(self, width: int):
         self.low = np.empty((0, width))
         self.high = np.empty(0)
 
+    def restart(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hand out the front; evenly spread rows of it stay as guards, so what they beat is not collected again."""
+        low, high = self.low, self.high
+        guards = np.linspace(0, len(high) - 1, min(GUARDS, len(high) // 2)).astype(int)
+        self.low, self.high = low[guards], high[guards]
+        return low, high
+
     def add(self, low: np.ndarray, high: np.ndarray) -> None:
         if len(self.low) and len(low):
             fresh = ~_beaten(self.low, self.high, low, high)
@@ -98,6 +110,13 @@ def local_fronts(vectors: DataFrame, combos: list[tuple[str, list[str]]], integr
     plan = [(r, names.index(r), [names.index(c) for c in ls]) for r, ls in combos]
     limits = integral_below or {}
 
+    def found(r: str, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([r] * len(high), pa.string()), pa.array(high)]
+        columns += [pa.array(low[:, j]) for j in range(width)]
+        return pa.RecordBatch.from_arrays(columns, names=["rhs_name", "rhs"] + front_columns(width))
+
+    held = HELD_ROWS
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fronts = {r: RunningFront(width) for r, _, _ in plan}
         for batch in batches:
@@ -108,11 +127,11 @@ def local_fronts(vectors: DataFrame, combos: list[tuple[str, list[str]]], integr
                     b = data[:, at]
                     rows = data[(b > limits[r]) | (b == np.floor(b))]
                 fronts[r].add(rows[:, lhs], rows[:, at])
+                if len(fronts[r].high) >= held:
+                    yield found(r, *fronts[r].restart())
         for r, front in fronts.items():
             if len(front.high):
-                columns = [pa.array([r] * len(front.high), pa.string()), pa.array(front.high)]
-                columns += [pa.array(front.low[:, j]) for j in range(width)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rhs_name", "rhs"] + front_columns(width))
+                yield found(r, front.low, front.high)
 
     return vectors.mapInArrow(reduce, front_schema(width))
 
@@ -120,26 +139,23 @@ def local_fronts(vectors: DataFrame, combos: list[tuple[str, list[str]]], integr
 def merge_fronts(candidates: DataFrame, width: int, tile_rows: int = FRONT_TILE_ROWS) -> tuple[DataFrame, int]:
     """The front of all candidates per ``rhs_name``, staged, and its size.
 
-    With more candidates than one tile holds, every pair of tiles is reduced on its
-    own and a row is kept when it survives against all tiles.
+    Candidates are sorted into boxes and reduce each other there first.  With more candidates than one box holds, a box's survivors then meet
+    those of the boxes that can beat one of them; boxes that lie wholly above another go without a look at their rows.
     """
     lows = front_columns(width)
     every = ["rhs_name", "rhs"] + lows
     staged, n = stage_counted(candidates.select(*every), "candidates")
-    tiles = ceil_div(n, tile_rows)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[front_rows(pdf[lows].to_numpy(), pdf["rhs"].to_numpy())][every]
-
-    schema = front_schema(width)
-    if tiles == 1:
-        return stage_counted(staged.groupBy("rhs_name").applyInPandas(reduce, schema), "front")
-    tiled = staged.dropDuplicates().withColumn("tile", F.pmod(F.xxhash64(*every), F.lit(tiles)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(tiles - 1))
-    cells = F.transform(others, lambda t: F.least(t, F.col("tile")) * F.lit(tiles) + F.greatest(t, F.col("tile")))
-    survivors = tiled.withColumn("cell", F.explode(cells)).groupBy("rhs_name", "cell").applyInPandas(reduce, schema)
-    kept = survivors.groupBy(*every).agg(F.count(F.lit(1)).alias("#met")).where(F.col("#met") == tiles)
-    return stage_counted(kept.select(*every), "front")
+        return pdf.iloc[front_rows(pdf[lows].to_numpy(), pdf["rhs"].to_numpy())]
+
+    if n <= tile_rows:
+        return stage_counted(staged.groupBy("rhs_name").applyInPandas(reduce, front_schema(width)), "front")
+    turned = staged.dropDuplicates().withColumn("up", -F.col("rhs"))  # low on every column
+    boxes, _ = boxed(turned, ["rhs_name"], lows + ["up"], tile_rows)
+    rows = stage(boxes.groupBy("rhs_name", "#box").applyInPandas(reduce, boxes.schema), "survivors")
+    beaten = covered(rows, rows, lows + ["up"], ["rhs_name"], apart=True)
+    return stage_counted(rows.join(beaten, "#id", "left_anti").select(*every), "front")
 
 
 def skyline(df: DataFrame, min_cols: list[str], max_col: str, tile_rows: int = FRONT_TILE_ROWS) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 import model
 from softdeps.functions.distances import day_distance, edit_distance, measures_for
 from softdeps.functions.formatting import format_rfd, to_long, to_wide
+from softdeps.operators import dominance
 from softdeps.operators.cover import minimal_rfds
-from softdeps.operators.levels import pool_intervals, pools, prior_min
+from softdeps.operators.levels import dominates_subset, not_dominating, pool_intervals, pools, prior_min
 from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances
-from softdeps.operators.skyline import front_rows, skyline
+from softdeps.operators.skyline import RunningFront, front_rows, skyline
 from softdeps.operators.stats import key_is_unique, median_values
 from softdeps.operators.taxonomy import taxonomy_distance
 from softdeps.plans.discover import combinations, discover_rfds
@@ -193,3 +194,62 @@ def test_plain_numbers_and_equal_infinities(spark):
     assert df.where(number_text(F.col("x")) != F.col("want")).count() == 0
     inf = spark.createDataFrame([(float("inf"), float("inf"))], "a double, b double")
     assert inf.select(numeric_distance(F.col("a"), F.col("b"))).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("box_rows", [3, 40, 4096])
+def test_pool_operators_by_boxes(spark, box_rows, monkeypatch):
+    monkeypatch.setattr(dominance.boxed, "__defaults__", (box_rows,))
+    rng = random.Random(box_rows)
+    value = lambda: rng.choice([None, 0.0, 1.0, 2.0, 3.0, 4.0, INF])
+    rows = [(rng.choice([1, 1, 1, 2, None]), value(), value(), value()) for _ in range(300)]
+    pool = [(rng.choice([1, 2, 2, None]), value(), value(), value()) for _ in range(40)]
+    df, below = (spark.createDataFrame(r, "g int, x double, `y.z` double, w double").repartition(3) for r in (rows, pool))
+    columns = ["x", "y.z", "w"]
+
+    def some(row, test):
+        return any(p[0] is not None and p[0] == row[0] and all(test(a, b) for a, b in zip(p[1:], row[1:])) for p in pool)
+
+    known = lambda a, b: a is not None and b is not None and a <= b
+    free = lambda a, b: b is None or a is not None and a <= b
+    strict = lambda a, b: b is None or a is not None and a < b
+    got = lambda frame: sorted(map(tuple, frame.collect()), key=repr)
+    want = lambda keep: sorted((r for r in rows if keep(r)), key=repr)
+    assert got(not_dominating(df, below, columns, ["g"])) == want(lambda r: not some(r, known))
+    assert got(dominates_subset(df, below, columns, ["g"])) == want(lambda r: some(r, free))
+    assert got(dominates_subset(df, below, columns, ["g"], strict=True)) == want(lambda r: some(r, strict))
+    assert not_dominating(df, below.limit(0), columns, ["g"]).count() == len(rows)
+    assert dominates_subset(df.limit(0), below, columns, ["g"]).count() == 0
+
+
+def test_pool_boxes_that_cannot_meet_share_no_rows(spark, monkeypatch):
+    """Of 100 x 100 pairs of boxes along a line only those about the diagonal are joined row by row; the rest is decided by bounds."""
+    monkeypatch.setattr(dominance.boxed, "__defaults__", (200,))
+    joined = []
+    monkeypatch.setattr(dominance, "stage", lambda df, label: joined.append(stage(df, label)) or joined[-1])
+    line = spark.range(20_000).selectExpr("1 g", "double(id) x", "double(-id) y")
+    assert not_dominating(line, line, ["x", "y"], ["g"]).count() == 0
+    pairs = next(d for d in joined if "whole" in d.columns)
+    assert pairs.count() < 500
+
+
+def test_large_front_in_bounded_memory(spark):
+    """A front of 200,000 rows whose values oppose each other, among as many beaten rows, in runs of at most HELD_ROWS."""
+    n = 200_000
+    front = spark.range(n).selectExpr("double(id) x", "double(2 * id) b")
+    beaten = front.selectExpr("x + 0.5 x", "b - 0.25 b")
+    both = front.unionAll(beaten).repartition(8)
+    got = skyline(both, ["x"], "b").agg(F.count("*"), F.sum("x"), F.sum(F.col("b") - 2 * F.col("x"))).first()
+    assert tuple(got) == (n, n * (n - 1) / 2, 0.0)
+
+
+def test_running_front_restarts():
+    rng = np.random.default_rng(4)
+    x = rng.permutation(5_000).astype(float)
+    front, handed = RunningFront(1), []
+    for at in range(0, len(x), 250):
+        front.add(x[at : at + 250, None], x[at : at + 250])
+        if len(front.high) >= 1_000:
+            handed.append(front.restart())
+            assert len(front.high) <= 500
+    handed.append((front.low, front.high))
+    assert len(handed) > 3 and {v for low, _ in handed for v in low[:, 0]} == set(x)
