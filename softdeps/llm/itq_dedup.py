@@ -85,13 +85,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without id, link with nothing.  Equal vectors are folded and
     counted; they always link.  Vectors of different lengths never link.  Buckets of any size are cut into tiles, and pairs of tiles are compared in tasks of
-    bounded size which report counts and a spanning forest, never the pairs.
+    bounded size which report counts and a spanning forest, never the pairs.  Distinct vectors go by numbers of their own, so rows that share an id keep
+    the links of their own vectors.
     """
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(x, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(finite & F.col(id_col).isNotNull(), x).alias("v"))
     known = rows.where("v is not null")
-    folded = stage(known.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    folded = stage(known.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     sizes = folded.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per length of vectors
     found = [links_of_dim(folded.where(F.size("v") == s["dim"]), s["n"], threshold, recall) for s in sizes if s["n"] > 1]
     if found:
@@ -104,7 +105,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         reps = folded.join(counts, "rep", "left").join(joined, "rep", "left")
     else:
         reps = folded.withColumn("n", F.lit(0)).withColumn("component", F.col("rep"))
-    result = reps.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    reps = reps.withColumn("component", F.coalesce("component", "rep"))
+    least = reps.groupBy("component").agg(F.min("least").alias("component_id"))
+    result = reps.join(least, "component").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = known.join(result, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -115,7 +118,7 @@ def links_of_dim(folded: DataFrame, n: int, threshold: float, recall: float) ->
     bits, tables = table_shape(n, threshold, recall)
     unit = lambda m: m / np.sqrt((m**2).sum(1, keepdims=True))
     scale = lambda m: m / np.abs(m).max(1, keepdims=True)  # noqa: E731  keeps squares finite
-    sample = folded.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()  # bounded by SAMPLE
+    sample = folded.orderBy(F.xxhash64("least"), "least", "v").limit(SAMPLE).select("v").collect()  # bounded by SAMPLE
     # Only rotations come from the sample.  Codes are of the vectors as they are: around a mean the angles of linked vectors would be wider than the
     # threshold's, for which the tables are counted.
     project = iterative_quantisation(unit(scale(np.array([r["v"] for r in sample]))), bits * tables)

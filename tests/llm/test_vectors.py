@@ -39,6 +39,13 @@ def test_near_vectors(vectors, spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.1, 0.0, 0.0], 0), (3, [0.1, 1.0, 0.0, 0.0], 0), (5, [0.0, 0.0, 0.0, 1.0], 0), (4, [0.0, 0.0, 0.0, 1.0], 0)]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
 def test_near_vectors_with_a_common_mean(spark):
     rng, n, d, norm = np.random.default_rng(2), 600, 48, 0.9
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
