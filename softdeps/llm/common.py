@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from softdeps import session
@@ -27,6 +27,13 @@ def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     return session.stage(df, label, by, compression="zstd")
 
 
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``stage`` and the number of rows, seen while they are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return staged, seen.get["n"]
+
+
 def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` whose task sees at most ``rows`` rows at once; Spark itself bounds a batch by its bytes."""
 
@@ -75,23 +82,44 @@ def components(edges: DataFrame) -> DataFrame:
     nodes are join keys only next to a one-row-per-node side, so that a hub's edges can be split by adaptive execution.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = stage(edges.where("a <> b").select(high, low).distinct(), "edges")
-    state = None
-    while True:
+    now, state = _told_edges(edges.where("a <> b").select(high, low).distinct())
+    while state[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stage(small.unionAll(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
+        now, new = _told_edges(small.unionAll(lowest.select("a", F.col("m").alias("b"))).distinct())
+        if new == state:
             break
-        state = tuple(found)
+        state = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
 
 
+def _told_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Staged edges with their number and a sum of their hashes, seen while they are written."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hashes"))
+    return stage(told, "edges"), (seen.get["n"], seen.get["hashes"])
+
+
+def more_components(known: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``components`` of all edges behind ``known`` and the new ``edges``, staged; only edges between different known components are looked at anew."""
+    if known is None:
+        return stage(components(edges), "components")
+    named = lambda k: known.select(F.col("node").alias(k), F.col("component").alias(f"#{k}"))
+    placed = edges.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    moved = placed.select(F.coalesce("#a", "a").alias("a"), F.coalesce("#b", "b").alias("b")).where("a <> b").distinct()
+    moved, n = stage_counted(moved, "moved")
+    if not n:
+        return known
+    top = stage(components(moved), "tops")
+    higher = top.select(F.col("node").alias("component"), F.col("component").alias("#top"))
+    old = known.join(higher, "component", "left").select("node", F.coalesce("#top", "component").alias("component"))
+    return stage(old.unionByName(top.join(known, "node", "left_anti")), "components")
+
+
 def parts(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from softdeps.llm.common import arrow, components, map_batches, stage
+from softdeps.llm.common import arrow, map_batches, more_components, stage, stage_counted
 
 WORDS, SIMILAR, OF = 3, 90, 100
 TILE, CENTERS, FINE, MU = 256, 4, 4, 0.05
@@ -180,6 +180,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
 
     Null, empty and blank texts have no shingles and link with nothing: their component is their own ``doc_id``.  Equal sets are folded, so copies are never
     compared.  The component is the smallest ``doc_id`` reachable by links.  Repeated rows are copies.  Sets are told apart by 64-bit hashes.
+    Rows without id link like any others and are passed over as smallest: a component of such rows alone has a null ``component_id``.
     """
     shingles, bounds = Shingles(words), size_classes(1 << 34, similar, of)
 
@@ -196,10 +197,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
                 seen.add(node)
             columns = {"n_shingles": (sizes, pa.int64()), "node": (nodes, pa.int64()), "keys": (keys, pa.list_(pa.int64()))}
             made = arrow(columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["doc_id", *columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns, batch.column(2)], names=["doc_id", *columns, "told"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage(map_batches(texts, described, "doc_id long, n_shingles long, node long, keys array<long>"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("told"))
+    sets = stage(map_batches(texts, described, "doc_id long, n_shingles long, node long, keys array<long>, told long"), "sets")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in the order of key and node, streamed: each further node of a key next to the key's first."""
@@ -218,9 +219,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
     entries = sets.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     open_ = stage(map_batches(entries, stars, "key long, center long, node long").distinct(), "stars")
 
-    # The sets of all nodes that share a block, made anew from one text each.
+    # The sets of all nodes that share a block, made anew from one text each; a text goes by its id, which may be null, and its hash.
     met = open_.select(F.col("center").alias("node")).unionAll(open_.select("node")).distinct()
-    wanted = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "told")).alias("w"))
+    wanted = wanted.select("node", F.col("w.doc_id").alias("id"), F.col("w.told").alias("of"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +234,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
             columns = list(zip(*rows, strict=True)) or [()] * 2
             yield arrow({"node": (list(columns[0]), pa.int64()), "shingles": (list(columns[1]), pa.binary())})
 
-    known = stage(map_batches(texts.join(wanted, "doc_id").select("node", "text"), made, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    known = stage(map_batches(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("told") == F.col("of"))).select("node", "text"), made, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +250,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
 
     short = stage(map_batches(known, sketched, "node long, size long, class int, own binary, next binary"), "sketches")
 
-    links, tested = None, None
+    comps, tested = None, None
     for turn in range(CENTERS + 1):
         if turn < CENTERS:
             pairs = open_.select(F.col("center").alias("a"), F.col("node").alias("b"))
@@ -260,8 +262,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
         pairs = stage(pairs, "pairs")
         tested = pairs if tested is None else tested.unionAll(pairs)
         new = stage(center_links(possible(pairs, short, similar, of) if turn < CENTERS else pairs, known, similar, of), "links")
-        links = new if links is None else links.unionAll(new)
-        comps = stage(components(links), "components")
+        comps = more_components(comps, new)
         if turn == CENTERS:
             break
         # Left open: blocks whose other nodes are in several components.
@@ -269,8 +270,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similar: int = SIMIL
         centers = rest.groupBy("key").agg(F.min("node").alias("center"), F.min("component").alias("low"), F.max("component").alias("high"))
         left = rest.join(centers.where("low <> high").select("key", "center"), "key")
         # The last turn compares blocks whole, so the center chosen for it stays among their nodes.
-        open_ = stage(left if turn + 1 == CENTERS else left.where("node <> center"), "open")
-        if open_.isEmpty():
+        open_, n_open = stage_counted(left if turn + 1 == CENTERS else left.where("node <> center"), "open")
+        if not n_open:
             break
 
     reps = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

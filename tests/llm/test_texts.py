@@ -22,6 +22,7 @@ from softdeps.llm.packing import hilbert_keys, pack_by_curve
 from softdeps.llm.queries import tokenizer_path
 from softdeps.llm.secret_scan import ACCESS, ASSIGN, HEX, find_secrets, redact_secrets, scan
 from softdeps.llm.sentence_spans import drop_repeated_sentences, runs, sentences
+from softdeps.llm.common import more_components
 from softdeps.llm.suffix_dedup import drop_repeated_strings, suffix_array
 from softdeps.llm.toxicity import GRAMMAR, Lexicon, compose, negation, reported, score_toxicity
 
@@ -314,6 +315,30 @@ def test_jaccard(copies, odd, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_through_rows_without_ids(spark):
+    words = [f"w{i}" for i in range(66)]
+    chain = [" ".join(words[: 60 + 3 * k]) for k in range(3)]  # neighbours link, the ends don't
+    ids = lambda *named: {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(list(zip(named, chain)), "doc_id long, text string")).collect()}
+    assert ids(1, 3, 2) == {1: 1, 3: 1, 2: 1} and ids(1, None, 2) == {1: 1, None: 1, 2: 1} and ids(None, 7, None) == {None: 7, 7: 7}
+    other = spark.createDataFrame([(None, t) for t in [*chain, "a b c d", "e f g h", None]], "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard_components(other).collect()] == [None] * 6
+
+
+def test_more_components(spark):
+    rng, known, edges, parent = random.Random(3), None, [], list(range(200))
+    for _ in range(4):
+        new = [(rng.randrange(200), rng.randrange(200)) for _ in range(40)]
+        edges += new
+        known = more_components(known, spark.createDataFrame(new, "a long, b long"))
+        for a, b in new:
+            lo, hi = sorted((parent[a], parent[b]))
+            parent = [lo if p == hi else p for p in parent]
+        touched = {x for e in edges if e[0] != e[1] for x in e}
+        got = {r["node"]: r["component"] for r in known.collect()}
+        assert {n: c for n, c in got.items()} == {n: parent[n] for n in touched} and known.count() == len(touched)
+    assert more_components(known, spark.createDataFrame([], "a long, b long")).count() == len(touched)
+
+
 def test_jaccard_last_center(spark, monkeypatch):
     """One block of more than six documents that don't link, but for the fifth smallest set and a later one."""
     rng = random.Random(8)
