@@ -167,6 +167,9 @@ SELECT doc_id, coalesce(n, 0) AS sentiment_tokens, CAST(coalesce(score, 0) AS DO
   CASE WHEN n > 0 THEN CAST(score AS DOUBLE) / n * 100 ELSE 0.0 END AS sentiment_comparative
 FROM documents LEFT JOIN s USING (doc_id)"""
 
+WINDOWS = """SELECT window_start, rank, ts, event_id, value FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, ts, event_id, value,
+      row_number() OVER (PARTITION BY time_bucket(INTERVAL 10 MINUTE, ts) ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5"""
+
 ORACLES = {
     "distance_numeric": f"""SELECT x.s_suppkey AS s_suppkey_a, y.s_suppkey AS s_suppkey_b,
       CAST(abs(x.s_nationkey - y.s_nationkey) AS DOUBLE) AS s_nationkey, abs(x.s_acctbal - y.s_acctbal) AS s_acctbal FROM {PAIRS['supplier']}""",
@@ -274,8 +277,10 @@ ORACLES = {
     "table_profile": f"{size_line('lineitem', 11)} UNION ALL {size_line('orders', 6)}",
     "metrics_summary": """SELECT l_returnflag AS ds_name, l_linenumber AS rfd_count, avg(l_quantity) AS time_elapsed
       FROM lineitem GROUP BY ALL""",
-    "top_k_per_window": """SELECT window_start, rank, event_id, value FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, event_id, value,
-      row_number() OVER (PARTITION BY time_bucket(INTERVAL 10 MINUTE, ts) ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5""",
+    "top_k_per_window": f"SELECT window_start, rank, event_id, value FROM ({WINDOWS})",
+    # One micro-batch: every window that ends before the latest time less the delay is closed.
+    "stream_top_k": f"""SELECT * FROM ({WINDOWS})
+      WHERE window_start + INTERVAL 10 MINUTE < date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
     "top_k": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 5",
     "filter_records": "SELECT doc_id, n_chars FROM documents WHERE lang = 'en'",
     "escape_newlines": "SELECT doc_id, md5(replace(text, chr(10), '\\n')) AS digest FROM documents",

@@ -459,7 +459,8 @@ def streamed(spark, d):
     out = f"{scratch_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(best)}"
     query = start_sink(best, f"{out}/rows", f"{out}/checkpoint", every=None)
     run_until(query, 600)
-    return spark.read.parquet(f"{out}/rows")
+    local = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "ts")]
+    return spark.read.parquet(f"{out}/rows").select(local[0], F.col("rank").cast("bigint").alias("rank"), local[1], "event_id", "value")
 
 
 # -- files -------------------------------------------------------------------------------
