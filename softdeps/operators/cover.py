@@ -1,4 +1,8 @@
-"""Minimal cover: drop dependencies implied by another one."""
+"""Minimal cover: drop dependencies implied by another one.
+
+A rule implies another of the same right side if it lies at or below it in the space of (right threshold, loosened left side), where an absent attribute is
+looser than any threshold.  So the rules that stay are a front, and ``dominance`` finds it by boxes: rules whose boxes rule each other out never meet.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.functions.formatting import _attributes
-from softdeps.operators.levels import all_of
-from softdeps.operators.pairs import cross_cells
-from softdeps.session import ceil_div, stage
+from softdeps.operators.dominance import boxed, covered
+from softdeps.operators.pairs import q
 
-COVER_TILE_ROWS = 4_096
+COVER_BOX_ROWS = 4_096
 
 
 def minimal_rfds(rfds: DataFrame) -> DataFrame:
     """Keep p unless some other q has no lhs attribute beyond p's, thresholds at least p's, and an rhs at most p's."""
     names = _attributes(rfds)
     every = ["rhs", "rhs_threshold"] + names
-    rows = stage(rfds.select(*[F.col(f"`{c}`") for c in every]).dropDuplicates(), "rules")
-    tiles = ceil_div(rows.count(), COVER_TILE_ROWS)
-    p, other = (lambda c: F.col(f"a.`{c}`")), (lambda c: F.col(f"b.`{c}`"))
-    weaker = all_of([other(c).isNull() | F.coalesce(other(c) >= p(c), F.lit(False)) for c in names])
-    same = all_of([p(c).eqNullSafe(other(c)) for c in every])
-    implied = weaker & (other("rhs_threshold") <= p("rhs_threshold")) & ~same
-    beaten = cross_cells(rows, rows, ["rhs"], implied, (tiles, tiles)).select(*[p(c).alias(c) for c in every]).distinct()
-    r, b = rows.alias("r"), beaten.alias("b")
-    match = all_of([F.col(f"r.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in every])
-    return r.join(b, match, "left_anti")
+    looser = {f"#loose{i}": F.coalesce(-q(c).cast("double"), F.lit(float("-inf"))) for i, c in enumerate(names)}
+    absent = {f"#absent{i}": F.when(q(c).isNull(), -1).otherwise(0) for i, c in enumerate(names)}  # an infinite threshold is still one
+    rules = rfds.select(*[q(c) for c in every]).dropDuplicates().withColumns({**looser, **absent})
+    measured = ["rhs_threshold", *looser, *absent]
+    rows, _ = boxed(rules, ["rhs"], measured, COVER_BOX_ROWS)
+    return rows.join(covered(rows, rows, measured, ["rhs"], apart=True), "#id", "left_anti").select(*[q(c) for c in every])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import model
 from softdeps.functions.distances import day_distance, edit_distance, measures_for
 from softdeps.functions.formatting import format_rfd, to_long, to_wide
-from softdeps.operators import dominance
+from softdeps.operators import cover, dominance
 from softdeps.operators.cover import minimal_rfds
 from softdeps.operators.levels import dominates_subset, not_dominating, pool_intervals, pools, prior_min
 from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances
@@ -253,3 +253,17 @@ def test_running_front_restarts():
             assert len(front.high) <= 500
     handed.append((front.low, front.high))
     assert len(handed) > 3 and {v for low, _ in handed for v in low[:, 0]} == set(x)
+
+
+@pytest.mark.parametrize("box_rows", [20, 4096])
+def test_minimal_rules_by_boxes(spark, box_rows, monkeypatch):
+    monkeypatch.setattr(cover, "COVER_BOX_ROWS", box_rows)
+    rng = random.Random(8)
+    value = lambda: rng.choice([None, None, 0.0, 1.0, 2.0, 5.0, INF])
+    rules = [(rng.choice("hhk"), float(rng.randrange(5)), value(), value(), value()) for _ in range(250)]
+    implies = lambda s, r: s != r and s[0] == r[0] and s[1] <= r[1] and all(a is None or b is not None and a >= b for a, b in zip(s[2:], r[2:]))
+    want = {r for r in rules if not any(implies(s, r) for s in rules)}
+    df = spark.createDataFrame(rules, "rhs string, rhs_threshold double, w double, s double, a double")
+    got = [tuple(r) for r in minimal_rfds(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert minimal_rfds(df.limit(0)).count() == 0
