@@ -32,7 +32,10 @@ def box_order(rows: DataFrame, columns: list[str], boxes: int) -> list[Column]:
 
 def boxed(rows: DataFrame, by: list[str], columns: list[str], box_rows: int = BOX_ROWS) -> tuple[DataFrame, int]:
     """``rows`` with ``#id`` and ``#box``, staged, and their number; a box holds at most ``box_rows`` rows of one group and few of another."""
-    raw, n = stage_counted(rows, "rows")
+    numbered, n = stage_counted(rows.withColumn("#id", F.monotonically_increasing_id()), "rows")
+    if n <= box_rows:
+        return numbered.withColumn("#box", F.lit(0).cast("bigint")), n
+    raw = numbered.drop("#id")
     order = [q(k) for k in by] + box_order(raw, columns, ceil_div(n, box_rows))
     parts = max(ceil_div(n, PARTITION_ROWS), min(slots(rows.sparkSession), ceil_div(n, box_rows)))
     place = q("#id")
