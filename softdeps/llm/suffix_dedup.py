@@ -4,13 +4,15 @@ Only strings that can repeat reach a suffix array.  Every window of 400 bytes na
 equal anchors; windows whose anchor occurs once are unique.  The others are cut out as contexts, the stretches of windows that name one anchor, equal
 contexts are folded, and the contexts of an anchor meet in a shard of bounded size.  A shard's suffix array is built in two stages: suffixes smaller
 than their successors are sorted directly, the rest is induced by scanning buckets; common prefixes of neighbours tell which windows repeat.  An
-anchor with more contexts than a shard holds is spread over several, whose classes of equal windows are then counted together.
+anchor with more contexts than a shard holds is split by content: a context is cut in two parts, of windows that hold some bytes more behind the anchor and of
+windows that hold some more before it, and those bytes join the key; again while a group is too large.  Equal windows always stay in one group.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.llm.common import arrow, map_batches, parts, stage
+from softdeps.session import slots
 
 LENGTH, GRAM_STEPS, SHARD_BYTES = 400, 6, 1 << 19
 GRAM = 1 << GRAM_STEPS
+TASKS_A_SLOT = 32
+KEY = ("anchor", "context")
+HALVES = (
+    "anchor long, context binary, n long, offset int, half_anchor long, half_context binary, bytes binary, windows int, at int, width int"
+)
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -125,12 +133,48 @@ def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
     return owner, offset, np.concatenate([[0], np.cumsum(~same)]).astype(np.int64)[: len(order)]
 
 
-def intervals(starts: np.ndarray) -> list[tuple[int, int]]:
-    """First and last of each run of consecutive numbers."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
+def regions(context: bytes, anchor: int, at: int | None, windows: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of windows with the place of the region that all of a range hold: at first their leftmost anchor, so that equal windows hold it at one place."""
+    if at is not None:
+        yield 0, windows, at
+        return
+    lo = 0
+    for at in np.flatnonzero(gram_hashes(np.frombuffer(context, np.uint8)).view(np.int64) == anchor).tolist():
+        if lo < windows:
+            yield lo, min(at + 1, windows), at
+        lo = at + 1
+
+
+def halves_of(context: bytes, anchor: int, at: int | None, width: int, windows: int, length: int) -> Iterator[tuple[int, bytes, int, int, int, int]]:
+    """``(key, bytes, at, width, first window, windows)`` of a context's parts.
+
+    A window has ``length - width`` bytes beside its region.  With at most half of them before it, it holds the region and ``right`` bytes behind it, else
+    the region and ``left`` bytes before it; a part's key is a hash of the old one, the side and these bytes, so equal windows get equal keys.
+    """
+    spare = length - width
+    right, left = -(-spare // 2), spare // 2 + 1
+    for lo, hi, at_ in regions(context, anchor, at, windows):
+        middle = min(max(lo, at_ - spare // 2), hi)
+        for side, s, e, begin, grown in ((b">", middle, hi, at_, right), (b"<", lo, middle, at_ - left, left)):
+            if s < e:
+                more = context[at_ + width : at_ + width + right] if side == b">" else context[begin:at_]
+                key = hashlib.blake2b(anchor.to_bytes(8, "little", signed=True) + side + more, digest_size=8).digest()
+                yield int.from_bytes(key, "little", signed=True), context[s : e + length - 1], begin - s, width + grown, s, e - s
+
+
+def cut_in_two(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The parts of contexts; the bytes of equal ones once a batch."""
+    names = ("anchor", "context", "n", "offset", "half_anchor", "half_context", "bytes", "windows", "at", "width")
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+    for batch in batches:
+        out, seen = [], set()
+        for anchor, name, n, context, windows, at, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, data, begin, grown, first, count in halves_of(context, anchor, at, width, windows, length):
+                half = hashlib.md5(begin.to_bytes(4, "little") + data).digest()
+                out.append((anchor, name, n, first, key, half, None if (key, half) in seen else data, count, begin, grown))
+                seen.add((key, half))
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
+        yield arrow({c: (list(v), t) for c, v, t in zip(names, columns, types, strict=True)})
 
 
 def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_kept: bool = True) -> DataFrame:
@@ -178,55 +222,54 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, shard_bytes: in
 
     schema = "anchor long, context binary, digest binary, start int, windows int, bytes binary"
     cut = stage(map_batches(long.join(flagged, "digest").select("text", "digest", "anchors"), cut_out, schema), "contexts")
-    folded = cut.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.first("bytes", True).alias("bytes"), F.first("windows").alias("windows"))
-    folded = stage(folded, "folded")
-    groups = folded.groupBy("anchor").agg(F.min("n").alias("least"), F.sum(F.octet_length("bytes")).alias("size")).where("least = 1")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    salts = F.ceil(F.col("size") / shard_bytes).cast("int")
-    spread = groups.select("anchor", F.when(salts > 1, salts).otherwise(0).alias("salts"))
-    sharded = folded.join(spread, "anchor").select(
-        F.when(F.col("salts") > 0, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(parts(total, shard_bytes)))).alias("shard"),
-        F.when(F.col("salts") > 0, F.pmod(F.xxhash64("context"), F.greatest("salts", F.lit(1)))).otherwise(-1).cast("int").alias("salt"),
-        "anchor",
-        "context",
-        "n",
-        "bytes",
-    )
+    folded = cut.groupBy("anchor", "context").agg(F.sum(F.lit(1)).alias("n"), F.first("bytes", True).alias("bytes"), F.first("windows").alias("windows"))
+    level = stage(folded.select(*KEY, "n", "bytes", "windows", F.lit(None).cast("int").alias("at"), F.lit(GRAM).alias("width")), "folded")
+    levels, links, few, total = [level], [], [], 0
+    while True:
+        least = F.max("n") > 0 if len(levels) == 1 else F.sum("n") > 1  # a part of a context holds no window twice
+        size = F.sum(F.col("windows") + (length - 1))
+        groups = level.groupBy("anchor").agg(F.min("n").alias("least"), least.alias("meets"), size.alias("size"), F.max("width").alias("width"))
+        large = (F.col("size") > shard_bytes) & (F.col("width") < length)
+        groups = stage(groups.where("least = 1 and meets").select("anchor", "size", large.alias("large")), "groups")
+        small, many = groups.agg(F.sum(F.when(F.col("large"), 0).otherwise(F.col("size"))), F.count_if("large")).first()
+        total += small or 0
+        told = groups.where("not large").select("anchor")
+        few.append(level.join(told, "anchor").select(F.lit(len(levels) - 1).alias("level"), *KEY, "n", "bytes"))
+        if not many:
+            break
+        halves = level.join(groups.where("large").select("anchor"), "anchor")
+        halves = stage(map_batches(halves.select(*KEY, "n", "bytes", "windows", "at", "width"), partial(cut_in_two, length=length), HALVES), "halves")
+        links.append(halves.where("n = 1").select(*KEY, "offset", "half_anchor", "half_context"))
+        level = halves.groupBy(F.col("half_anchor").alias("anchor"), F.col("half_context").alias("context")).agg(
+            F.sum("n").alias("n"), F.first("bytes", True).alias("bytes"), *[F.first(c).alias(c) for c in ("windows", "at", "width")]
+        )
+        level = stage(level, "level")
+        levels.append(level)
+
+    shards = parts(total, shard_bytes)
+    sharded = reduce(DataFrame.unionByName, few).withColumn("shard", F.pmod(F.xxhash64("level", "anchor"), F.lit(shards)))
+    sharded = sharded.repartition(min(shards, TASKS_A_SLOT * slots(docs.sparkSession)), "shard")
 
     def marked(table: pa.Table) -> pa.Table:
-        contexts = table.column("bytes").to_pylist()
-        copies = table.column("n").to_numpy()
-        spread_out = table.column("salt")[0].as_py() >= 0
-        anchors_, names = table.column("anchor").to_pylist(), table.column("context").to_pylist()
-        owner, offset, cls = repeated_windows(contexts, length)
-        many = np.bincount(cls) > 1
-        hit = many[cls]
-        out = []
-        for k in np.unique(owner[hit]).tolist():
-            if copies[k] == 1:
-                out += [(anchors_[k], names[k], lo, hi, None, None) for lo, hi in intervals(np.sort(offset[hit & (owner == k)]))]
-        if spread_out:  # one row per class: windows met once here may be met elsewhere
-            _, first = np.unique(cls, return_index=True)
-            for i in first.tolist():
-                k, at = int(owner[i]), int(offset[i])
-                twice = bool(many[cls[i]] or copies[k] > 1)
-                digest = hashlib.md5(contexts[k][at : at + length]).digest()
-                out.append((None if twice else anchors_[k], None if twice else names[k], at, at, digest, 2 if twice else 1))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "context", "lo", "hi", "window", "weight"])
-
-    result = "anchor long, context binary, lo int, hi int, window binary, weight int"
-    told = stage(sharded.groupBy("shard", "salt").applyInArrow(marked, result), "marks")
-    alone = told.where("window is not null")
-    elsewhere = alone.groupBy("window").agg(F.sum("weight").alias("w")).where("w > 1").select("window")
-    columns = ("anchor", "context", "lo", "hi")
-    marks = (
-        told.where("window is null")
-        .select(*columns)
-        .unionByName(alone.where("anchor is not null").join(elsewhere, "window", "left_semi").select(*columns))
-        .unionByName(folded.where("n > 1").select("anchor", "context", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi")))
-    )
+        owner, offset, cls = repeated_windows(table.column("bytes").to_pylist(), length)
+        hit = (np.bincount(cls)[cls] > 1) & (table.column("n").to_numpy()[owner] == 1)
+        owner, offset = owner[hit], offset[hit]
+        order = np.lexsort((offset, owner))
+        owner, offset = owner[order], offset[order]
+        begins = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(offset) != 1)])[: len(owner)])
+        ends = np.append(begins[1:], len(owner))[: len(begins)] - 1
+        rows = table.select(["level", *KEY]).take(pa.array(owner[begins]))
+        return rows.append_column("lo", pa.array(offset[begins], pa.int32())).append_column("hi", pa.array(offset[ends], pa.int32()))
+
+    found_in = stage(sharded.groupBy("shard").applyInArrow(marked, "level int, anchor long, context binary, lo int, hi int"), "marks")
+    marks = None
+    for k in reversed(range(len(levels))):
+        own = found_in.where(F.col("level") == k).select(*KEY, "lo", "hi")
+        own = own.unionByName(levels[k].where("n > 1").select(*KEY, F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi")))
+        if marks is not None:
+            above = marks.toDF("half_anchor", "half_context", "lo", "hi").join(links[k], ["half_anchor", "half_context"])
+            own = own.unionByName(above.select(*KEY, (F.col("offset") + F.col("lo")).alias("lo"), (F.col("offset") + F.col("hi")).alias("hi")))
+        marks = own
     places = cut.select("digest", "anchor", "context", "start").distinct()
     spans = places.join(marks, ["anchor", "context"]).groupBy("digest")
     spans = spans.agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
