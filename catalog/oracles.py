@@ -141,6 +141,15 @@ FROM ({names}) LEFT JOIN (SELECT rhs, count(*) AS n FROM ({rules(rel)}) GROUP BY
     return "\nUNION ALL ".join(parts)
 
 
+def file_line(name: str, columns: list[str], types: str, sep: str) -> str:
+    """A table's line in the corpus: its bytes are those of its cells, separators and line ends."""
+    bytes_ = " + ".join(f"octet_length(encode(CAST({c} AS VARCHAR)))" for c in columns)
+    return (
+        f"SELECT '{name}.csv' AS ds_name, '{sep}' AS sep, FALSE AS header, count(*) AS ds_len, CAST({len(columns)} AS BIGINT) AS ds_attr_size, "
+        f"'{types}' AS types, CAST(sum({bytes_} + {len(columns)}) AS BIGINT) AS ds_file_size_B, count(*) * (count(*) - 1) // 2 AS pairs FROM {name}"
+    )
+
+
 def size_line(name: str, columns: int) -> str:
     return (
         f"SELECT '{name}' AS ds_name, count(*) AS ds_len, CAST({columns} AS BIGINT) AS ds_attr_size, "
@@ -193,6 +202,7 @@ ORACLES = {
       (SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type
        FROM (SELECT user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS event_id FROM events) GROUP BY user_id)""",
     "medians": month("SELECT * FROM med"),
+    "approximate_medians": month(f"SELECT {', '.join(f'quantile_disc({c}, 0.5) AS {c}' for c in MONTHS.names)} FROM d"),
     "narrowed_medians": month("SELECT * FROM med"),
     "levels": month(f"SELECT DISTINCT {RHS} FROM d"),
     "above_median": month(f"SELECT * FROM d WHERE {RHS} > (SELECT {RHS} FROM med)"),
@@ -249,6 +259,7 @@ ORACLES = {
     "discover_taxonomy": taxonomy_rules(),
     "discover_all": rules(MONTHS, select=f"SELECT *, {label(MONTHS)} AS combination FROM rules"),
     "minimal_rfds": rules(MONTHS, select=minimal(MONTHS)),
+    "discover_strategies": rules(SEGMENTS, select=minimal(SEGMENTS)),
     "format_rfd": rules(MONTHS, select=f"SELECT {rule_text(MONTHS)} AS rule FROM rules"),
     "to_wide": rules(SEGMENTS),
     "rfd_counts": rules(MONTHS, select="SELECT rhs, count(*) AS rfd_count FROM rules GROUP BY rhs"),
@@ -291,6 +302,11 @@ ORACLES = {
     "read_table": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
     "read_table_dates": """SELECT o_orderkey, date_trunc('day', o_orderdate) AS day, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status,
       o_totalprice FROM orders""",
+    "corpus_profile": " UNION ALL ".join(map(file_line, *zip(
+        ("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "bigint,string,bigint,string", ";"),
+        ("orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "bigint,bigint,string", ","),
+        ("part", ["p_partkey", "p_name", "p_size"], "bigint,string,bigint", "|"),
+    ))),
     "decimal_comma": "SELECT s_suppkey, replace(CAST(s_acctbal AS VARCHAR), '.', ',') AS s_acctbal FROM supplier",
 }
 ORACLES["discover_given_sides"] = (

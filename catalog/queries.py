@@ -39,6 +39,7 @@ from softdeps.plans.discover import (
     discover_all,
     discover_from_vectors,
     discover_rfds,
+    relational_front,
     single_rfds,
     split_sides,
     to_attributes,
@@ -55,7 +56,7 @@ from softdeps.sources.messages import (
     route_by_word_count,
 )
 from softdeps.sources.sinks import decimal_comma, write_rfds
-from softdeps.sources.tables import infer_dialect, read_table
+from softdeps.sources.tables import corpus_profile, infer_dialect, read_table
 from softdeps.streaming.topk import run_until, start_sink, stream_top_k
 
 # A small word list with weights, for texts of any language in the tables.
@@ -122,6 +123,10 @@ def medians(spark, d):
     return St.medians(distance_vectors(MONTHS.load(spark, d), MONTHS.names))
 
 
+def sketched_medians(spark, d):
+    return St.approximate_medians(distance_vectors(MONTHS.load(spark, d), MONTHS.names))
+
+
 def narrowed_medians(spark, d):
     vectors = _month_vectors(spark, d)
     values = St.median_values(vectors, limit=100, size=1_000_000)
@@ -303,6 +308,11 @@ def minimal(spark, d):
     return minimal_rfds(discover_rfds(MONTHS.load(spark, d), columns=MONTHS.names))
 
 
+def own_strategies(spark, d):
+    """A front of joins alone, and only the rules that no other implies."""
+    return discover_rfds(SEGMENTS.load(spark, d), columns=SEGMENTS.names, front=relational_front, rules=minimal_rfds)
+
+
 def formatted(spark, d):
     return format_rfd(discover_rfds(MONTHS.load(spark, d), columns=MONTHS.names)).select("rule")
 
@@ -488,6 +498,22 @@ def csv_orders(spark, d):
     return back.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+CORPUS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
+    "part": ["p_partkey", "p_name", "p_size"],
+}
+
+
+def corpus(spark, d):
+    """A folder of delimited tables without header lines, one separator each, beside a file that is no table."""
+    folder = f"{scratch_dir(spark)}/corpus-{spark.sparkContext.applicationId}-{id(object())}"
+    for (name, columns), sep in zip(CORPUS.items(), (";", ",", "|")):
+        table(spark, d, name).select(*columns).write.csv(f"{folder}/{name}.csv", sep=sep, header=False)
+    table(spark, d, "nation").select("n_nationkey").write.csv(f"{folder}/distance_nation.csv")
+    return corpus_profile(spark, folder).drop("ds_files")
+
+
 def comma_decimals(spark, d):
     return decimal_comma(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
 
@@ -505,6 +531,7 @@ QUERIES = {
     "value_distances": part_names,
     "memo_lookup": memo_lookup,
     "medians": medians,
+    "approximate_medians": sketched_medians,
     "narrowed_medians": narrowed_medians,
     "levels": levels,
     "above_median": above_median,
@@ -548,6 +575,7 @@ QUERIES = {
     "discover_taxonomy": taxonomy_rules,
     "discover_all": every_combination,
     "minimal_rfds": minimal,
+    "discover_strategies": own_strategies,
     "format_rfd": formatted,
     "to_wide": wide_again,
     "rfd_counts": counted,
@@ -573,5 +601,6 @@ QUERIES = {
     "stream_top_k": streamed,
     "read_table": csv_round_trip,
     "read_table_dates": csv_orders,
+    "corpus_profile": corpus,
     "decimal_comma": comma_decimals,
 }

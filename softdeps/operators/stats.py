@@ -2,75 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softdeps.operators.pairs import q
 from softdeps.session import stage
 
 MEDIAN_IN_ONE_PASS = 2_000_000
+BAND = 0.01  # share of the rows between a bracket's ends and the middle
 
 
 def medians(vectors: DataFrame) -> DataFrame:
-    """Exact median of every column (the two middle values averaged), as one row.
+    """Exact median of every column (the two middle values averaged; nulls don't count), as one row.
 
-    ``median`` keeps a value-to-count map, which is fine for rounded or whole
-    distances; ``median_values`` narrows first and suits wide continuous columns.
+    Values of all columns are counted under their column's number, spread by range and ranked by running counts: one plan for all columns, and no task holds a
+    map of values.
     """
-    return vectors.agg(*[F.median(q(c)).alias(c) for c in vectors.columns])
+    names = vectors.columns
+    middle = _middles(_unpivoted(vectors, {c: F.lit(True) for c in names}, names))
+    return middle.agg(*[F.max(F.when(F.col("c") == i, F.col("median"))).alias(c) for i, c in enumerate(names)])
+
+
+def approximate_medians(vectors: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """A value of every column whose rank is at most ``1 / accuracy`` of the rows away from the middle, as one row; mergeable sketches of bounded size."""
+    return vectors.agg(*[F.percentile_approx(q(c).cast("double"), 0.5, accuracy).alias(c) for c in vectors.columns])
 
 
 def median_values(vectors: DataFrame, size: int | None = None, limit: int = MEDIAN_IN_ONE_PASS) -> dict[str, float]:
     """Exact medians of a staged frame as numbers; ``size`` is its approximate number of rows.
 
-    Large frames are narrowed: a quantile sketch brackets the middle, one pass
-    counts what lies below the bracket, and this repeats inside the bracket until
-    it holds at most ``limit`` values; only those are ranked exactly.
+    Up to ``limit`` rows one aggregate holds the values.  Larger frames are narrowed, all columns at once: quantile sketches bracket the middles, one pass
+    counts what lies below each bracket, and this repeats inside the brackets until each holds at most ``limit`` values; only those are ranked exactly.
     """
+    names = vectors.columns
     if (vectors.count() if size is None else size) <= limit:
-        row = medians(vectors).first().asDict()
+        row = vectors.agg(*[F.median(q(c)).alias(c) for c in names]).first().asDict()
         return {} if None in row.values() else row
     n = vectors.count()
-    return {c: _narrowed_median(vectors.select(q(c).alias("v")), n, limit) for c in vectors.columns}
-
-
-def _narrowed_median(values: DataFrame, n: int, limit: int) -> float:
+    if not n:
+        return {}
     first, second = (n - 1) // 2, n // 2
-    below, inside = 0, n
-    low, high = float("-inf"), float("inf")
-    while inside > limit:
-        middle = (second - below) / inside
-        band = 0.01
-        picks = [max(0.0, middle - band), min(1.0, middle + band)]
-        within = values.where((F.col("v") >= low) & (F.col("v") <= high))
-        lo, hi = within.agg(F.percentile_approx("v", picks, 100_000)).first()[0]
-        counts = values.agg(
-            F.count_if(F.col("v") < lo).alias("below"), F.count_if((F.col("v") >= lo) & (F.col("v") <= hi)).alias("inside")
-        ).first()
-        if not counts["below"] <= first <= second < counts["below"] + counts["inside"]:
-            break
-        if lo == hi:
-            return lo
-        if counts["inside"] == inside:
-            break
-        low, high, below, inside = lo, hi, counts["below"], counts["inside"]
-    return _ranked_median(values.where((F.col("v") >= low) & (F.col("v") <= high)), first - below, second - below)
-
-
-def _ranked_median(values: DataFrame, first: int, second: int) -> float:
-    """Mean of the values at two ranks: value counts spread by range, then a running count inside each range."""
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    spread = stage(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranks")
-    sizes = spread.groupBy("part").agg(F.sum("n").alias("size"))
-    offsets = sizes.select(
-        "part",
-        (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset"),
-    )
-    running = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("offset")
-    ends = spread.join(F.broadcast(offsets), "part").select("v", "n", running.alias("end"))
+    low, high = dict.fromkeys(names, float("-inf")), dict.fromkeys(names, float("inf"))
+    below, inside = dict.fromkeys(names, 0), dict.fromkeys(names, n)
+    within = lambda c: (q(c) >= low[c]) & (q(c) <= high[c])
+    found: dict[str, float] = {}
+    open_ = [c for c in names if inside[c] > limit]
+    while open_:
+        picks = lambda c: [min(1.0, max(0.0, (second - below[c]) / inside[c] + step)) for step in (-BAND, BAND)]
+        ends = vectors.agg(*[F.percentile_approx(F.when(within(c), q(c).cast("double")), picks(c), 100_000) for c in open_]).first()
+        tests = [t for c, (lo, hi) in zip(open_, ends) for t in (F.count_if(q(c) < lo), F.count_if((q(c) >= lo) & (q(c) <= hi)))]
+        counts = vectors.agg(*tests).first()
+        going = []
+        for i, (c, (lo, hi)) in enumerate(zip(open_, ends)):
+            under, between = counts[2 * i : 2 * i + 2]
+            if not under <= first <= second < under + between:
+                continue  # the sketch missed the middle: the last bracket is ranked whole
+            if lo == hi:
+                found[c] = lo
+            elif between < inside[c]:
+                low[c], high[c], below[c], inside[c] = lo, hi, under, between
+                going += [c] if between > limit else []
+        open_ = going
+    rest = [c for c in names if c not in found]
+    if rest:
+        values = _unpivoted(vectors, {c: within(c) for c in rest}, rest)
+        for row in _middles(values, [(first - below[c], second - below[c]) for c in rest]).collect():
+            found[rest[row["c"]]] = row["median"]
+    return {c: found[c] for c in names}
+
+
+def _unpivoted(vectors: DataFrame, kept: dict[str, Column], names: list[str]) -> DataFrame:
+    """``c`` (the column's number) and ``v`` of the values that are kept."""
+    cells = [F.when(kept[c], F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v"))) for i, c in enumerate(names)]
+    return vectors.select(F.inline(F.filter(F.array(*cells), lambda x: x["v"].isNotNull())))
+
+
+def _middles(values: DataFrame, ranks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``c, median``: mean of the values at two ranks of every column (its middle ones unless given), from running counts inside ranges."""
+    counts = values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    spread = stage(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), "ranks")
+    own = Window.partitionBy("c")
+    sizes = spread.groupBy("c", "part").agg(F.sum("n").alias("size"))
+    sizes = sizes.select("c", "part", (F.sum("size").over(own.orderBy("part")) - F.col("size")).alias("offset"), F.sum("size").over(own).alias("total"))
+    running = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v")) + F.col("offset")
+    ends = spread.join(sizes, ["c", "part"]).select("c", "v", "n", "total", running.alias("end"))
+    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    if ranks is not None:
+        first, second = (F.element_at(F.array(*[F.lit(pair[side]) for pair in ranks]), F.col("c") + 1) for side in (0, 1))
     hit = lambda rank: F.max(F.when((F.col("end") > rank) & (F.col("end") - F.col("n") <= rank), F.col("v")))
-    low, high = ends.agg(hit(first), hit(second)).first()
-    return (low + high) / 2
+    return ends.groupBy("c").agg(((hit(first) + hit(second)) / 2).alias("median"))
 
 
 def levels(vectors: DataFrame, rhs: str) -> DataFrame:

@@ -7,20 +7,24 @@ rows -> distinct profiles -> tiled pairs -> distinct distance vectors (staged)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softdeps.functions.bitsets import WORD, BitSets
 from softdeps.functions.distances import measures_for
 from softdeps.functions.formatting import RESERVED
+from softdeps.operators.dominance import boxed, covered
 from softdeps.operators.levels import RANGES, all_of, pool_intervals, prior_min
 from softdeps.operators.pairs import cross_cells, profile_vectors, q, staged_profiles
 from softdeps.operators.skyline import FRONT_TILE_ROWS, front_columns, local_fronts, merge_fronts
-from softdeps.operators.stats import median_values
+from softdeps.operators.stats import approximate_medians, median_values
 from softdeps.operators.taxonomy import attach_paths, taxonomy_measures
 from softdeps.session import ceil_div, stage, stage_counted
 
 Combo = tuple[str, list[str]]
+Strategy = Callable[[DataFrame], DataFrame]
 SMALL_WIDTH = 6
 
 
@@ -60,12 +64,24 @@ def discover_rfds(
     integral_levels: bool = False,
     medians: dict[str, float] | None = None,
     tiles: int | None = None,
+    front: Strategy | None = None,
+    rules: Strategy | None = None,
+    median_accuracy: int | None = None,
 ) -> DataFrame:
     """Dependencies of ``df`` in wide form: ``rhs, rhs_threshold``, one threshold column per attribute (null = absent).
 
     With ``medians`` given, the distance vectors are never materialised: the front
     is searched over tile pairs that cannot be ruled out by their bounds.
+
+    Two steps are open, each a callable from frame to frame.  ``front`` gets the distances of every combination (``rhs_name, rhs, l0, l1, ...``) and returns
+    the rows that stand for them, same columns.  By default these are the rows that no other beats; levels are read off what stands, so other rows give other rules.
+    ``rules`` gets the dependencies and returns those to report, for instance ``minimal_rfds``.  With ``median_accuracy`` the medians come from sketches
+    (``approximate_medians``), so levels and left thresholds end at a value near the median.
     """
+    if front is not None and (medians is not None or integral_levels):
+        raise ValueError("a front of one's own needs the distance vectors of all levels")
+    if median_accuracy is not None and medians is not None:
+        raise ValueError("medians are either given or approximated")
     names = columns or [c for c in df.columns if c != key]
     combos = combinations(names, rhs, lhs)
     if taken := set(RESERVED) & set(names):
@@ -80,10 +96,12 @@ def discover_rfds(
         from softdeps.operators.zones import pruned_front
 
         limits = {r: medians[r] for r, _ in combos} if integral_levels else None
-        front, size = pruned_front(rows, n, measures, combos, medians, limits)
-        return dependencies(front, size, combos, medians, names)
-    vectors, size = stage_counted(profile_vectors(rows, n, measures, tiles), "vectors")
-    return discover_from_vectors(vectors, combos, integral_levels, size)
+        found, size = pruned_front(rows, n, measures, combos, medians, limits)
+        told = dependencies(found, size, combos, medians, names)
+    else:
+        vectors, size = stage_counted(profile_vectors(rows, n, measures, tiles), "vectors")
+        told = discover_from_vectors(vectors, combos, integral_levels, size, front, median_accuracy)
+    return told if rules is None else rules(told)
 
 
 def discover_all(df: DataFrame, **options) -> DataFrame:
@@ -102,12 +120,40 @@ def with_combination(rfds: DataFrame, combos: list[Combo]) -> DataFrame:
 
 
 def discover_from_vectors(
-    vectors: DataFrame, combos: list[Combo], integral_levels: bool = False, size: int | None = None
+    vectors: DataFrame,
+    combos: list[Combo],
+    integral_levels: bool = False,
+    size: int | None = None,
+    front: Strategy | None = None,
+    median_accuracy: int | None = None,
 ) -> DataFrame:
-    """Dependencies from a staged frame of distinct distance vectors (about ``size`` rows)."""
-    medians = median_values(vectors, size) or {c: float("inf") for c in vectors.columns}
-    front, n = vector_front(vectors, combos, medians, integral_levels)
-    return dependencies(front, n, combos, medians, vectors.columns)
+    """Dependencies from a staged frame of distinct distance vectors (about ``size`` rows); the options are those of ``discover_rfds``."""
+    known = median_values(vectors, size) if median_accuracy is None else approximate_medians(vectors, median_accuracy).first().asDict()
+    medians = {c: float("inf") if known.get(c) is None else known[c] for c in vectors.columns}
+    if front is None:
+        found, n = vector_front(vectors, combos, medians, integral_levels)
+    else:
+        found, n = stage_counted(front(combination_distances(vectors, combos)), "front")
+    return dependencies(found, n, combos, medians, vectors.columns)
+
+
+def combination_distances(vectors: DataFrame, combos: list[Combo]) -> DataFrame:
+    """The vectors seen from every combination: ``rhs_name, rhs, l0, l1, ...``."""
+    seen = lambda r, ls: F.struct(
+        F.lit(r).alias("rhs_name"),
+        q(r).cast("double").alias("rhs"),
+        *[q(c).cast("double").alias(low) for c, low in zip(ls, front_columns(len(ls)))],
+    )
+    return vectors.select(F.inline(F.array(*[seen(r, ls) for r, ls in combos])))
+
+
+def relational_front(distances: DataFrame) -> DataFrame:
+    """A front strategy of joins and aggregates alone: the largest ``rhs`` of every left vector, then those that no other is at or beyond, found by boxes."""
+    lows = [c for c in distances.columns if c not in ("rhs_name", "rhs")]
+    largest = distances.groupBy("rhs_name", *lows).agg(F.max("rhs").alias("rhs"))
+    measured = [*lows, "down"]
+    rows, _ = boxed(largest.withColumn("down", -F.col("rhs")), ["rhs_name"], measured)
+    return rows.join(covered(rows, rows, measured, ["rhs_name"], apart=True), "#id", "left_anti").select("rhs_name", "rhs", *lows)
 
 
 def vector_front(

@@ -124,3 +124,84 @@ def read_corpus(spark: SparkSession, folder: str, suffix: str = ".csv", skip_pre
             sep, header = infer_dialect(spark, path, sep=options.get("sep"))
             out[name] = read_table(spark, path, **{"sep": sep, "header": header, **options})
     return out
+
+
+def corpus_profile(spark: SparkSession, folder: str, suffix: str = ".csv", skip_prefix: str = "distance", missing: str = "?") -> DataFrame:
+    """One row per delimited table of a folder: ``ds_name, sep, header, ds_len, ds_attr_size, types, ds_files, ds_file_size_B, pairs``.
+
+    A table is a file of the folder or a folder of part files, each with its own header line.  Dialect and types follow the rules of ``infer_dialect`` and
+    ``infer_types``, but as aggregates by table: two scans and the same jobs for any number of tables.  Tables without a line are left out.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getName()
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder)
+    path = F.col("_metadata.file_path")
+    lines = found.select(
+        F.regexp_extract(path, f"/{re.escape(root)}/([^/]+)", 1).alias("ds_name"),
+        path.alias("path"),
+        F.col("_metadata.file_size").alias("size"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+        "value",
+    )
+    lines = lines.where((F.trim("value") != "") & F.col("ds_name").endswith(suffix) & ~F.col("ds_name").startswith(skip_prefix))
+
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    cuts = [F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS]
+    bounds = [f(cut).alias(f"{name}{i}") for i, cut in enumerate(cuts) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    files = lines.groupBy("ds_name", "path", "size").agg(F.count(F.lit(1)).alias("lines"), F.min_by("value", "place").alias("top"), *bounds)
+    numbers = range(len(SEPARATORS))
+    tables = files.groupBy("ds_name").agg(
+        F.count(F.lit(1)).alias("ds_files"),
+        F.sum("size").alias("ds_file_size_B"),
+        F.sum("lines").alias("lines"),
+        F.min_by("top", "path").alias("top"),
+        *[f(f"{name}{i}").alias(f"{name}{i}") for i in numbers for f, name in ((F.min, "lo"), (F.max, "hi"))],
+    )
+    steady = lambda i: F.col(f"lo{i}") == F.col(f"hi{i}")
+    usable = [F.when(F.col(f"hi{i}") > 0, F.struct(steady(i).alias("steady"), F.col(f"hi{i}").alias("n"), F.lit(-i).alias("order"), F.lit(s).alias("sep"))) for i, s in enumerate(SEPARATORS)]
+    sep = F.coalesce(F.array_max(F.array(*usable))["sep"], F.lit(","))
+    tables = tables.select("ds_name", "ds_files", "ds_file_size_B", "lines", "top", sep.alias("sep"))
+
+    outside = F.concat(F.lit("\\Q"), F.col("sep"), F.lit('\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    plain = lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    cells = lines.join(tables, "ds_name").select(
+        "ds_name", (F.col("value") == F.col("top")).alias("is_top"), F.split("top", outside, -1).alias("tops"), F.posexplode(F.split("value", outside, -1)).alias("at", "cell")
+    )
+    cells = cells.select("ds_name", "is_top", "at", plain(F.col("cell")).alias("v"), plain(F.get("tops", F.col("at"))).alias("top"))
+    known = ~F.col("v").isin([*MISSING, missing])
+    number = lambda c: c.rlike(f"^(?:{NUMBER})$")
+    fits = {
+        "bigint": number(F.col("v")) & F.col("v").try_cast("bigint").isNotNull(),
+        "double": number(F.col("v")) & F.col("v").try_cast("double").isNotNull(),
+        "boolean": F.lower("v").isin("true", "false"),
+    }
+    body = lambda test: F.when(known & ~F.col("is_top"), test)
+    columns = cells.groupBy("ds_name", "at").agg(
+        F.first("top").alias("top"),
+        F.bool_and(body(number(F.col("v")))).alias("every"),
+        F.bool_or(body(number(F.col("v")))).alias("some"),
+        F.coalesce(F.bool_or(body(F.col("v") == F.col("top"))), F.lit(False)).alias("recurs"),
+        F.count_if(~F.col("is_top")).alias("body"),
+        *[F.bool_and(body(test)).alias(f"below_{t}") for t, test in fits.items()],
+        *[F.bool_and(F.when(known, test)).alias(f"all_{t}") for t, test in fits.items()],
+    )
+
+    def narrowest(prefix: str) -> Column:
+        out = F.when(F.col(f"{prefix}_double").isNull(), "double")
+        for t in fits:
+            out = out.when(F.col(f"{prefix}_{t}"), t)
+        return out.otherwise("string")
+
+    top_number = F.coalesce(number(F.col("top")), F.lit(False))
+    headers = columns.groupBy("ds_name").agg(
+        F.count(F.lit(1)).alias("ds_attr_size"),
+        F.max("body").alias("body"),
+        F.coalesce(F.bool_or((F.col("every") == F.col("some")) & (F.col("every") != top_number)), F.lit(False)).alias("turns"),
+        F.bool_or(top_number | F.col("recurs")).alias("same"),
+        F.sort_array(F.collect_list(F.struct("at", narrowest("below").alias("below"), narrowest("all").alias("every")))).alias("found"),
+    )
+    header = (F.col("body") == 0) | F.col("turns") | ~F.col("same")
+    rows = F.col("lines") - F.when(F.col("header"), F.col("ds_files")).otherwise(0)
+    types = F.when(F.col("header"), F.col("found.below")).otherwise(F.col("found.every"))
+    out = tables.join(headers, "ds_name").withColumn("header", header).withColumn("ds_len", rows)
+    pairs = F.floor(F.col("ds_len") * (F.col("ds_len") - 1) / 2).cast("bigint")
+    return out.select("ds_name", "sep", "header", "ds_len", "ds_attr_size", F.array_join(types, ",").alias("types"), "ds_files", "ds_file_size_B", pairs.alias("pairs"))

@@ -13,9 +13,9 @@ from softdeps.operators.cover import minimal_rfds
 from softdeps.operators.levels import dominates_subset, not_dominating, pool_intervals, pools, prior_min
 from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances
 from softdeps.operators.skyline import RunningFront, front_rows, skyline
-from softdeps.operators.stats import key_is_unique, median_values
+from softdeps.operators.stats import approximate_medians, key_is_unique, median_values, medians
 from softdeps.operators.taxonomy import taxonomy_distance
-from softdeps.plans.discover import combinations, discover_rfds
+from softdeps.plans.discover import combinations, discover_rfds, relational_front
 from softdeps.session import stage
 
 INF = float("inf")
@@ -135,6 +135,7 @@ def test_median_narrowing(spark, n):
     import statistics
 
     want = {"x": statistics.median(v[0] for v in values), "y": statistics.median(v[1] for v in values)}
+    assert medians(df).first().asDict() == want
     assert median_values(df, size=10**9, limit=5) == want == median_values(df)
 
 
@@ -267,3 +268,27 @@ def test_minimal_rules_by_boxes(spark, box_rows, monkeypatch):
     got = [tuple(r) for r in minimal_rfds(df).collect()]
     assert set(got) == want and len(got) == len(want)
     assert minimal_rfds(df.limit(0)).count() == 0
+
+
+def test_median_edges_and_sketches(spark):
+    inf = float("inf")
+    odd = spark.createDataFrame([(1.0, None), (inf, None), (inf, 4.0), (2.0, 1.0)], "x double, y double")
+    assert medians(odd).first().asDict() == {"x": inf, "y": 2.5}
+    assert medians(odd.where("x < 0")).first().asDict() == {"x": None, "y": None}
+    many = spark.range(200_000).selectExpr("cast(id * id as double) x", "cast(id % 7 as double) y")
+    near = approximate_medians(many, 1_000).first()
+    assert abs(near["x"] ** 0.5 - 100_000) <= 200_000 / 1_000 and near["y"] == 3.0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strategies(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(9), rng.randrange(5), rng.choice("abcd") * rng.randrange(1, 4), rng.randrange(4)) for _ in range(18)]
+    df = spark.createDataFrame(rows, "a int, b int, c string, d int")
+    plain = discover_rfds(df)
+    want = sorted(map(str, plain.collect()))
+    assert want and sorted(map(str, discover_rfds(df, front=relational_front).collect())) == want
+    least = sorted(map(str, minimal_rfds(plain).collect()))
+    assert sorted(map(str, discover_rfds(df, front=relational_front, rules=minimal_rfds).collect())) == least and len(least) < len(want)
+    with pytest.raises(ValueError):
+        discover_rfds(df, front=relational_front, integral_levels=True)

@@ -11,7 +11,7 @@ from softdeps.plans.report import dependency_profile
 from softdeps.operators.stats import metrics_summary, table_profile
 from softdeps.sources.messages import MESSAGE_SCHEMA, RECORD_SCHEMA, escape_newlines, filter_records, flatten_message, parse_messages, route_by_word_count
 from softdeps.sources.sinks import write_rfds
-from softdeps.sources.tables import infer_dialect, read_corpus, read_table
+from softdeps.sources.tables import corpus_profile, infer_dialect, read_corpus, read_table
 from softdeps.streaming.topk import read_messages, run_until, start_sink, stream_top_k
 
 ANIMALS = "name;sex;age;date\nrex;m;3;2016/05/04\nada;f;?;2017/01/01\nbo;;5;\nkim;f;4;2018/02/03\n"
@@ -57,6 +57,36 @@ def test_corpus_skips_distance_files(spark, tmp_path):
     assert sorted(corpus) == ["a.csv", "b.csv"] and corpus["b.csv"].columns == ["p", "q"]
 
 
+def test_corpus_profile_agrees_with_reading_each_file(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    folder.mkdir()
+    files = {
+        "people.csv": "name;age;city\nann;3;x\nbob;?;y\n\ncid;5;?\n",
+        "bare.csv": "1,2.5,true\n2,NA,false\n",
+        "quoted.csv": 'id|note\n1|"a|b"\n2|"say ""x"""\n',
+        "one.csv": "only\n",
+        "distance_x.csv": "p;q\n1;2\n",
+        "other.txt": "a;b\n",
+    }
+    for name, text in files.items():
+        put(folder, name, text)
+    put(folder, "none.csv", "")
+    parts = str(folder / "parts.csv")
+    spark.range(100).selectExpr("id k", "concat('v', id) v").repartition(3).write.csv(parts, header=True, sep="\t")
+    got = {r["ds_name"]: r for r in corpus_profile(spark, str(folder)).collect()}
+    assert sorted(got) == ["bare.csv", "one.csv", "parts.csv", "people.csv", "quoted.csv"]
+    for name in ("people.csv", "bare.csv", "quoted.csv"):
+        path = str(folder / name)
+        sep, header = infer_dialect(spark, path)
+        table = read_table(spark, path, sep, header)
+        r = got[name]
+        assert (r["sep"], r["header"], r["ds_len"], r["ds_attr_size"]) == (sep, header, table.count(), len(table.columns))
+        assert r["types"].split(",") == [t for _, t in table.dtypes] and r["ds_file_size_B"] == len(files[name].encode())
+    assert (got["one.csv"]["ds_len"], got["one.csv"]["header"], got["one.csv"]["sep"]) == (0, True, ",")
+    parts = got["parts.csv"]
+    assert (parts["ds_len"], parts["ds_files"], parts["types"], parts["pairs"], parts["sep"]) == (100, 3, "bigint,string", 4950, "\t")
+
+
 def test_people_golden_from_a_file_to_a_file(spark, tmp_path):
     people = [
         ("john", "male", "newyork", 20), ("jack", "male", "newyork", 21), ("mary", "female", "losangeles", 45),
