@@ -227,9 +227,10 @@ def singletons(spark, d):
 def slices(spark, d):
     """Selected rows against the rows of their pool, cut where the pool row is lower; distinct slices."""
     rows, front = _levels(spark, d)
-    intervals = L.pool_intervals(front, 3)
+    tiles = L.tiles_for(front)
+    intervals = L.pool_intervals(front, 3, tiles)
     alive = (F.col("b.rhs") > F.col("a.rhs")) & (F.col("b.kill").isNull() | (F.col("b.kill") <= F.col("a.rhs")))
-    met = L.cross_cells(rows.select(*front.columns), intervals, ["rhs_name"], alive)
+    met = L.cross_cells(rows.select(*front.columns), intervals, ["rhs_name"], alive, (tiles, tiles))
     cut = L.slice_row(met, ["l0", "l1", "l2"])
     return cut.select("a.rhs", *[F.col(f"slice_l{j}").alias(c) for j, c in enumerate(LHS)]).distinct()
 

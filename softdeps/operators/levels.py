@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from softdeps.operators.dominance import boxed, covered
 from softdeps.operators.pairs import cross_cells, q
-from softdeps.operators.skyline import front_columns
+from softdeps.operators.skyline import FRONT_TILE_ROWS, front_columns
+from softdeps.session import ceil_div
 
 RANGES = 64
 
@@ -30,8 +31,17 @@ def at_or_below(width: int, low: str = "b", high: str = "a") -> Column:
     return all_of([F.col(f"{low}.l{j}") <= F.col(f"{high}.l{j}") for j in range(width)])
 
 
-def pool_intervals(front: DataFrame, width: int, tiles: int = 1) -> DataFrame:
-    """Front rows with ``kill``: in the pool of level b while ``kill <= b < rhs`` (kill is null when nothing lies below)."""
+def tiles_for(rows: DataFrame) -> int:
+    """Tiles that keep about ``FRONT_TILE_ROWS`` rows each; counts the frame, which should be staged."""
+    return ceil_div(rows.count(), FRONT_TILE_ROWS)
+
+
+def pool_intervals(front: DataFrame, width: int, tiles: int | None = None) -> DataFrame:
+    """Front rows with ``kill``: in the pool of level b while ``kill <= b < rhs`` (kill is null when nothing lies below).
+
+    Tiles follow from the front's size unless given, so that one right side's rows are never one join key.
+    """
+    tiles = tiles or tiles_for(front)
     lows = front_columns(width)
     every = ["rhs_name", "rhs"] + lows
     side = lambda name: F.struct(*[F.col(f"{name}.l{j}") for j in range(width)])
@@ -42,11 +52,12 @@ def pool_intervals(front: DataFrame, width: int, tiles: int = 1) -> DataFrame:
     return own.unionAll(kills).groupBy(*every).agg(F.max("kill").alias("kill"))
 
 
-def pools(front: DataFrame, width: int, levels: DataFrame, tiles: int = 1) -> DataFrame:
-    """Every (rhs_name, level) with the rows of its pool; ``levels`` holds ``rhs_name, level``."""
+def pools(front: DataFrame, width: int, levels: DataFrame, tiles: int | None = None) -> DataFrame:
+    """Every (rhs_name, level) with the rows of its pool; ``levels`` holds ``rhs_name, level``, at most one row for each of the front."""
+    tiles = tiles or tiles_for(front)
     intervals = pool_intervals(front, width, tiles)
     alive = (F.col("b.rhs") > F.col("a.level")) & (F.col("b.kill").isNull() | (F.col("b.kill") <= F.col("a.level")))
-    joined = cross_cells(levels, intervals, ["rhs_name"], alive, (1, tiles))
+    joined = cross_cells(levels, intervals, ["rhs_name"], alive, (tiles, tiles))
     return joined.select("a.rhs_name", "a.level", *[f"b.{c}" for c in front_columns(width)], "b.rhs")
 
 

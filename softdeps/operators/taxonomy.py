@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from softdeps.functions.distances import Measure, path_distance
 from softdeps.operators.pairs import q, row_pairs
-from softdeps.session import stage
+from softdeps.session import stage, stage_counted
 
 Taxonomy = tuple[DataFrame, DataFrame]
 
@@ -27,18 +27,19 @@ def first_senses(senses: DataFrame) -> DataFrame:
 def ancestor_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest is-a depth of every ancestor of every node: ``node, ancestor, depth`` (the node itself at 0).
 
-    Breadth first, one join per level of the taxonomy; a pair is kept at the level it first appears.
+    Breadth first, one job per level of the taxonomy (its rows are counted while they are written); a pair is kept
+    at the level it first appears, so cycles end and several ways to an ancestor do not multiply, as they would in a recursive query.
     """
-    frontier = stage(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct(), "depth")
+    frontier, n = stage_counted(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct(), "depth")
     seen = frontier
-    while not frontier.isEmpty():
+    while n:
         step = (
             frontier.join(edges, frontier["ancestor"] == edges["child"])
             .select("node", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
             .distinct()
             .join(seen, ["node", "ancestor"], "left_anti")
         )
-        frontier = stage(step.select("node", "ancestor", "depth"), "depth")
+        frontier, n = stage_counted(step.select("node", "ancestor", "depth"), "depth")
         seen = seen.unionByName(frontier)
     return seen
 

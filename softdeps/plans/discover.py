@@ -16,7 +16,7 @@ from softdeps.functions.bitsets import WORD, BitSets
 from softdeps.functions.distances import measures_for
 from softdeps.functions.formatting import RESERVED
 from softdeps.operators.dominance import boxed, covered
-from softdeps.operators.levels import RANGES, all_of, pool_intervals, prior_min
+from softdeps.operators.levels import RANGES, all_of, pool_intervals, prior_min, tiles_for
 from softdeps.operators.pairs import cross_cells, profile_vectors, q, staged_profiles
 from softdeps.operators.skyline import FRONT_TILE_ROWS, front_columns, local_fronts, merge_fronts
 from softdeps.operators.stats import approximate_medians, median_values
@@ -207,8 +207,8 @@ def single_rfds(levels: DataFrame, width: int) -> DataFrame:
     return one.select("rhs_name", "rhs", *[F.when(F.col("#j") == j, F.col("#t")).alias(c) for j, c in enumerate(lows)])
 
 
-def composite_rfds(levels: DataFrame, intervals: DataFrame, width: int, tiles: int = 1) -> DataFrame:
-    """Dependencies with several lhs attributes.
+def composite_rfds(levels: DataFrame, intervals: DataFrame, width: int, tiles: int | None = None) -> DataFrame:
+    """Dependencies with several lhs attributes; tiles follow from the number of intervals unless given.
 
     A row is compared with its pool once; each comparison is summarised by two
     bit sets over the row's open attributes: where the row is at or below the pool
@@ -226,7 +226,8 @@ def composite_rfds(levels: DataFrame, intervals: DataFrame, width: int, tiles: i
         rows, intervals = stage(rows, "open"), stage(intervals, "intervals")
 
     alive = (F.col("b.rhs") > F.col("a.rhs")) & (F.col("b.kill").isNull() | (F.col("b.kill") <= F.col("a.rhs")))
-    met = cross_cells(rows, intervals, ["rhs_name"], alive, (tiles, tiles))
+    cut = tiles or tiles_for(intervals)
+    met = cross_cells(rows, intervals, ["rhs_name"], alive, (cut, cut))
     open_bits = F.col("a.open")
     under = sets.both(sets.of([F.col(f"a.{c}") <= F.col(f"b.{c}") for c in lows]), open_bits)
     over = sets.both(sets.of([F.col(f"b.{c}") <= F.col(f"a.{c}") for c in lows]), open_bits)

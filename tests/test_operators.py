@@ -9,6 +9,7 @@ import model
 from softdeps.functions.distances import day_distance, edit_distance, measures_for
 from softdeps.functions.formatting import format_rfd, to_long, to_wide
 from softdeps.operators import cover, dominance
+from softdeps.operators import levels as level_operators
 from softdeps.operators.cover import minimal_rfds
 from softdeps.operators.levels import dominates_subset, not_dominating, pool_intervals, pools, prior_min
 from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances
@@ -292,3 +293,13 @@ def test_strategies(spark, seed):
     assert sorted(map(str, discover_rfds(df, front=relational_front, rules=minimal_rfds).collect())) == least and len(least) < len(want)
     with pytest.raises(ValueError):
         discover_rfds(df, front=relational_front, integral_levels=True)
+
+
+def test_pools_in_derived_tiles(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [("r", float(rng.randrange(9)), float(rng.randrange(6)), float(rng.randrange(6))) for _ in range(60)]
+    front = stage(spark.createDataFrame(rows, "rhs_name string, rhs double, l0 double, l1 double").distinct(), "front")
+    levels = front.select("rhs_name", F.col("rhs").alias("level")).distinct()
+    one = sorted(map(tuple, pools(front, 2, levels).collect()))
+    monkeypatch.setattr(level_operators, "FRONT_TILE_ROWS", 16)
+    assert level_operators.tiles_for(front) > 2 and one and sorted(map(tuple, pools(front, 2, levels).collect())) == one
