@@ -292,6 +292,23 @@ def test_repeated_strings(copies, odd, empty, shard):
         assert drop_repeated_strings(odd).count() == odd.count() and drop_repeated_strings(empty).count() == 0
 
 
+def test_one_passage_in_every_text(spark):
+    """A hot anchor is halved down to single windows: ends that differ, ends that are shared by some, a period, and copies."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = word(130), [word(30) for _ in range(3)]
+    rows = [word(rng.randrange(40)) + passage + rng.choice(tails)[: rng.randrange(31)] + word(rng.randrange(40)) for _ in range(60)]
+    rows += [rows[0], rows[1], "xy" * 150, "z" + passage[5:], passage[:119]]
+    counts = Counter(t[i : i + 120] for t in rows for i in range(len(t) - 119))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in drop_repeated_strings(docs, length=120, shard_bytes=300).collect():
+        text, gone = rows[r["doc_id"]], set()
+        for i in range(len(text) - 119):
+            if counts[text[i : i + 120]] > 1:
+                gone.update(range(i, i + 120))
+        assert r["kept"].decode() == "".join(c for k, c in enumerate(text) if k not in gone)
+
+
 def test_jaccard(copies, odd, empty):
     docs, rows = copies
 
