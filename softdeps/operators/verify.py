@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from softdeps.functions.distances import Measure, measures_for
 from softdeps.operators.levels import all_of
-from softdeps.operators.meeting import Meeting, equal_names, meeting_for, meeting_tiles
+from softdeps.operators.meeting import Meeting, equal_names, join_texts, meeting_for, meeting_tiles, meets_by_text
 from softdeps.operators.ordered import ORDERED, ordered_counts
 from softdeps.operators.pairs import distinct_profiles, encode, pair_distances, q, staged_profiles
 from softdeps.operators.zones import join_cells, tile_pairs, zone_bounds, zone_tiles
@@ -67,14 +67,18 @@ def rfd_violations(
     names = [m.name for m in measures]
     more = [] if key in names else [key]
     rows, n = stage_counted(encode(df, measures, more).withColumn("#id", F.monotonically_increasing_id()), "rows")
-    tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
-    meeting = meeting_for(tiled, measures, lhs_thresholds)
-    cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold, meeting)
-    cells = stage(cells.select(F.col("a.`#tile`").alias("ta"), F.col("b.`#tile`").alias("tb")), "violations")
+    meeting = meeting_for(rows, measures, lhs_thresholds)
+    if meets_by_text(rows, meeting):
+        met = join_texts(rows, meeting, names + more)
+    else:
+        tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
+        cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold, meeting)
+        cells = stage(cells.select(F.col("a.`#tile`").alias("ta"), F.col("b.`#tile`").alias("tb")), "violations")
+        met = join_cells(tiled, cells, names + more, meeting)
     first, second = F.col(f"a.`{key}`"), F.col(f"b.`{key}`")
     both = first.isNotNull() & second.isNotNull()
     ids = [F.least(first, second).alias(f"{key}_a"), F.when(both, F.greatest(first, second)).alias(f"{key}_b")]
-    pairs = pair_distances(join_cells(tiled, cells, names + more, meeting), measures, ids)
+    pairs = pair_distances(met, measures, ids)
     return pairs.where(_broken(lhs_thresholds, rhs, rhs_threshold))
 
 
@@ -98,9 +102,14 @@ def rfd_check(
     if set(equal_names(measures, {**lhs_thresholds, rhs: rhs_threshold})) == set(names):
         return _verdict(_unequal_pairs(distinct_profiles(df, measures), list(lhs_thresholds)))
     rows, n = staged_profiles(df, measures)
+    broken = _broken(lhs_thresholds, rhs, rhs_threshold)
+    weighed = lambda met: pair_distances(met, measures, [(F.col("a.`#copies`") * F.col("b.`#copies`")).alias("#pairs")])
+    counted = lambda met: weighed(met).where(broken).agg(F.sum("#pairs").alias("n"))
+    meeting = meeting_for(rows, measures, lhs_thresholds)
+    if meets_by_text(rows, meeting):
+        return _verdict(counted(join_texts(rows, meeting, names + ["#copies"])))
     tiled = zone_tiles(rows, n, _sort(measures, lhs_thresholds, rhs), zone_rows)
     weight = F.sum("#copies").alias("#weight")
-    meeting = meeting_for(tiled, measures, lhs_thresholds)
     cells = _cells(tiled, measures, lhs_thresholds, rhs, rhs_threshold, meeting, [weight])
     cells = stage(
         cells.select(
@@ -117,9 +126,7 @@ def rfd_check(
     if set(equal_names(measures, lhs_thresholds)) == set(lhs_thresholds) and own.kind in ORDERED and own.scale is None and rhs_threshold >= 0:
         return _verdict(settled.unionByName(ordered_counts(tiled, unsettled, list(lhs_thresholds), own, rhs_threshold)))
     met = join_cells(tiled, unsettled, names + ["#copies"], meeting)
-    weighed = pair_distances(met, measures, [(F.col("a.`#copies`") * F.col("b.`#copies`")).alias("#pairs")])
-    counted = weighed.where(_broken(lhs_thresholds, rhs, rhs_threshold)).agg(F.sum("#pairs").alias("n"))
-    return _verdict(settled.unionByName(counted))
+    return _verdict(settled.unionByName(counted(met)))
 
 
 def _unequal_pairs(profiles: DataFrame, lhs: list[str]) -> DataFrame:
