@@ -1,21 +1,28 @@
 """Pairs of texts within an edit distance, by an index instead of all pairs.
 
-Texts within ``k`` edits share all but ``k * q`` of their grams of ``q`` characters, so of the ``k * q + 1`` grams of each that are rarest in the whole
+Texts within ``k`` edits agree once the characters that differ are blotted out and those that only one has are taken out.  Texts with few such leavings meet by
+them, so that hardly more is measured than what is found, whatever parts all texts share.  Longer texts meet by grams: those within ``k`` edits share all but ``k * q`` of their grams of ``q`` characters, so of the ``k * q + 1`` grams of each that are rarest in the whole
 column they share one.  These prefixes are joined by gram and length, and only what meets is measured, with a bound.  Texts too short to have a prefix of
 that size are all within reach of each other's length and meet by length alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from math import comb
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softdeps.operators.pairs import cross_cells
-from softdeps.session import ceil_div, stage
+from softdeps.session import ceil_div, slots, stage
 
 # Characters of a gram: short ones for short texts, and longer, rarer ones from this mean length on.
 GRAMS, LONG = (2, 3), 12
 
+# Most leavings of a text; those of longer texts would outgrow it.  A text that holds the blot itself only meets more than it has to.
+LEAVINGS, BLOT = 64, "\0"
+
 # Entries of a gram (or of a length, for short texts) that meet in one key, and rows of gram counts that are broadcast.
 ENTRIES, BROADCAST_GRAMS = 4_096, 200_000
 
@@ -44,11 +51,64 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that agree on ``keys``, as ``a.v`` and ``b.v``; a key with many entries is cut into cells."""
     most = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     tiles = ceil_div(most, ENTRIES)
+    if tiles == 1:
+        return left.alias("a").join(right.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys])
     return cross_cells(left, right, keys, F.lit(True), (tiles, tiles))
 
 
+def longest_cut(k: int) -> int:
+    """Length up to which a text has at most ``LEAVINGS`` leavings."""
+    many = lambda n: sum(comb(n, s) * comb(n, d) for s in range(k + 1) for d in range(k + 1 - s))
+    return max((n for n in range(LEAVINGS) if many(n) <= LEAVINGS), default=0)
+
+
+def leavings(values: DataFrame, k: int) -> DataFrame:
+    """``(v, left, d, most)``: a hash of all that is left of a text with ``s`` characters blotted out and ``d`` taken out, ``s + d <= k``; ``most`` is ``k - s``.
+
+    Two texts are within ``k`` edits when they agree after as many blots and ``da`` and ``db`` takings, ``da + db <= most``.
+    """
+
+    def each(texts: Column, mark: str) -> Column:
+        changed = lambda t, i: F.concat(F.substring(t, F.lit(1), i - 1), F.lit(mark), F.substring(t, i + 1, F.length(t)))
+        places = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: changed(t, i))
+        return F.array_distinct(F.flatten(F.transform(F.filter(texts, lambda t: F.length(t) > 0), places)))
+
+    def entry(s: int, d: int) -> Callable[[Column], Column]:
+        return lambda t: F.struct(F.xxhash64(t, F.lit(s)).alias("left"), F.lit(d).alias("d"), F.lit(k - s).alias("most"))
+
+    found, blotted = [], F.array("v")
+    for s in range(k + 1):
+        taken = blotted
+        for d in range(k + 1 - s):
+            found.append(F.transform(taken, entry(s, d)))
+            taken = each(taken, "")
+        blotted = each(blotted, BLOT)
+    return values.select("v", F.explode(F.concat(*found)).alias("x")).select("v", "x.left", "x.d", "x.most")
+
+
+def cut_candidates(values: DataFrame, k: int) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of ``values(v)`` that agree on what is left of them."""
+    spread = values.repartition(4 * slots(values.sparkSession), "v")
+    cut = stage(leavings(spread, k), "leavings")
+    others = F.explode(F.sequence(F.lit(0), F.col("most") - F.col("d")))
+    met = _meet(cut.select("v", "left", "d"), cut.select("v", "left", others.alias("d")), ["left", "d"])
+    return met.where("a.v < b.v").select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+
+
 def edit_candidates(values: DataFrame, k: int, q: int) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of the distinct texts ``values(v)`` that hold all pairs within ``k`` edits; a pair may be met more than once."""
+    """Pairs ``(a, b)``, ``a < b``, of the distinct texts ``values(v)`` that hold all pairs within ``k`` edits; a pair may be met more than once.
+
+    Texts up to ``longest_cut(k)`` characters meet by their leavings; a pair with a longer one by grams.
+    """
+    cut, n = longest_cut(k), F.length("v")
+    by_leavings = cut_candidates(values.where(n <= cut), k)
+    if (values.agg(F.max(n)).first()[0] or 0) <= cut:
+        return by_leavings
+    return by_leavings.unionAll(gram_candidates(values.where(n > cut - k), k, q))
+
+
+def gram_candidates(values: DataFrame, k: int, q: int) -> DataFrame:
+    """The pairs that ``edit_candidates`` takes from grams, and from lengths where texts are short."""
     prefixes = stage(gram_prefixes(values, k, q), "prefixes")
     lengths = F.explode(F.sequence(F.col("n") - k, F.col("n")))
     longer = prefixes.select("v", "gram", lengths.alias("n"))

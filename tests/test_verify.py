@@ -105,6 +105,44 @@ def test_edit_index_tests_few_pairs(spark):
     assert edit_candidates(values, 2, 3).count() < 0.05 * n * (n - 1) / 2
 
 
+def test_texts_that_share_most_of_their_letters_meet_few_others(spark):
+    """Numbered names: nearly all grams are shared, what is left of a name without its differing character is not."""
+    values = spark.range(4000).select(F.format_string("Customer#%09d", "id").alias("v"))
+    found = edit_pairs(values, 1).count()
+    assert found == 60_000 and edit_candidates(values, 1, 3).count() <= 1.5 * found
+
+
+def test_leavings_and_grams_lose_no_pair_between_them(spark, monkeypatch):
+    """Lengths on both sides of the longest text that is cut, the blot inside a text, runs of one letter."""
+    from softdeps.operators import edits
+
+    monkeypatch.setattr(edits, "LEAVINGS", 40)
+    rnd = random.Random(5)
+    for k in (1, 2):
+        cut = edits.longest_cut(k)
+        assert cut > k
+        values = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(max(0, cut - 3), cut + 4))) for _ in range(100)} | {"", "a", "\0", "a\0", "\0\0b", "aaa", "aaaa"}
+        got = {(*sorted((r["value_a"], r["value_b"])), r["distance"]) for r in edit_pairs(spark.createDataFrame([(v,) for v in values], "v string"), k).collect()}
+        assert got == {(*sorted(p), int(model.text(*p))) for p in pairs_of(values, 2) if model.text(*p) <= k}
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_similar_texts_are_joined_by_value_pairs(spark, monkeypatch, most):
+    """Without tiles, and with them where a value has more rows than it may."""
+    from softdeps.operators import meeting, verify
+
+    monkeypatch.setattr(meeting, "TEXT_ROWS", most)
+    if most:
+        monkeypatch.setattr(verify, "zone_tiles", lambda *_: pytest.fail("rows were cut into tiles"))
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice([None, "hot", "hots", "t1", "t2", "t33"]), rnd.randint(0, 9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, k string, y int")
+    want = {(a[0], b[0]) for a, b in pairs_of(rows, 2) if model.text(a[1], b[1]) <= 1 and abs(a[2] - b[2]) > 4}
+    got = [(r["id_a"], r["id_b"]) for r in rfd_violations(df, {"k": 1}, "y", 4, "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert rfd_check(df, {"k": 1}, "y", 4).first()["violations"] == len(want)
+
+
 def test_no_threshold_pairs_all_tiles(spark):
     """Exact, banded and text thresholds: tiles meet by homes; far fewer pairs of tiles than all."""
     rows = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.col("id").cast("double").alias("x"), F.concat(F.lit("t"), F.col("id")).alias("s"), (F.col("id") % 7).alias("y"))
