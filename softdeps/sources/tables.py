@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from softdeps.operators.pairs import q
+from softdeps.session import stage
 
 # Text read as a missing value besides the given marker.
 MISSING = [
@@ -126,11 +130,28 @@ def read_corpus(spark: SparkSession, folder: str, suffix: str = ".csv", skip_pre
     return out
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """``(ds_name, path, value, block)``: of ``lines`` in the order of their files, the first of every block of a file."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, block = batch.column(1), batch.column(3)
+            told = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])).to_pylist()
+            yield batch.filter(pa.array([(path[0].as_py(), block[0].as_py()) != last, *told]))
+            last = path[-1].as_py(), block[-1].as_py()
+
+    return lines.select("ds_name", "path", "value", "block").mapInArrow(task, "ds_name string, path string, value string, block bigint")
+
+
 def corpus_profile(spark: SparkSession, folder: str, suffix: str = ".csv", skip_prefix: str = "distance", missing: str = "?") -> DataFrame:
     """One row per delimited table of a folder: ``ds_name, sep, header, ds_len, ds_attr_size, types, ds_files, ds_file_size_B, pairs``.
 
     A table is a file of the folder or a folder of part files, each with its own header line.  Dialect and types follow the rules of ``infer_dialect`` and
-    ``infer_types``, but as aggregates by table: two scans and the same jobs for any number of tables.  Tables without a line are left out.
+    ``infer_types``, but as aggregates by table: three scans and the same jobs for any number of tables.  Tables without a line are left out.
+    All that is aggregated over lines and cells are numbers and flags, and tables are staged, one small row each: no task sorts lines or holds those of a table.
     """
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getName()
     found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder)
@@ -139,7 +160,7 @@ def corpus_profile(spark: SparkSession, folder: str, suffix: str = ".csv", skip_
         F.regexp_extract(path, f"/{re.escape(root)}/([^/]+)", 1).alias("ds_name"),
         path.alias("path"),
         F.col("_metadata.file_size").alias("size"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+        F.col("_metadata.file_block_start").alias("block"),
         "value",
     )
     lines = lines.where((F.trim("value") != "") & F.col("ds_name").endswith(suffix) & ~F.col("ds_name").startswith(skip_prefix))
@@ -147,7 +168,8 @@ def corpus_profile(spark: SparkSession, folder: str, suffix: str = ".csv", skip_
     bare = F.regexp_replace("value", '"[^"]*"', "")
     cuts = [F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS]
     bounds = [f(cut).alias(f"{name}{i}") for i, cut in enumerate(cuts) for f, name in ((F.min, "lo"), (F.max, "hi"))]
-    files = lines.groupBy("ds_name", "path", "size").agg(F.count(F.lit(1)).alias("lines"), F.min_by("value", "place").alias("top"), *bounds)
+    files = lines.groupBy("ds_name", "path", "size").agg(F.count(F.lit(1)).alias("lines"), *bounds)
+    files = files.join(first_lines(lines).groupBy("ds_name", "path").agg(F.min_by("value", "block").alias("top")), ["ds_name", "path"])
     numbers = range(len(SEPARATORS))
     tables = files.groupBy("ds_name").agg(
         F.count(F.lit(1)).alias("ds_files"),
@@ -160,11 +182,11 @@ def corpus_profile(spark: SparkSession, folder: str, suffix: str = ".csv", skip_
     usable = [F.when(F.col(f"hi{i}") > 0, F.struct(steady(i).alias("steady"), F.col(f"hi{i}").alias("n"), F.lit(-i).alias("order"), F.lit(s).alias("sep"))) for i, s in enumerate(SEPARATORS)]
     sep = F.coalesce(F.array_max(F.array(*usable))["sep"], F.lit(","))
     tables = tables.select("ds_name", "ds_files", "ds_file_size_B", "lines", "top", sep.alias("sep"))
-
     outside = F.concat(F.lit("\\Q"), F.col("sep"), F.lit('\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     plain = lambda c: F.replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    tables = stage(tables.withColumn("tops", F.split("top", outside, -1)), "tables")
     cells = lines.join(tables, "ds_name").select(
-        "ds_name", (F.col("value") == F.col("top")).alias("is_top"), F.split("top", outside, -1).alias("tops"), F.posexplode(F.split("value", outside, -1)).alias("at", "cell")
+        "ds_name", (F.col("value") == F.col("top")).alias("is_top"), "tops", F.posexplode(F.split("value", outside, -1)).alias("at", "cell")
     )
     cells = cells.select("ds_name", "is_top", "at", plain(F.col("cell")).alias("v"), plain(F.get("tops", F.col("at"))).alias("top"))
     known = ~F.col("v").isin([*MISSING, missing])
@@ -175,8 +197,7 @@ def corpus_profile(spark: SparkSession, folder: str, suffix: str = ".csv", skip_
         "boolean": F.lower("v").isin("true", "false"),
     }
     body = lambda test: F.when(known & ~F.col("is_top"), test)
-    columns = cells.groupBy("ds_name", "at").agg(
-        F.first("top").alias("top"),
+    columns = cells.groupBy("ds_name", "at", "top").agg(
         F.bool_and(body(number(F.col("v")))).alias("every"),
         F.bool_or(body(number(F.col("v")))).alias("some"),
         F.coalesce(F.bool_or(body(F.col("v") == F.col("top"))), F.lit(False)).alias("recurs"),

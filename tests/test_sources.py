@@ -11,7 +11,7 @@ from softdeps.plans.report import dependency_profile
 from softdeps.operators.stats import metrics_summary, table_profile
 from softdeps.sources.messages import MESSAGE_SCHEMA, RECORD_SCHEMA, escape_newlines, filter_records, flatten_message, parse_messages, route_by_word_count
 from softdeps.sources.sinks import write_rfds
-from softdeps.sources.tables import corpus_profile, infer_dialect, read_corpus, read_table
+from softdeps.sources.tables import corpus_profile, first_lines, infer_dialect, read_corpus, read_table
 from softdeps.streaming.topk import read_messages, run_until, start_sink, stream_top_k
 
 ANIMALS = "name;sex;age;date\nrex;m;3;2016/05/04\nada;f;?;2017/01/01\nbo;;5;\nkim;f;4;2018/02/03\n"
@@ -87,6 +87,30 @@ def test_corpus_profile_agrees_with_reading_each_file(spark, tmp_path):
     assert (parts["ds_len"], parts["ds_files"], parts["types"], parts["pairs"], parts["sep"]) == (100, 3, "bigint,string", 4950, "\t")
 
 
+def test_corpus_profile_neither_sorts_nor_shuffles_cells(spark, tmp_path):
+    folder = tmp_path / "corpus"
+    spark.range(3000).selectExpr("id", "id % 7 k").repartition(2).write.csv(str(folder / "a.csv"), sep=";")
+    spark.range(10).selectExpr("id p", "'x' q").write.csv(str(folder / "b.csv"), header=True)
+    found = corpus_profile(spark, str(folder))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("FileScan text")
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    assert plan.rindex("Exchange", 0, scan) < plan.rindex("BroadcastHashJoin", 0, scan)
+    got = {r["ds_name"]: (r["ds_len"], r["header"], r["types"]) for r in found.collect()}
+    assert got == {"a.csv": (3000, False, "bigint,bigint"), "b.csv": (10, True, "bigint,string")}
+
+
+def test_first_lines_of_blocks(spark):
+    """Batches that end inside a block, a block that goes on in the next batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = spark.range(0, 40, 1, 1).selectExpr("'t' ds_name", "concat('f', id div 20) path", "cast(id as string) value", "(id div 6) * 100 block")
+        got = sorted(int(r["value"]) for r in first_lines(rows).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [0, 6, 12, 18, 20, 24, 30, 36]
+
+
 def test_people_golden_from_a_file_to_a_file(spark, tmp_path):
     people = [
         ("john", "male", "newyork", 20), ("jack", "male", "newyork", 21), ("mary", "female", "losangeles", 45),
