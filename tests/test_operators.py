@@ -12,7 +12,7 @@ from softdeps.operators import cover, dominance
 from softdeps.operators import levels as level_operators
 from softdeps.operators.cover import minimal_rfds
 from softdeps.operators.levels import dominates_subset, not_dominating, pool_intervals, pools, prior_min
-from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances
+from softdeps.operators.pairs import distance_matrix, distance_vectors, lookup_distance, row_pairs, value_distances, without_shared_start
 from softdeps.operators.skyline import RunningFront, front_rows, skyline
 from softdeps.operators.stats import approximate_medians, key_is_unique, median_values, medians
 from softdeps.operators.taxonomy import taxonomy_distance
@@ -303,3 +303,31 @@ def test_pools_in_derived_tiles(spark, monkeypatch):
     one = sorted(map(tuple, pools(front, 2, levels).collect()))
     monkeypatch.setattr(level_operators, "FRONT_TILE_ROWS", 16)
     assert level_operators.tiles_for(front) > 2 and one and sorted(map(tuple, pools(front, 2, levels).collect())) == one
+
+
+@pytest.mark.parametrize("most", [0, 256])
+def test_few_nodes_are_measured_once_a_pair_of_nodes(spark, monkeypatch, most):
+    from softdeps.operators import taxonomy
+
+    monkeypatch.setattr(taxonomy, "MEMO_VALUES", most)
+    edges = spark.createDataFrame([("a", "top"), ("b", "mid"), ("mid", "top")], "child string, parent string")
+    terms = spark.createDataFrame([(f"t{i}", "abx"[i % 3]) for i in range(30)], "term string, node string")
+    found = taxonomy_distance(terms, terms, edges)
+    assert ("aggregate(" in found._jdf.queryExecution().optimizedPlan().toString()) == (not most)
+    steps = {"aa": 0, "bb": 0, "xx": 0, "ab": 3}
+    want = {(f"t{i}", f"t{j}"): steps.get("".join(sorted("abx"[i % 3] + "abx"[j % 3]))) for i in range(30) for j in range(30) if f"t{i}" < f"t{j}"}
+    got = {(r["term_a"], r["term_b"]): r["distance"] for r in found.collect()}
+    assert got == {pair: 1.0 if n is None else 1 - 1 / (n + 1) for pair, n in want.items()}
+
+
+def test_a_start_that_all_texts_share_is_not_measured(spark):
+    values = ["Item#\u00e91", "Item#\u00e822", "Item#\u00e8", "Item#\u00e82", None, "Item#\U0001f60022"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
+    cut = {r["id"]: r["v"] for r in without_shared_start(df, measures_for(df, ["v"])).collect()}
+    assert cut == {i: v and v[5:] for i, v in enumerate(values)}
+    got = {(r["id_a"], r["id_b"]): r["v"] for r in distance_matrix(df, dedup=False, key="id", columns=["v"]).collect()}
+    assert got == {(i, j): model.text(values[i], values[j]) for i in range(6) for j in range(i + 1, 6)}
+    plain = distance_vectors(df, columns=["v"])
+    assert {r["v"] for r in plain.collect()} == set(got.values())
+    same = spark.createDataFrame([(1, "x"), (2, "x"), (3, "xy"), (4, "")], "id int, v string")
+    assert {r["v"] for r in distance_vectors(same, columns=["v"]).collect()} == {0.0, 1.0, 2.0}
