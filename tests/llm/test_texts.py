@@ -21,6 +21,7 @@ from softdeps.llm.ngram_join import Shingles, jaccard_components, mixed
 from softdeps.llm.packing import hilbert_keys, pack_by_curve
 from softdeps.llm.queries import tokenizer_path
 from softdeps.llm.secret_scan import ACCESS, ASSIGN, HEX, find_secrets, redact_secrets, scan
+from softdeps.llm import suffix_dedup
 from softdeps.llm.sentence_spans import drop_repeated_sentences, runs, sentences
 from softdeps.llm.common import more_components
 from softdeps.llm.suffix_dedup import drop_repeated_strings, suffix_array
@@ -309,6 +310,21 @@ def test_one_passage_in_every_text(spark):
         assert r["kept"].decode() == "".join(c for k, c in enumerate(text) if k not in gone)
 
 
+def test_large_groups_need_no_shuffle(spark, copies, monkeypatch):
+    """Contexts learn by a broadcast whether their anchor's group is too large for a shard, whatever the sizes that Spark expects."""
+    plans, whole = [], suffix_dedup.map_batches
+
+    def kept(df, task, schema, *rest):
+        if schema == suffix_dedup.HALVES:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, task, schema, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "map_batches", kept)
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, label: df.localCheckpoint())  # no file sizes: of unknown size, too large to broadcast
+    drop_repeated_strings(copies[0], length=120, shard_bytes=600)
+    assert plans and all("BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan for plan in plans)
+
+
 def test_jaccard(copies, odd, empty):
     docs, rows = copies
 
