@@ -4,7 +4,8 @@ The terms of a document, each behind its language, are vectorised by CountVector
 vocabulary of several.  A model's vocabulary passes through the driver and is broadcast, so terms are dealt by a checksum to as many models as keep
 each below ``VOCABULARY_BYTES`` of counted terms; every model reads only its own share of the terms.
 
-The sparse document vectors are summed per language and source as whole numbers (a Summarizer's sums are means in double).  Pairs of sources are evaluated
+Documents of a source that a task meets are folded before they are vectorised; a term that occurs n times in them goes into a vector for every bit of n.
+The sparse vectors are summed per language and source as whole numbers (a Summarizer's sums are means in double).  Pairs of sources are evaluated
 sparsely.  With f the term of the sum and 0 for a term that a source lacks, f(p, q) = f(0, 0) + [f(p, 0) - f(0, 0)] + [f(0, q) - f(0, 0)] + rest: the first
 three need a source's distinct values of p alone, and only the rest is joined by term, over terms that both sources hold.
 """
@@ -12,12 +13,12 @@ three need a source's distinct values of p alone, and only the rest is joined by
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,11 @@ MIN_DF, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 # Most bytes of the terms that one model holds, and most sources of a language that meet in one key.
 VOCABULARY_BYTES, TILE_SOURCES = 16 << 20, 64
 
-# Terms of a language that a task counts or remembers at once.
-SUM_TERMS = 1 << 19
+# Terms of a language and occurrences of terms that a task folds at once, most terms and rows of what is folded that are handed on together.
+SUM_TERMS, BAG_TOKENS, BAG_TERMS, BAG_ROWS = 1 << 19, 1 << 22, 1 << 16, 32
 
-# Cells of document vectors that a task adds up at once.
-SUM_CELLS = 1 << 21
+# Cells of document vectors that a task adds up at once, and terms of sources that it ranks at once.
+SUM_CELLS, RANK_ROWS = 1 << 21, 1 << 18
 
 # A term is a run of ASCII letters and of anything beyond ASCII: in UTF-8, of these bytes; everything else parts terms.  Only A-Z are lowered.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,55 +44,106 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LETTERS).split()
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """``(named, df)``: documents that hold each term; a task counts ``SUM_TERMS`` terms of a language at a time before anything is shuffled."""
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first row does."""
+    first = np.zeros(len(keys[0]), bool)
+    first[:1] = True
+    for k in keys:
+        first[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(first)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
 
-        def counted(lang: str) -> pa.RecordBatch:
-            found, before = counts.pop(lang), lang.encode() + b" "
-            named = pa.array([before + t for t in found], pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([named, pa.array(list(found.values()), pa.int64())], names=["named", "df"])
+class Numbers(dict):
+    """Numbers of terms, in the order in which they are first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                held = counts.setdefault(lang, Counter())
-                held.update(set(terms_of(text)))
-                if len(held) >= SUM_TERMS:
-                    yield counted(lang)
-        for lang in list(counts):
-            yield counted(lang)
 
-    return map_batches(docs.select("lang", "source", "text"), task, "named string, df long").groupBy("named").agg(F.sum("df").alias("df"))
+def bag_rows(lang: str, numbers: Numbers, texts: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of ``bags`` from the numbered terms of a language's documents."""
+    sources: dict[str, int] = {}
+    lengths = [len(at) for _, at in texts]
+    at = np.concatenate([at for _, at in texts]).astype(np.int64)
+    cells, c = np.unique((np.repeat(np.array([sources.setdefault(s, len(sources)) for s, _ in texts], np.int64), lengths) << 32) + at, return_counts=True)
+    df = np.bincount(np.unique((np.repeat(np.arange(len(texts), dtype=np.int64), lengths) << 32) + at) & 0xFFFFFFFF, minlength=len(numbers))
+    ends = np.searchsorted(cells, np.arange(len(sources) + 1, dtype=np.int64) << 32).tolist()
+    groups = [(s, False, range(lo, hi)) for s, lo, hi in zip(sources, ends, ends[1:])] + [("", True, range(len(cells), len(cells) + len(df)))]
+    rows = [(s, whole, lo) for s, whole, places in groups for lo in places[::BAG_TERMS]]
+    offsets = pa.array([lo for _, _, lo in rows] + [len(cells) + len(df)], pa.int32())
+    named = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(np.concatenate([cells & 0xFFFFFFFF, np.arange(len(df))])))
+    columns = [pa.array([lang] * len(rows)), pa.array([s for s, _, _ in rows], pa.string()), pa.array([w for _, w, _ in rows])]
+    columns += [pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c, df]), pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "whole", "terms", "counts"])
 
 
-def dealt_terms(docs: DataFrame, models: int) -> DataFrame:
-    """``(lang, source, terms, model)``: a document's terms, repeated as they occur, with a row for every model that holds one of them."""
+def bags(docs: DataFrame) -> DataFrame:
+    """``(lang, source, whole, terms, counts)``: documents of a source that a task meets, folded: each term once with its occurrences.
+
+    Rows that are ``whole`` stand for a language, with the number of documents that hold a term.  A task folds ``BAG_TOKENS`` occurrences or
+    ``SUM_TERMS`` terms of a language at a time, a row has at most ``BAG_TERMS`` terms.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, tuple[int, bytes]]] = {}  # the model and the name of terms met lately
+        held: dict[str, tuple[Numbers, list[tuple[str, np.ndarray]]]] = {}
+        seen = 0
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                memo, before, rows = known.setdefault(lang, {}), lang.encode() + b" ", {}
-                for t in terms_of(text):
-                    at = memo.get(t)
-                    if at is None:
-                        named = before + t
-                        at = memo[t] = (zlib.crc32(named) % models, named)
-                    rows.setdefault(at[0], []).append(at[1])
-                for model, terms in rows.items():
-                    for column, value in zip(out, (lang, source, terms, model), strict=True):
-                        column.append(value)
-                if len(memo) > SUM_TERMS:
-                    memo.clear()
-            if len(known) > batch.num_rows:
-                known.clear()
-            terms = pa.array(out[2], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), terms, pa.array(out[3], pa.int32())], names=["lang", "source", "terms", "model"])
-
-    return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, terms array<string>, model int")
+                terms = terms_of(text)
+                if not terms:
+                    continue
+                numbers, texts = held.setdefault(lang, (Numbers(), []))
+                texts.append((source, np.fromiter(map(numbers.__getitem__, terms), np.int32, len(terms))))
+                seen += len(terms)
+                if seen >= BAG_TOKENS or len(numbers) >= SUM_TERMS:
+                    while held:
+                        name, folded = held.popitem()
+                        yield bag_rows(name, *folded)
+                    seen = 0
+        while held:
+            name, folded = held.popitem()
+            yield bag_rows(name, *folded)
+
+    return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, whole boolean, terms array<string>, counts array<int>")
+
+
+def document_counts(folded: DataFrame) -> DataFrame:
+    """``(named, lang, df)``: documents that hold each term, by its name behind its language."""
+    each = folded.where("whole").select("lang", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    counts = each.groupBy("lang", F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
+    return counts.select(F.concat("lang", F.lit(" "), "term").alias("named"), "lang", "df")
+
+
+def dealt_terms(folded: DataFrame, models: int) -> DataFrame:
+    """``(lang, source, terms, shift, model)``: the terms of a bag by the bits of their counts, each worth ``1 << shift`` occurrences, with rows for every model that holds some.
+
+    So a vector of distinct terms stands for all occurrences, instead of a term repeated as often as it occurs.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, counts = batch.column(2), batch.column(3).flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            named = pc.binary_join_element_wise(batch.column(0).take(pa.array(row)), lists.flatten(), " ")
+            model = np.zeros(len(row), np.int64)
+            if models > 1:
+                model = np.fromiter(map(zlib.crc32, named.cast(pa.binary()).to_pylist()), np.int64, len(row)) % models
+            bits = [np.flatnonzero(counts >> k & 1) for k in range(int(counts.max(initial=0)).bit_length())]
+            at = np.concatenate([*bits, np.empty(0, np.int64)]).astype(np.int64)
+            shift = np.repeat(np.arange(len(bits)), [len(x) for x in bits]).astype(np.int64)
+            order = np.lexsort((at, shift, model[at], row[at]))
+            at, shift = at[order], shift[order]
+            starts = run_starts(row[at], model[at], shift)
+            terms = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), named.take(pa.array(at)))
+            lang, source = (batch.column(c).take(pa.array(row[at[starts]])) for c in (0, 1))
+            columns = [lang, source, terms, pa.array(shift[starts], pa.int32()), pa.array(model[at[starts]], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "shift", "model"])
+
+    rows = folded.where("not whole").select("lang", "source", "terms", "counts")
+    return map_batches(rows, task, "lang string, source string, terms array<string>, shift int, model int", BAG_ROWS)
 
 
 def indices(vectors: DataFrame) -> DataFrame:
@@ -105,18 +157,24 @@ def indices(vectors: DataFrame) -> DataFrame:
 
 
 def vector_sums(vectors: DataFrame) -> DataFrame:
-    """``(lang, source, i, c)``: sums of the sparse ``vector`` column by group; a task adds up ``SUM_CELLS`` cells at a time before anything is shuffled."""
+    """``(lang, source, i, c, c_lang)``: sums of the sparse ``vector`` column, times ``1 << shift``, by group, and by term alone.
+
+    A task adds up ``SUM_CELLS`` cells at a time before anything is shuffled.  Cells are dealt by term, so that what follows by term needs no further shuffle.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: dict[tuple[str, str], int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def summed() -> pa.RecordBatch:
-            cells, inverse = np.unique(np.concatenate([at for at, _ in held]), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([x for _, x in held]), len(cells)).astype(np.int64)  # whole numbers far below 2^53
-            groups = pa.array((cells >> 32).astype(np.int32))
+            at, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(at)
+            at, c = at[order], c[order]
+            starts = run_starts(at)
+            c = np.add.reduceat(c, starts) if len(starts) else c
+            groups = pa.array((at[starts] >> 32).astype(np.int32))
             lang, source = (pa.array([g[k] for g in code], pa.string()).take(groups) for k in (0, 1))
-            columns = [lang, source, pa.array((cells & 0xFFFFFFFF).astype(np.int32)), pa.array(c)]
+            columns = [lang, source, pa.array((at[starts] & 0xFFFFFFFF).astype(np.int32)), pa.array(c)]
             held.clear()
             code.clear()
             return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "i", "c"])
@@ -126,28 +184,30 @@ def vector_sums(vectors: DataFrame) -> DataFrame:
             lengths = vector.field("indices").value_lengths().to_numpy(zero_copy_only=False)
             group = [code.setdefault(g, len(code)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             at = (np.repeat(np.array(group, np.int64), lengths) << 32) + vector.field("indices").flatten().to_numpy()
-            held.append((at, vector.field("values").flatten().to_numpy()))
+            c = vector.field("values").flatten().to_numpy().astype(np.int64) << np.repeat(batch.column(3).to_numpy().astype(np.int64), lengths)
+            held.append((at, c))
             if sum(len(x) for x, _ in held) >= SUM_CELLS:
                 yield summed()
         if held:
             yield summed()
 
-    cells = map_batches(vectors.select("lang", "source", "vector"), task, "lang string, source string, i int, c long")
-    return cells.groupBy("lang", "source", "i").agg(F.sum("c").alias("c"))
+    cells = map_batches(vectors.select("lang", "source", "vector", "shift"), task, "lang string, source string, i int, c long")
+    sums = cells.repartition("i").groupBy("lang", "source", "i").agg(F.sum("c").alias("c"))
+    return sums.withColumn("c_lang", F.sum("c").over(Window.partitionBy("i")))
 
 
 def term_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary_bytes: int = VOCABULARY_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``(lang, source, t, term, c)`` for kept terms that a source holds, ``t`` numbers them; ``(lang, v)``, kept terms of a language.
+    """``(lang, source, t, term, c, c_lang)`` for kept terms that a source holds, ``t`` numbers them; ``(lang, v)``, kept terms of a language.
 
     No null in lang or source.  The vocabulary is that of ``CountVectorizer(minDF=min_df, vocabSize=2**31 - 1)``: as the number of models needs the terms'
     document counts beforehand, a model is fitted to the terms that reach ``min_df``, one row each, instead of counting all documents' terms again.
     """
     spark = docs.sparkSession
-    lang = F.expr("substring(named, 1, length(named) - length(substring_index(named, ' ', -1)) - 1)")
-    kept = document_counts(docs).where(F.col("df") >= min_df).select("named", lang.alias("lang"), F.crc32(F.col("named").cast("binary")).alias("share"))
+    folded = stage(bags(docs), "bags", ("whole",))
+    kept = document_counts(folded).where(F.col("df") >= min_df).select("named", "lang", F.crc32(F.col("named").cast("binary")).alias("share"))
     kept = stage(kept, "kept")
     models = parts(kept.agg(F.sum(F.octet_length("named") + 8)).first()[0] or 0, vocabulary_bytes)
-    dealt = stage(dealt_terms(docs, models), "terms", ("model",))
+    dealt = stage(dealt_terms(folded, models), "terms", ("model",))
     sums = []
     for m in range(models):
         own = kept.where(F.col("share") % models == m).select("named", F.array("named").alias("terms"))
@@ -157,8 +217,8 @@ def term_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary_bytes: int = V
         names = stage(indices(model.transform(own)), "names")
         cells = vector_sums(model.transform(dealt.where(F.col("model") == m))).join(names, "i")
         number = F.col("i") + F.lit(m << 32)
-        sums.append(stage(cells.select("lang", "source", number.alias("t"), F.substring_index("named", " ", -1).alias("term"), "c"), "counts"))
-    none = spark.createDataFrame([], "lang string, source string, t long, term string, c long")
+        sums.append(stage(cells.select("lang", "source", number.alias("t"), F.substring_index("named", " ", -1).alias("term"), "c", "c_lang"), "counts"))
+    none = spark.createDataFrame([], "lang string, source string, t long, term string, c long, c_lang long")
     return reduce(DataFrame.unionAll, sums, none), kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
 
 
@@ -183,6 +243,37 @@ def _tiled(left: DataFrame, right: DataFrame, on: list[str], tiles: int, unlike:
     return a.join(b, [*on, "#a", "#b"]).where(unlike)
 
 
+def foremost(told: DataFrame, ranks: int) -> DataFrame:
+    """``told`` without rows that ``ranks`` rows of their language and source exceed in a task: none of them can reach these ranks."""
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+        group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        value = table.column("value").to_numpy()
+        order = np.lexsort((-value, group))
+        starts = run_starts(group[order])
+        sizes = np.diff(np.append(starts, len(order)))
+        last = value[order][starts + np.minimum(sizes, ranks) - 1]
+        return table.take(pa.array(order[value[order] >= np.repeat(last, sizes)]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= RANK_ROWS:
+                held = best(pa.Table.from_batches(held)).to_batches()
+                rows = sum(b.num_rows for b in held)
+                if rows >= RANK_ROWS // 2:  # many ties or groups
+                    yield from held
+                    held, rows = [], 0
+        if rows:
+            yield from best(pa.Table.from_batches(held)).to_batches()
+
+    return map_batches(told, task, "lang string, source string, part string, item string, value long", RANK_ROWS)
+
+
 def exact_sum(value: Column) -> list[Column]:
     """Sums of a long's halves: no single sum leaves the range of a long before 2^31 rows."""
     return [F.sum(F.shiftright(value, 32)).alias("high"), F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
@@ -207,7 +298,7 @@ def source_divergence(
     none = F.when(F.col("v") > 0, share_of(F.lit(0), F.col("n"), F.col("v"))).otherwise(1)
     groups = groups.withColumn("p0", none)
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", share_of(F.col("c"), F.col("n"), F.col("v")))
-    shares = stage(shares.select("lang", "source", "t", "term", "c", "p", "p0", "v"), "shares")
+    shares = stage(shares.select("lang", "source", "t", "term", "c_lang", "p", "p0", "v"), "shares")
     levels = shares.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("k"))
 
     def side(df: DataFrame, s: str) -> DataFrame:
@@ -227,7 +318,7 @@ def source_divergence(
     rest = lambda x, y, x0, y0: differ(x, y) - differ(x, y0) - differ(x0, y) + differ(x0, y0)
     there = rest(pa_, pb, p0a, p0b)
     back = rest(pb, pa_, p0b, p0a)
-    met = _tiled(side(terms, "a"), side(terms, "b"), ["lang", "t"], tiles, "a < b").select("lang", "a", "b", there.alias("there"), back.alias("back"))
+    met = _tiled(side(terms, "a"), side(terms, "b").drop("lang"), ["t"], tiles, "a < b").select("lang", "a", "b", there.alias("there"), back.alias("back"))
     halves = [c.alias(f"{way}_{half}") for way in ("there", "back") for half, c in zip(("high", "low"), exact_sum(F.col(way)), strict=True)]
     both = met.groupBy("lang", "a", "b").agg(*halves)
     whole_of = lambda way: wide(F.col(f"{way}_high")) * wide(F.lit(1 << 32)) + wide(F.col(f"{way}_low"))
@@ -237,9 +328,8 @@ def source_divergence(
     value = F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("value")
     pairs = summed.groupBy("lang", "a", "b").agg(value).select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
 
-    whole = shares.withColumn("c", F.sum("c").over(Window.partitionBy("t"))).join(langs, "lang")
-    against = whole.withColumn("q", share_of(F.col("c"), F.col("n_lang"), F.col("v"))).where("p > q")
-    told = against.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), differ(F.col("p"), F.col("q")).alias("value"))
+    against = shares.join(langs, "lang").withColumn("q", share_of(F.col("c_lang"), F.col("n_lang"), F.col("v"))).where("p > q")
+    told = foremost(against.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), differ(F.col("p"), F.col("q")).alias("value")), term_ranks)
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item").asc()))
     terms = told.withColumn("rank", rank).where(F.col("rank") <= term_ranks)
     return pairs.withColumn("rank", rank).unionAll(terms)

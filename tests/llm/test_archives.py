@@ -188,3 +188,16 @@ def test_divergence_many_models_and_empty(spark):
     assert {(r.source, r.term): r.c for r in counts.collect()} == {(s, t): n for s, n in (("a", 1), ("b", 2)) for t in ("one", "two", "three")}
     assert sizes.collect() == [("en", 3)]
     assert source_divergence(docs.limit(0)).collect() == []
+
+
+def test_divergence_folds_before_vectors(spark, monkeypatch):
+    """Occurrences are vectorised by the bits of their counts, not one by one; small folds, bags and ranks give the same rows."""
+    rows = [("en", f"s{i % 3}", " ".join(["the"] * (i * 37 % 300) + [f"w{chr(97 + i % 7)}", f"v{chr(97 + i % 11)}", "of"] * (i % 5))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(2)
+    many = sum(len(text.split()) for _, _, text in rows)
+    dealt = divergence.dealt_terms(divergence.bags(docs), 2).select(F.explode("terms"), "shift")
+    held = dealt.agg(F.count(F.lit(1)), F.sum(F.expr("shiftleft(1L, shift)"))).first()
+    assert held[1] == many and held[0] < many / 20
+    for name, size in (("SUM_TERMS", 5), ("BAG_TOKENS", 50), ("BAG_TERMS", 3), ("BAG_ROWS", 2), ("SUM_CELLS", 10), ("RANK_ROWS", 4)):
+        monkeypatch.setattr(divergence, name, size)
+    assert sorted(tuple(r) for r in source_divergence(docs, term_ranks=2).collect()) == brute_divergence(rows, ranks=2)
