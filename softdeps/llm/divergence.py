@@ -31,8 +31,9 @@ MIN_DF, TERM_RANKS, UNIT = 3, 200, 1_000_000_000
 # Most bytes of the terms that one model holds, and most sources of a language that meet in one key.
 VOCABULARY_BYTES, TILE_SOURCES = 16 << 20, 64
 
-# Terms of a language and occurrences of terms that a task folds at once, most terms and rows of what is folded that are handed on together.
-SUM_TERMS, BAG_TOKENS, BAG_TERMS, BAG_ROWS = 1 << 19, 1 << 22, 1 << 16, 32
+# Bytes of texts that a task splits at once; terms (those of each split), their bytes and occurrences that it folds at once; most terms and rows of what is
+# folded that are handed on together.
+SPLIT_BYTES, SUM_TERMS, BAG_BYTES, BAG_TOKENS, BAG_TERMS, BAG_ROWS = 1 << 22, 1 << 21, 1 << 26, 1 << 22, 1 << 16, 32
 
 # Cells of document vectors that a task adds up at once, and terms of sources that it ranks at once.
 SUM_CELLS, RANK_ROWS = 1 << 21, 1 << 18
@@ -40,8 +41,10 @@ SUM_CELLS, RANK_ROWS = 1 << 21, 1 << 18
 # A term is a run of ASCII letters and of anything beyond ASCII: in UTF-8, of these bytes; everything else parts terms.  Only A-Z are lowered.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LETTERS).split()
+def terms_of(texts: list[bytes | None]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many terms each text has, and the terms in their order; the ends of a text may add empty ones."""
+    lists = pc.ascii_split_whitespace(pa.array([(t or b"").translate(LETTERS) for t in texts], pa.string()))
+    return lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
 
 
 def run_starts(*keys: np.ndarray) -> np.ndarray:
@@ -53,57 +56,60 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-class Numbers(dict):
-    """Numbers of terms, in the order in which they are first asked for."""
-
-    def __missing__(self, term: bytes) -> int:
-        self[term] = n = len(self)
-        return n
-
-
-def bag_rows(lang: str, numbers: Numbers, texts: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
-    """Rows of ``bags`` from the numbered terms of a language's documents."""
-    sources: dict[str, int] = {}
-    lengths = [len(at) for _, at in texts]
-    at = np.concatenate([at for _, at in texts]).astype(np.int64)
-    cells, c = np.unique((np.repeat(np.array([sources.setdefault(s, len(sources)) for s, _ in texts], np.int64), lengths) << 32) + at, return_counts=True)
-    df = np.bincount(np.unique((np.repeat(np.arange(len(texts), dtype=np.int64), lengths) << 32) + at) & 0xFFFFFFFF, minlength=len(numbers))
-    ends = np.searchsorted(cells, np.arange(len(sources) + 1, dtype=np.int64) << 32).tolist()
-    groups = [(s, False, range(lo, hi)) for s, lo, hi in zip(sources, ends, ends[1:])] + [("", True, range(len(cells), len(cells) + len(df)))]
-    rows = [(s, whole, lo) for s, whole, places in groups for lo in places[::BAG_TERMS]]
-    offsets = pa.array([lo for _, _, lo in rows] + [len(cells) + len(df)], pa.int32())
-    named = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(np.concatenate([cells & 0xFFFFFFFF, np.arange(len(df))])))
-    columns = [pa.array([lang] * len(rows)), pa.array([s for s, _, _ in rows], pa.string()), pa.array([w for _, w, _ in rows])]
-    columns += [pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c, df]), pa.int32()))]
+def bag_rows(groups: list[tuple[str, str]], held: list[tuple[np.ndarray, pa.DictionaryArray]]) -> pa.RecordBatch:
+    """Rows of ``bags`` from the ``terms_of`` documents, whose languages and sources are ``groups``."""
+    lengths = np.concatenate([n for n, _ in held])
+    coded = pa.concat_arrays(pa.chunked_array([c for _, c in held]).unify_dictionaries().chunks)
+    at, size = coded.indices.to_numpy(), len(coded.dictionary)
+    told = (np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) << 32) + at
+    empty = pc.index(coded.dictionary, "").as_py()
+    told, c = np.unique(told[at != empty], return_counts=True)
+    names = sorted(set(groups))
+    langs = sorted({lang for lang, _ in names})
+    number, lang_number = ({g: k for k, g in enumerate(x)} for x in (names, langs))
+    owner, term = np.array([number[g] for g in groups], np.int64)[told >> 32], told & 0xFFFFFFFF
+
+    def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        key = key[order]
+        starts = run_starts(key)
+        return key[starts], np.add.reduceat(value[order], starts) if len(starts) else value
+
+    cells, occurrences = summed(owner * size + term, c)
+    whole, df = summed(np.array([lang_number[lang] for lang, _ in names], np.int64)[owner] * size + term, np.ones(len(owner), np.int64))
+    owners = [(lang, source, False) for lang, source in names] + [(lang, "", True) for lang in langs]
+    ends = [*np.searchsorted(cells, np.arange(len(names) + 1) * size), *(len(cells) + np.searchsorted(whole, np.arange(1, len(langs) + 1) * size))]
+    rows = [(*o, lo) for o, begin, end in zip(owners, ends, ends[1:]) for lo in range(begin, end, BAG_TERMS)]
+    offsets = pa.array([lo for *_, lo in rows] + [len(cells) + len(whole)], pa.int32())
+    lists = [coded.dictionary.take(pa.array(np.concatenate([cells, whole]) % size)), pa.array(np.concatenate([occurrences, df]), pa.int32())]
+    columns = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.bool_()))]
+    columns += [pa.ListArray.from_arrays(offsets, x) for x in lists]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "whole", "terms", "counts"])
 
 
 def bags(docs: DataFrame) -> DataFrame:
     """``(lang, source, whole, terms, counts)``: documents of a source that a task meets, folded: each term once with its occurrences.
 
-    Rows that are ``whole`` stand for a language, with the number of documents that hold a term.  A task folds ``BAG_TOKENS`` occurrences or
-    ``SUM_TERMS`` terms of a language at a time, a row has at most ``BAG_TERMS`` terms.
+    Rows that are ``whole`` stand for a language, with the number of documents that hold a term.  A task folds until it holds ``BAG_TOKENS`` occurrences,
+    ``SUM_TERMS`` terms or ``BAG_BYTES`` of them, a row has at most ``BAG_TERMS`` terms.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Numbers, list[tuple[str, np.ndarray]]]] = {}
-        seen = 0
+        groups, held, seen = [], [], np.zeros(3, np.int64)
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                terms = terms_of(text)
-                if not terms:
-                    continue
-                numbers, texts = held.setdefault(lang, (Numbers(), []))
-                texts.append((source, np.fromiter(map(numbers.__getitem__, terms), np.int32, len(terms))))
-                seen += len(terms)
-                if seen >= BAG_TOKENS or len(numbers) >= SUM_TERMS:
-                    while held:
-                        name, folded = held.popitem()
-                        yield bag_rows(name, *folded)
-                    seen = 0
-        while held:
-            name, folded = held.popitem()
-            yield bag_rows(name, *folded)
+            texts = batch.column(2).cast(pa.binary())
+            splits = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SPLIT_BYTES
+            starts = run_starts(splits).tolist()
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                groups += zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1)), strict=True)
+                lengths, coded = terms_of(texts.slice(lo, hi - lo).to_pylist())
+                held.append((lengths, coded))
+                seen += len(coded), len(coded.dictionary), coded.dictionary.nbytes
+                if (seen >= (BAG_TOKENS, SUM_TERMS, BAG_BYTES)).any():
+                    yield bag_rows(groups, held)
+                    groups, held, seen = [], [], seen * 0
+        if held:
+            yield bag_rows(groups, held)
 
     return map_batches(docs.select("lang", "source", "text"), task, "lang string, source string, whole boolean, terms array<string>, counts array<int>")
 
@@ -130,11 +136,13 @@ def dealt_terms(folded: DataFrame, models: int) -> DataFrame:
             named = pc.binary_join_element_wise(batch.column(0).take(pa.array(row)), lists.flatten(), " ")
             model = np.zeros(len(row), np.int64)
             if models > 1:
-                model = np.fromiter(map(zlib.crc32, named.cast(pa.binary()).to_pylist()), np.int64, len(row)) % models
+                coded = named.dictionary_encode()
+                share = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary)) % models
+                model = share[coded.indices.to_numpy()]
             bits = [np.flatnonzero(counts >> k & 1) for k in range(int(counts.max(initial=0)).bit_length())]
             at = np.concatenate([*bits, np.empty(0, np.int64)]).astype(np.int64)
             shift = np.repeat(np.arange(len(bits)), [len(x) for x in bits]).astype(np.int64)
-            order = np.lexsort((at, shift, model[at], row[at]))
+            order = np.argsort((row[at] * models + model[at]) * 32 + shift, kind="stable")  # 31 bits of a count; ``at`` ascends in each
             at, shift = at[order], shift[order]
             starts = run_starts(row[at], model[at], shift)
             terms = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), named.take(pa.array(at)))

@@ -201,3 +201,17 @@ def test_divergence_folds_before_vectors(spark, monkeypatch):
     for name, size in (("SUM_TERMS", 5), ("BAG_TOKENS", 50), ("BAG_TERMS", 3), ("BAG_ROWS", 2), ("SUM_CELLS", 10), ("RANK_ROWS", 4)):
         monkeypatch.setattr(divergence, name, size)
     assert sorted(tuple(r) for r in source_divergence(docs, term_ranks=2).collect()) == brute_divergence(rows, ranks=2)
+
+
+def test_divergence_folds_bounded_bytes(spark, monkeypatch):
+    """A task folds a split's terms by number, each once a split, and hands a fold on when its terms' bytes are many, however few they are."""
+    lengths, coded = divergence.terms_of([b" The the-THE ", None, b"1", "né the".encode()])
+    assert [[t for t in coded.to_pylist()[end - n : end] if t] for n, end in zip(lengths, lengths.cumsum())] == [["the"] * 3, [], [], ["né", "the"]]
+    assert sorted(coded.dictionary.to_pylist()) == ["", "né", "the"]
+    rows = [("en", f"s{i % 2}", " ".join(["日本" * 40 + chr(97 + i % 5), "word"] * (1 + i % 3)) if i % 7 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    assert divergence.bags(docs).count() == 3
+    monkeypatch.setattr(divergence, "BAG_BYTES", 500)
+    monkeypatch.setattr(divergence, "SPLIT_BYTES", 100)
+    assert divergence.bags(docs).count() > 20
+    assert sorted(tuple(r) for r in source_divergence(docs).collect()) == brute_divergence(rows)
