@@ -64,6 +64,19 @@ def test_each_pair_once(spark, tiles):
     assert pairs.count() == 11_175 and pairs.distinct().count() == 11_175 and pairs.where("x >= y").isEmpty()
 
 
+def test_row_pairs_meet_by_blocks(spark, capsys):
+    """The join meets blocks of rows, which generators unfold; rows that share a key or have none are paired once."""
+    keys = [None, None] + [k // 2 for k in range(1200)]
+    pairs = row_pairs(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int"), "k", 2)
+    found = [tuple(r) for r in pairs.select("a.i", "b.i", "a.k", "b.k").toDF("i", "j", "k", "l").collect()]
+    assert len(found) == len({frozenset(r[:2]) for r in found}) == len(keys) * (len(keys) - 1) // 2
+    assert all(i != j and (l is None if k is None else l is None or k <= l) and (k, l) == (keys[i], keys[j]) for i, j, k, l in found)
+    pairs.groupBy().count().explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.index("Generate") < plan.index("Join")
+    assert row_pairs(spark.createDataFrame([], "k long"), "k").count() == row_pairs(spark.range(1).toDF("k"), "k").count() == 0
+
+
 def test_text_memo_changes_nothing(spark, monkeypatch):
     from softdeps.operators import pairs
 
