@@ -231,10 +231,11 @@ def term_counts(docs: DataFrame, min_df: int = MIN_DF, vocabulary_bytes: int = V
 
 
 def share_of(c: Column, n: Column, v: Column) -> Column:
-    """1 + floor(UNIT * (c + 1) / (n + v)), exact beyond a long's range."""
+    """1 + floor(UNIT * (c + 1) / (n + v)), exact beyond a long's range; decimals, which are slow, only there."""
     wide = lambda x: x.cast("decimal(19,0)")
     up = F.lit(UNIT).cast("decimal(10,0)") * wide(c + 1)
-    return F.call_function("div", up, wide(n + v)) + 1
+    near = F.call_function("div", F.lit(UNIT).cast("long") * (c + 1), n + v)
+    return F.when(c < F.lit((1 << 63) // UNIT - 1), near).otherwise(F.call_function("div", up, wide(n + v))) + 1
 
 
 def differ(p: Column, q: Column) -> Column:

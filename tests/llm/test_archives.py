@@ -215,3 +215,13 @@ def test_divergence_folds_bounded_bytes(spark, monkeypatch):
     monkeypatch.setattr(divergence, "SPLIT_BYTES", 100)
     assert divergence.bags(docs).count() > 20
     assert sorted(tuple(r) for r in source_divergence(docs).collect()) == brute_divergence(rows)
+
+
+def test_divergence_shares_are_exact(spark):
+    edge = (1 << 63) // divergence.UNIT
+    rows = [(c, c + more, v) for c in (0, 1, 7, edge - 2, edge - 1, edge, edge + 1, 10**15, 4 * 10**18) for more in (0, 1, 10**18) for v in (1, 12345)]
+    df = spark.createDataFrame(rows, "c long, n long, v long")
+    found = df.select("c", "n", "v", divergence.share_of(F.col("c"), F.col("n"), F.col("v")).alias("p"))
+    assert all(p == 1 + divergence.UNIT * (c + 1) // (n + v) for c, n, v, p in found.collect())
+    plain = df.where("c < 10").select(divergence.share_of(F.lit(0), F.col("n"), F.col("v")).alias("p"), F.col("n") + F.col("v"))
+    assert all(p == 1 + divergence.UNIT // d for p, d in plain.collect())
