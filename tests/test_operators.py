@@ -344,3 +344,57 @@ def test_a_start_that_all_texts_share_is_not_measured(spark):
     assert {r["v"] for r in plain.collect()} == set(got.values())
     same = spark.createDataFrame([(1, "x"), (2, "x"), (3, "xy"), (4, "")], "id int, v string")
     assert {r["v"] for r in distance_vectors(same, columns=["v"]).collect()} == {0.0, 1.0, 2.0}
+
+
+def mixed_rows(spark, n=260):
+    rng = random.Random(8)
+    maybe = lambda v: None if rng.random() < 0.1 else v
+    text = lambda: "Item" + "".join(rng.choice("abé\U0001f600\x00") for _ in range(rng.randrange(rng.choice([1, 9, 15]))))
+    number = lambda: rng.choice([INF, -INF, float("nan"), -0.0, 1.5, rng.random()])
+    day = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(seconds=rng.randrange(-(10**7), 10**7))
+    rows = [(maybe(rng.randrange(90)), maybe(number()), maybe(text()), maybe(day()), rng.choice([None, 1, 2, 3])) for _ in range(n)]
+    return spark.createDataFrame(rows, "k long, n double, t string, d timestamp_ntz, i int").repartition(3)
+
+
+@pytest.mark.parametrize("options", [{}, {"tiles": 4, "float32": True, "scale": 1}, {"tiles": 1, "bytes": True}])
+@pytest.mark.parametrize("dedup", [False, True])
+def test_blocks_in_numpy_give_the_distances_of_joins(spark, monkeypatch, dedup, options):
+    from softdeps.operators import pairs
+
+    df = mixed_rows(spark)
+    monkeypatch.setattr(pairs, "PARTITION_PAIRS", 5_000)
+    made = distance_matrix(df, dedup=dedup, key="k", **options)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, made.collect()))
+    monkeypatch.setattr(pairs, "measurable", lambda *_: False)
+    plain = distance_matrix(df, dedup=dedup, key="k", **options)
+    assert "MapInArrow" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted(map(str, plain.collect())) and (dedup or len(got) == 260 * 259 // 2)
+
+
+def test_long_texts_and_string_keys_beside_blocks(spark):
+    values = ["", "x" * 64, "y" * 64, "x" * 63 + "y", None]
+    for more in ([], ["z" * 65]):
+        rows = [(f"é{i % 4}", v) for i, v in enumerate(values + more)]
+        df = spark.createDataFrame(rows, "id string, v string")
+        found = distance_matrix(df, dedup=False, key="id")
+        assert ("MapInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (not more)
+        want = [(*sorted((rows[i][0], rows[j][0])), model.text(rows[i][1], rows[j][1])) for i in range(len(rows)) for j in range(i)]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_only_repeats_leave_before_vectors_are_dealt():
+    from softdeps.operators.cells import fewer
+
+    rng = np.random.default_rng(0)
+    columns = [rng.integers(0, 30, 50_000).astype(float), rng.choice([0.0, 0.5, np.inf], 50_000)]
+    left = fewer(columns)
+    assert len(left[0]) < 5_000 and set(zip(*map(list, left))) == set(zip(*map(list, columns)))
+
+
+def test_numeric_distances_copy_no_row(spark):
+    df = spark.createDataFrame([(3, 1.0), (1, 4.0), (None, 6.0), (1, 6.5)], "k long, v double")
+    found = distance_matrix(df, dedup=False, key="k", columns=["v"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "THEN named_struct" not in plan and "ELSE named_struct" not in plan
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 1, 2.5), (1, 3, 3.0), (1, 3, 5.5), (1, None, 2.0), (1, None, 0.5), (3, None, 5.0)], key=str)
